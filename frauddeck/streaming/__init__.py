@@ -1,0 +1,7 @@
+"""Streaming operators.
+
+Intentionally empty: the reference has no streams, watermarks, event-time windows or
+stateful operators. Its trailing 24 h / 7 d counts are batch features and live in
+:mod:`frauddeck.operators.windows`; its chunked value scan is a single partitioned scan in
+:mod:`frauddeck.operators.profile`.
+"""
