@@ -11,8 +11,8 @@ from frauddeck.sources import adapter
 
 
 def r(c, d: int = 6) -> Column:
-    """Round a double for the oracle hash."""
-    return F.round(F.col(c) if isinstance(c, str) else c, d)
+    """Round a double for the oracle hash (``+ 0.0`` turns a rounded -0.0 into 0.0)."""
+    return F.round(F.col(c) if isinstance(c, str) else c, d) + F.lit(0.0)
 
 
 def views(spark: SparkSession, sf_dir: str, fact: str = "events") -> dict[str, DataFrame]:
