@@ -106,3 +106,19 @@ def exact_quantile(df: DataFrame, value: str, q: float, *, keys: list[str] = ())
         F.first("_h").alias("_h"))
     frac = F.col("_h") - F.floor(F.col("_h"))
     return agg.select(*keys, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac).alias(f"q_{value}"))
+
+
+def row_number_within(df: DataFrame, keys: list[str], order: list, out: str = "_rn") -> DataFrame:
+    """1-based row number inside ``keys`` groups in ``order`` (a total order), skew-safe.
+
+    Same result as ``row_number() over (partition by keys order by order)`` but a hot group is
+    spread over several range partitions instead of one task.
+    """
+    keys = list(keys)
+    d = df.withColumn("_one", F.lit(1))
+    ranked = prefix_sums(d, [*[F.col(k) for k in keys], *order], ["_one"])
+    if not keys:
+        return ranked.withColumnRenamed("_cum__one", out).drop("_one")
+    start = ranked.groupBy(*keys).agg(F.min("_cum__one").alias("_start"), F.count(F.lit(1)).alias(f"{out}_n"))
+    return (ranked.join(start, keys).withColumn(out, F.col("_cum__one") - F.col("_start") + 1)
+                  .drop("_cum__one", "_start", "_one"))
