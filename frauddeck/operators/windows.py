@@ -153,6 +153,23 @@ def prior_history(df: DataFrame, keys: list[str], *, ts: str = "TX_TS", tid: str
     return j.select(*df.columns, *[c.alias(name) for name, c in out.items()])
 
 
+def history_block(base: DataFrame, keys: list[str], features, *, ts: str = "TX_TS", tid: str = "TX_ID",
+                  value: str | None = "TX_AMOUNT", lags: list[str] = (), last_n: list[int] = (),
+                  extra: list[str] = (), p: str = "_h", bucket_seconds: int = DAY) -> DataFrame:
+    """History features of one entity key computed on a narrow projection: ``(tid, features...)``.
+
+    ``features`` maps output names to Columns over the :func:`prior_history` helper columns
+    (prefix ``p``) and the projected columns. Pipelines build one block per key from the same
+    base and join the blocks back on the row id, so only narrow rows are shuffled per key,
+    the wide table is shuffled once, and the logical plan grows linearly with the blocks.
+    """
+    cols = list(dict.fromkeys([*keys, ts, tid, *([value] if value else []), *lags, *extra]))
+    h = prior_history(base.select(*cols), keys, ts=ts, tid=tid, value=value, lags=lags, last_n=last_n,
+                      bucket_seconds=bucket_seconds, p=p)
+    feats = features(h) if callable(features) else features
+    return h.select(tid, *[c.alias(n) for n, c in feats.items()])
+
+
 def drop_helpers(df: DataFrame, p: str = "_h") -> DataFrame:
     return df.drop(*[c for c in df.columns if c.startswith(p)])
 

@@ -20,10 +20,11 @@ BASE_CONF = {
 
 
 def get_spark(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "frauddeck",
-              extra: dict | None = None) -> SparkSession:
+              extra: dict | None = None, driver_memory: str = "16g") -> SparkSession:
+    """Local session for tests / bench (on a cluster the session comes from the platform)."""
     b = SparkSession.builder.master(master).appName(app)
     for k, v in {**BASE_CONF, "spark.sql.shuffle.partitions": str(shuffle_partitions),
-                 **(extra or {})}.items():
+                 "spark.driver.memory": driver_memory, **(extra or {})}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
