@@ -51,12 +51,12 @@ def apply_codes(df: DataFrame, col: str, mapping: DataFrame, *, unseen: str = "m
                 null_token: str = "__NA__", out: str | None = None) -> DataFrame:
     """I2 (unseen -> -1), I3 (unseen -> 0, the first class), I4 (unseen -> number of classes)."""
     out = out or col
-    n = mapping.agg(F.coalesce(F.max("n_classes"), F.lit(0).cast("bigint")).alias("n_classes"))  # one row
+    n = mapping.agg(F.coalesce(F.max("n_classes"), F.lit(0).cast("bigint")).alias("_ncls"))  # one row
     d = df.withColumn("_value", S.null_token(col, null_token))
-    j = d.join(mapping.select("_value", "code"), "_value", "left").crossJoin(F.broadcast(n))
+    j = d.join(mapping.select("_value", F.col("code").alias("_code")), "_value", "left").crossJoin(F.broadcast(n))
     fill = {"minus_one": F.lit(-1).cast("bigint"), "first": F.lit(0).cast("bigint"),
-            "n_classes": F.col("n_classes")}[unseen]
-    return j.withColumn(out, F.coalesce(F.col("code"), fill)).drop("_value", "code", "n_classes")
+            "n_classes": F.col("_ncls")}[unseen]
+    return j.withColumn(out, F.coalesce(F.col("_code"), fill)).drop("_value", "_code", "_ncls")
 
 
 def frequency_encode(df: DataFrame, col: str, out: str, *, reference: DataFrame | None = None) -> DataFrame:

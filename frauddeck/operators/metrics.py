@@ -89,16 +89,18 @@ def pr_points(df: DataFrame, score: str = "p", label: str = "y") -> DataFrame:
     ``P`` positives, ``N`` negatives.
     """
     r = score_counts(df, score, label, descending=True)
-    tot = r.agg(F.sum("_pos").alias("P"), F.sum("_neg").alias("N"))
+    tot = r.agg(F.sum("_pos").alias("_P_all"), F.sum("_neg").alias("_N_all"))
     r = r.crossJoin(F.broadcast(tot))
     tp, fp = F.col("_cum__pos"), F.col("_cum__neg")
     tp0, fp0 = tp - F.col("_pos"), fp - F.col("_neg")
+    P, N = F.col("_P_all"), F.col("_N_all")
     return r.select(
-        F.col(score).alias("threshold"), tp.alias("tp"), fp.alias("fp"), F.col("_pos").alias("pos"), "P", "N",
-        _sd(tp, tp + fp).alias("precision"), _sd(tp, F.col("P")).alias("recall"),
-        _sd(fp, F.col("N")).alias("fpr"), _sd(tp, F.col("P")).alias("tpr"),
+        F.col(score).alias("threshold"), tp.alias("tp"), fp.alias("fp"), F.col("_pos").alias("pos"),
+        P.alias("P"), N.alias("N"),
+        _sd(tp, tp + fp).alias("precision"), _sd(tp, P).alias("recall"),
+        _sd(fp, N).alias("fpr"), _sd(tp, P).alias("tpr"),
         F.when(tp0 + fp0 == 0, F.lit(1.0)).otherwise(tp0 / (tp0 + fp0)).alias("prev_precision"),
-        _sd(tp0, F.col("P")).alias("prev_recall"), (tp0 < F.col("P")).alias("before_full_recall"))
+        _sd(tp0, P).alias("prev_recall"), (tp0 < P).alias("before_full_recall"))
 
 
 def average_precision(df: DataFrame, score: str = "p", label: str = "y") -> DataFrame:

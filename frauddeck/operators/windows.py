@@ -86,16 +86,19 @@ def prior_history(df: DataFrame, keys: list[str], *, ts: str = "TX_TS", tid: str
                      F.max(v).over(fr).alias(f"_ll{n}_max")]
     loc = d.select("*", *loc_cols)
 
-    # ---- per (entity, bucket) summary, computed on the already-partitioned local frame
+    # ---- per (entity, bucket) summary: aggregated straight from the input, so Spark combines
+    # map-side and shuffles only partial aggregates (one small row per entity and bucket)
     last_key = F.struct("_us", tid)
-    bagg_cols = [F.count(F.lit(1)).alias("_bn"), F.count(v).alias("_bcnt"), F.sum(v).alias("_bsum"),
-                 F.sum(v * v).alias("_bsq"), F.max(v).alias("_bmax"), F.min(v).alias("_bmin"),
-                 F.max_by(F.struct(*[F.col(c).alias(c) for c in lags]), last_key).alias("_blast")]
+    bagg = d.groupBy(*keys, "_b").agg(
+        F.count(F.lit(1)).alias("_bn"), F.count(v).alias("_bcnt"), F.sum(v).alias("_bsum"),
+        F.sum(v * v).alias("_bsq"), F.max(v).alias("_bmax"), F.min(v).alias("_bmin"),
+        F.max_by(F.struct(*[F.col(c).alias(c) for c in lags]), last_key).alias("_blast"))
     if tail_n:
-        tail_item = F.when(F.col("_lbn") - F.col("_lrn") < tail_n,
-                           F.struct(F.col("_us").alias("u"), F.col(tid).alias("i"), v.alias("v")))
-        bagg_cols.append(F.collect_list(tail_item).alias("_btail"))  # <= tail_n items per bucket
-    bagg = loc.groupBy(*keys, "_b").agg(*bagg_cols)
+        # last ``tail_n`` rows of each bucket (bounded list) from the windowed frame
+        tail_item = F.struct(F.col("_us").alias("u"), F.col(tid).alias("i"), v.alias("v"))
+        tails = (loc.filter(F.col("_lbn") - F.col("_lrn") < tail_n)
+                    .groupBy(*keys, "_b").agg(F.collect_list(tail_item).alias("_btail")))
+        bagg = bagg.join(tails, [*keys, "_b"], "left")
 
     wb = Window.partitionBy(*keys).orderBy("_b")
     before = wb.rowsBetween(Window.unboundedPreceding, -1)

@@ -399,3 +399,19 @@ def g1_union_train_validation(spark, sf):
 
 
 _ = (ltx,)
+
+
+@query("f2_total_time_order", """
+SELECT TX_ID, epoch_us(TX_TS) AS TX_TS_us, row_number() OVER (ORDER BY TX_TS, TX_ID) AS time_rank FROM ltx""")
+def f2_total_time_order(spark, sf):
+    """total order by time as an explicit rank (distributed, not a single-task window)."""
+    from frauddeck.operators.globalrank import row_number_within
+    d = row_number_within(ltx(spark, sf).select("TX_ID", "TX_TS"), [], [F.col("TX_TS"), F.col("TX_ID")], out="time_rank")
+    return d.select("TX_ID", F.unix_micros("TX_TS").alias("TX_TS_us"), F.col("time_rank").cast("bigint").alias("time_rank"))
+
+
+@query("a9_sample_exact_n")
+def a9_sample_exact_n(spark, sf):
+    """A repeatable sample of exactly 500 transactions (the sample is the feature)."""
+    from frauddeck.sources.io import sample_exact
+    return sample_exact(tx(spark, sf), 500, seed=42).select("TX_ID", "CUSTOMER_ID", r("TX_AMOUNT").alias("TX_AMOUNT"))
