@@ -166,13 +166,16 @@ WITH {TRTE},
 s AS (SELECT AVG(TX_AMOUNT) AS m, stddev_pop(TX_AMOUNT) AS sd, AVG(TRANSACTION_CASHBACK_AMOUNT) AS m2,
       stddev_pop(TRANSACTION_CASHBACK_AMOUNT) AS sd2 FROM tr)
 SELECT TX_ID, ROUND((TX_AMOUNT - m) / (CASE WHEN sd = 0 OR sd IS NULL THEN 1 ELSE sd END), 6) AS TX_AMOUNT_z,
+  ROUND(TX_AMOUNT, 6) AS TX_AMOUNT_back,
   ROUND((TRANSACTION_CASHBACK_AMOUNT - m2) / (CASE WHEN sd2 = 0 OR sd2 IS NULL THEN 1 ELSE sd2 END), 6) AS TRANSACTION_CASHBACK_AMOUNT_z
 FROM te, s""")
 def i10_standard_scale_train_to_test(spark, sf):
     tr, te = _train_test(spark, sf)
     cols = ["TX_AMOUNT", "TRANSACTION_CASHBACK_AMOUNT"]
     d = E.standard_scale(te.select("TX_ID", *cols), cols, fit_on=tr, suffix="_z")
-    return d.select("TX_ID", *[r(c + "_z").alias(c + "_z") for c in cols])
+    st = tr.agg(F.avg("TX_AMOUNT").alias("m"), F.stddev_pop("TX_AMOUNT").alias("s"))
+    d = E.inverse_standard_scale(d.crossJoin(F.broadcast(st)), "TX_AMOUNT_z", F.col("m"), F.col("s"), "TX_AMOUNT_back")
+    return d.select("TX_ID", *[r(c + "_z").alias(c + "_z") for c in cols], r("TX_AMOUNT_back").alias("TX_AMOUNT_back"))
 
 
 @query("i11_prepare_categoricals", """

@@ -25,6 +25,13 @@ def _p3(spark, sf, fact="events"):
                                  bad_threshold=0.5)
 
 
+def _staged(spark, sf):
+    """Feature table computed once and cut from its lineage before fold / seed / parameter loops."""
+    from frauddeck.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    return _p3(spark, sf).select("TX_ID", "TX_TS", "TX_FRAUD", *NUM_FEATURES).checkpoint(eager=True)
+
+
 @query("p3_unified_features")
 def p3_unified_features(spark, sf):
     return _p3(spark, sf).drop("TX_TS")
@@ -74,8 +81,7 @@ def p12_small_booster_table(spark, sf):
 @query("p8_k1_k5_k7_oof_gbt")
 def p8_k1_k5_k7_oof_gbt(spark, sf):
     """OOF GBT on the unified features (time split: first 80% train, rest test); returns OOF AUC/AP."""
-    feats = _p3(spark, sf)
-    feats = split.time_split(feats)
+    feats = split.time_split(_staged(spark, sf)).checkpoint(eager=True)
     train, test = feats.filter("is_train = 1"), feats.filter("is_train = 0")
     out = P.p8_train_score_submit(train, test, NUM_FEATURES, k=3, max_iter=10)
     return out["auc"].crossJoin(out["ap"]).select(r("roc_auc", 3).alias("roc_auc"),
@@ -84,21 +90,21 @@ def p8_k1_k5_k7_oof_gbt(spark, sf):
 
 @query("k1_k11_gbt_validation_scores")
 def k1_k11_gbt_validation_scores(spark, sf):
-    feats = split.time_split(_p3(spark, sf))
+    feats = split.time_split(_staged(spark, sf))
     m = ml.fit_gbt(feats.filter("is_train = 1"), NUM_FEATURES, max_iter=15, max_depth=4)
     return ml.score(m, feats.filter("is_train = 0"), threshold=0.5)
 
 
 @query("k3_k10_tree_importance")
 def k3_k10_tree_importance(spark, sf):
-    feats = _p3(spark, sf)
+    feats = _staged(spark, sf)
     m = ml.fit_tree(feats, NUM_FEATURES, max_depth=5)
     return ml.feature_importance(m, NUM_FEATURES)
 
 
 @query("k2_mlp_scores")
 def k2_mlp_scores(spark, sf):
-    feats = split.time_split(_p3(spark, sf))
+    feats = split.time_split(_staged(spark, sf))
     m = ml.fit_mlp(feats.filter("is_train = 1"), NUM_FEATURES, hidden=(16, 8), max_iter=30, oversample=3)
     return ml.score(m, feats.filter("is_train = 0"))
 
@@ -135,3 +141,28 @@ def p11_score_report_top10(spark, sf):
     t = tx(spark, sf)
     s = adapter.scores_a(t).join(t.select("TX_ID", "TX_TS", "TRANSACTION_TYPE", "CARD_BRAND"), "TX_ID")
     return P.p11_score_report(s)["top10"].drop("TX_TS")
+
+
+@query("k4_random_search_time_folds")
+def k4_random_search_time_folds(spark, sf):
+    """K4: seeded random parameter draws scored by mean AUC over expanding time folds."""
+    feats = split.time_folds(_staged(spark, sf), 3).checkpoint(eager=True)
+    params = [dict(p, max_iter=5) for p in ml.random_param_sets(2, seed=1)]
+    return ml.search_time_folds(feats, NUM_FEATURES, k=3, params=params).select("param_id", r("mean_auc", 3).alias("mean_auc"))
+
+
+@query("k6_seed_bagging")
+def k6_seed_bagging(spark, sf):
+    """K6: mean validation score of boosters trained with three seeds."""
+    feats = split.time_split(_staged(spark, sf)).checkpoint(eager=True)
+    return ml.seed_bagging(feats.filter("is_train = 1"), feats.filter("is_train = 0"), NUM_FEATURES,
+                           seeds=(0, 1, 2), max_iter=5, max_depth=4)
+
+
+@query("p6_profiling_pack_summary")
+def p6_profiling_pack_summary(spark, sf):
+    """The profiling pack over the star-joined facts; returns the summary report row."""
+    v = views(spark, sf)
+    j = star.star_join(v["transactions"], v["customers"], v["terminals"], v["merchants"])
+    pack = P.p6_profiling_pack(j)
+    return pack["summary"].drop("first_ts", "last_ts")

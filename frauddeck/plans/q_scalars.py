@@ -216,3 +216,13 @@ def h24_h33_string_flags(spark, sf):
         (eq("CARDHOLDER_AUTH_METHOD", "No CVM performed")
          * S.cashback_features("TX_AMOUNT", "TRANSACTION_GOODS_AND_SERVICES_AMOUNT",
                                "TRANSACTION_CASHBACK_AMOUNT")["has_cashback"]).alias("cashback_no_auth"))
+
+
+@query("h1_parse_timestamps_coerce", """
+SELECT TX_ID, epoch_us(TRY_CAST(s AS TIMESTAMP)) AS parsed_us FROM (
+  SELECT TX_ID, CASE WHEN TX_ID % 7 = 0 THEN 'not a date' ELSE strftime(TX_TS, '%Y-%m-%d %H:%M:%S') END AS s FROM tx)""")
+def h1_parse_timestamps_coerce(spark, sf):
+    """H1: string timestamps parsed with coercion (bad strings -> NULL, no error)."""
+    t = tx(spark, sf).select("TX_ID", F.when(F.col("TX_ID") % 7 == 0, F.lit("not a date"))
+                             .otherwise(F.date_format("TX_TS", "yyyy-MM-dd HH:mm:ss")).alias("s"))
+    return t.select("TX_ID", F.unix_micros(S.parse_ts("s")).alias("parsed_us"))
