@@ -309,3 +309,40 @@ def e18_activity_intensity(spark, sf):
 
 
 _ = (joined,)
+
+
+HOT_SQL = "(SELECT * REPLACE (CASE WHEN TX_ID % 3 = 0 THEN 0 ELSE CUSTOMER_ID END AS CUSTOMER_ID) FROM tx)"
+
+
+def _hot(spark, sf):
+    """Events with one hot customer (id 0) that owns a third of all rows."""
+    t = tx(spark, sf)
+    return t.withColumn("CUSTOMER_ID", F.when(F.col("TX_ID") % 3 == 0, F.lit(0).cast("bigint"))
+                        .otherwise(F.col("CUSTOMER_ID")))
+
+
+@query("e5_e6_hot_customer_skew", f"""
+WITH h AS {HOT_SQL}
+SELECT TX_ID, row_number() OVER w AS rn, ROUND(avg(TX_AMOUNT) OVER wp, 6) AS prior_mean,
+  ROUND(COALESCE(stddev_samp(TX_AMOUNT) OVER wp, 0), 4) AS prior_std, max(TX_AMOUNT) OVER wp AS prior_max,
+  ROUND(avg(TX_AMOUNT) OVER w5, 6) AS mean_last_5,
+  ROUND((epoch_us(TX_TS) - lag(epoch_us(TX_TS)) OVER w) / 1e6, 6) AS gap_s
+FROM h WINDOW w AS (PARTITION BY CUSTOMER_ID ORDER BY TX_TS, TX_ID),
+  wp AS (PARTITION BY CUSTOMER_ID ORDER BY TX_TS, TX_ID ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+  w5 AS (PARTITION BY CUSTOMER_ID ORDER BY TX_TS, TX_ID ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)""")
+def e5_e6_hot_customer_skew(spark, sf):
+    """Skew stress: the hot key is split into daily buckets instead of one task."""
+    h = W.prior_history(_hot(spark, sf), ["CUSTOMER_ID"], last_n=[5])
+    return h.select("TX_ID", F.col("_hrn").alias("rn"), r(W.prior_mean()).alias("prior_mean"),
+                    r(F.coalesce(W.prior_std(), F.lit(0.0)), 4).alias("prior_std"), F.col("_hmax").alias("prior_max"),
+                    r(W.lastn_mean(5)).alias("mean_last_5"), r(W.seconds_since_prev()).alias("gap_s"))
+
+
+@query("e11_hot_customer_time_counts", f"""
+WITH h AS {HOT_SQL}
+SELECT a.TX_ID, (SELECT count(*) FROM h b WHERE b.CUSTOMER_ID = a.CUSTOMER_ID
+   AND epoch_us(b.TX_TS) > epoch_us(a.TX_TS) - 86400000000
+   AND (b.TX_TS < a.TX_TS OR (b.TX_TS = a.TX_TS AND b.TX_ID < a.TX_ID))) AS count_24h_CUSTOMER_ID FROM h a""")
+def e11_hot_customer_time_counts(spark, sf):
+    d = W.add_time_window_counts(_hot(spark, sf), "CUSTOMER_ID", {"24h": 86400})
+    return d.select("TX_ID", "count_24h_CUSTOMER_ID")
