@@ -27,10 +27,12 @@ def _default_parts(df: DataFrame) -> int:
 
 
 def prefix_sums(df: DataFrame, order: list, sums: list[str], *, n_parts: int | None = None,
-                prefix: str = "_cum_") -> DataFrame:
+                prefix: str = "_cum_", totals: bool = False) -> DataFrame:
     """Add inclusive running sums ``{prefix}{c}`` of ``sums`` in the total order ``order``.
 
     ``order`` must be a total order (unique rows) for the running sums to be deterministic.
+    ``totals`` also adds the grand totals ``_grp{c}`` from the (tiny) partition-offset table,
+    which saves a second pass over the data.
     """
     ensure_checkpoint_dir(df.sparkSession)
     n = n_parts or _default_parts(df)
@@ -39,12 +41,15 @@ def prefix_sums(df: DataFrame, order: list, sums: list[str], *, n_parts: int | N
                 .checkpoint(eager=True))
     per_part = ranged.groupBy("_pid").agg(*[F.sum(c).alias(c) for c in sums])
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = per_part.select("_pid", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_off_{c}")
-                                        for c in sums])
+                                        for c in sums],
+                              *[F.sum(c).over(everything).alias(f"_grp{c}") for c in sums])
     local = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = ranged.join(F.broadcast(offsets), "_pid")
     return out.select(*df.columns,
-                      *[(F.col(f"_off_{c}") + F.sum(c).over(local)).alias(f"{prefix}{c}") for c in sums])
+                      *[(F.col(f"_off_{c}") + F.sum(c).over(local)).alias(f"{prefix}{c}") for c in sums],
+                      *([F.col(f"_grp{c}") for c in sums] if totals else []))
 
 
 def value_counts_ranked(df: DataFrame, value: str, *, keys: list[str] = (), descending: bool = False,
@@ -59,10 +64,9 @@ def value_counts_ranked(df: DataFrame, value: str, *, keys: list[str] = (), desc
     d = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(*aggs)
     vord = F.col(value).desc() if descending else F.col(value).asc()
     sums = ["_n"] + list((extra_sums or {}).keys())
-    ranked = prefix_sums(d, [*[F.col(k) for k in keys], vord], sums)
     if not keys:
-        tot = ranked.agg(*[F.sum(c).alias(f"_grp{c}") for c in sums])
-        return ranked.crossJoin(F.broadcast(tot))  # one-row frame
+        return prefix_sums(d, [vord], sums, totals=True)
+    ranked = prefix_sums(d, [*[F.col(k) for k in keys], vord], sums)
     # subtract the running total reached before each key group starts
     grp = ranked.groupBy(*keys).agg(*[(F.min(F.col(f"_cum_{c}") - F.col(c))).alias(f"_start{c}") for c in sums],
                                     *[F.sum(c).alias(f"_grp{c}") for c in sums])
