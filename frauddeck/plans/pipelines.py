@@ -67,7 +67,7 @@ def p2_feature_table_v1(tx: DataFrame, customers: DataFrame, terminals: DataFram
         "avg_ticket_log1p": S.log1p0("AVERAGE_TICKET_SALE_AMOUNT"),
         "is_recurring": S.bool_int(S.fuzzy_bool("IS_RECURRING_TRANSACTION")),
     })
-    ref = reference if reference is not None else d
+    ref = reference if reference is not None else tx  # narrow base, not the featured frame
     for c in ("CARD_BRAND", "TRANSACTION_TYPE", "TRANSACTION_CURRENCY", "ACQUIRER_ID"):
         codes = encode.fit_codes(ref, c)
         d = encode.apply_codes(d, c, codes, unseen="minus_one", out=f"{c.lower()}_code")
@@ -109,7 +109,9 @@ def p3_unified_features(tx: DataFrame, customers: DataFrame, terminals: DataFram
     for b in blocks:
         d = d.join(b, "TX_ID", "left")
     d = star.star_join(d, customers, terminals, merchants).crossJoin(F.broadcast(median))
-    d = encode.frequency_encode(d, "MCC_CODE", "mcc_frequency")
+    # fitted on the narrow base (not on ``d``) so the feature plan is not executed twice
+    mcc_ref = tx.select("MERCHANT_ID").join(merchants.select("MERCHANT_ID", "MCC_CODE"), "MERCHANT_ID", "left")
+    d = encode.frequency_encode(d, "MCC_CODE", "mcc_frequency", reference=mcc_ref)
 
     amt, med, us = F.col("TX_AMOUNT"), F.col("_median"), S.epoch_us("TX_TS")
     h = F.hour("TX_TS")
@@ -321,8 +323,10 @@ def p12_small_booster_table(tx: DataFrame, customers: DataFrame, terminals: Data
                        "exp_month": S.split_part("CARD_EXPIRY_DATE", "/", 0).try_cast("int"),
                        "exp_year": S.split_part("CARD_EXPIRY_DATE", "/", 1).try_cast("int"),
                        "card_first4": pan["card_bin4"], "card_last4": pan["card_last4"]}).drop("_cust_mean")
+    base = tx.select("MERCHANT_ID", "CARD_BRAND", "TRANSACTION_TYPE").join(
+        merchants.select("MERCHANT_ID", "MCC_CODE"), "MERCHANT_ID", "left")
     for c in ("CARD_BRAND", "TRANSACTION_TYPE", "MCC_CODE"):
-        d = encode.apply_codes(d, c, encode.fit_codes(d, c), unseen="first", out=f"{c.lower()}_code")
+        d = encode.apply_codes(d, c, encode.fit_codes(base, c), unseen="first", out=f"{c.lower()}_code")
     return d
 
 
