@@ -4,8 +4,8 @@ Every history feature is "what happened before this row for the same entity, in
 (timestamp, id) order". A plain ``Window.partitionBy(entity)`` puts each entity into one
 task, which breaks when one customer / terminal / merchant holds a third of the rows.
 
-:func:`prior_history` therefore splits each entity's timeline into time buckets
-(default one day) and works in two levels:
+:func:`prior_history` therefore splits the timeline of every *hot* entity (more rows than
+``rows_per_bucket``) into contiguous time-range buckets and works in two levels:
 
 * local windows over ``(entity, bucket)`` - the only shuffle of the big table;
 * a per-bucket summary (rows, sums, max/min, last row, last ``n`` rows) aggregated on the
@@ -38,6 +38,26 @@ def _bucket(us: Column, seconds: int) -> Column:
     return F.floor(us / F.lit(seconds * US)).cast("bigint")
 
 
+def _adaptive_buckets(d: DataFrame, keys: list[str], rows_per_bucket: int, max_hot: int = 100_000) -> DataFrame:
+    """Add ``_b``: 0 for ordinary keys; contiguous time-range buckets for hot keys.
+
+    One map-side-combined pass gives per-key row count and time span. Keys with more than
+    ``thr = max(rows_per_bucket, ceil(N / max_hot))`` rows are hot; their span is cut into
+    equal-width time ranges sized so a bucket holds about ``thr`` rows on average. The hot-key
+    table has at most ``N / thr <= max_hot`` rows, so broadcasting it is bounded by construction.
+    (Rows sharing one timestamp cannot be separated and stay in one bucket.)
+    """
+    st = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_kn"), F.min("_us").alias("_kmin"), F.max("_us").alias("_kmax"))
+    tot = st.agg(F.sum("_kn").alias("_N"))
+    thr = F.greatest(F.lit(rows_per_bucket), F.ceil(F.col("_N") / F.lit(max_hot)))
+    width = F.greatest(F.lit(1), F.floor((F.col("_kmax") - F.col("_kmin") + 1) * thr / F.col("_kn")))
+    hot = (st.crossJoin(F.broadcast(tot)).filter(F.col("_kn") > thr)
+             .select(*keys, "_kmin", width.cast("bigint").alias("_kw")))
+    d = d.join(F.broadcast(hot), keys, "left")
+    b = F.when(F.col("_kw").isNull(), F.lit(0)).otherwise(F.floor((F.col("_us") - F.col("_kmin")) / F.col("_kw")))
+    return d.withColumn("_b", b.cast("bigint")).drop("_kw", "_kmin")
+
+
 def _std_from_moments(cnt: Column, s: Column, sq: Column, mn: Column, mx: Column) -> Column:
     """Sample std from count, sum, sum of squares; exactly 0 when all values are equal."""
     var = (sq - s * s / cnt) / (cnt - 1)
@@ -48,9 +68,12 @@ def _std_from_moments(cnt: Column, s: Column, sq: Column, mn: Column, mx: Column
 
 def prior_history(df: DataFrame, keys: list[str], *, ts: str = "TX_TS", tid: str = "TX_ID",
                   value: str | None = "TX_AMOUNT", lags: list[str] = (), last_n: list[int] = (),
-                  bucket_seconds: int = DAY, p: str = "_h") -> DataFrame:
+                  rows_per_bucket: int = 1_000_000, p: str = "_h") -> DataFrame:
     """Add helper columns describing each row's prior history inside ``keys``.
 
+    Keys with more than ``rows_per_bucket`` rows are split into time-range buckets (see
+    :func:`_adaptive_buckets`); every other key is one bucket, i.e. a plain partitioned window.
+
     Added columns (``p`` = prefix):
       ``{p}rn``        1-based row number in (ts, tid) order
       ``{p}cnt``       prior non-null values            ``{p}sum / {p}sq / {p}max / {p}min``
@@ -62,7 +85,7 @@ def prior_history(df: DataFrame, keys: list[str], *, ts: str = "TX_TS", tid: str
     last_n = sorted(set(last_n))
     tail_n = max(last_n) if last_n else 0
     d = df.withColumn("_us", epoch_us(ts))
-    d = d.withColumn("_b", _bucket(F.col("_us"), bucket_seconds))
+    d = _adaptive_buckets(d, keys, rows_per_bucket)
     d = d.withColumn("_v", F.col(value).cast("double") if value else F.lit(None).cast("double"))
 
     wl = Window.partitionBy(*keys, "_b").orderBy("_us", tid)
@@ -158,7 +181,7 @@ def prior_history(df: DataFrame, keys: list[str], *, ts: str = "TX_TS", tid: str
 
 def history_block(base: DataFrame, keys: list[str], features, *, ts: str = "TX_TS", tid: str = "TX_ID",
                   value: str | None = "TX_AMOUNT", lags: list[str] = (), last_n: list[int] = (),
-                  extra: list[str] = (), p: str = "_h", bucket_seconds: int = DAY) -> DataFrame:
+                  extra: list[str] = (), p: str = "_h", rows_per_bucket: int = 1_000_000) -> DataFrame:
     """History features of one entity key computed on a narrow projection: ``(tid, features...)``.
 
     ``features`` maps output names to Columns over the :func:`prior_history` helper columns
@@ -168,7 +191,7 @@ def history_block(base: DataFrame, keys: list[str], features, *, ts: str = "TX_T
     """
     cols = list(dict.fromkeys([*keys, ts, tid, *([value] if value else []), *lags, *extra]))
     h = prior_history(base.select(*cols), keys, ts=ts, tid=tid, value=value, lags=lags, last_n=last_n,
-                      bucket_seconds=bucket_seconds, p=p)
+                      rows_per_bucket=rows_per_bucket, p=p)
     feats = features(h) if callable(features) else features
     return h.select(tid, *[c.alias(n) for n, c in feats.items()])
 

@@ -332,7 +332,8 @@ FROM h WINDOW w AS (PARTITION BY CUSTOMER_ID ORDER BY TX_TS, TX_ID),
   w5 AS (PARTITION BY CUSTOMER_ID ORDER BY TX_TS, TX_ID ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)""")
 def e5_e6_hot_customer_skew(spark, sf):
     """Skew stress: the hot key is split into daily buckets instead of one task."""
-    h = W.prior_history(_hot(spark, sf), ["CUSTOMER_ID"], last_n=[5])
+    # a small bucket size so the hot key is split even at the small test scales
+    h = W.prior_history(_hot(spark, sf), ["CUSTOMER_ID"], last_n=[5], rows_per_bucket=200)
     return h.select("TX_ID", F.col("_hrn").alias("rn"), r(W.prior_mean()).alias("prior_mean"),
                     r(F.coalesce(W.prior_std(), F.lit(0.0)), 4).alias("prior_std"), F.col("_hmax").alias("prior_max"),
                     r(W.lastn_mean(5)).alias("mean_last_5"), r(W.seconds_since_prev()).alias("gap_s"))

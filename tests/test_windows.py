@@ -33,7 +33,7 @@ def test_24h_counts_tie_exact(six):
 
 
 def test_prior_history_first_row_and_single_row(six):
-    h = W.prior_history(six, ["CUSTOMER_ID"], last_n=[3])
+    h = W.prior_history(six, ["CUSTOMER_ID"], last_n=[3], rows_per_bucket=2)
     r = {x["TX_ID"]: x for x in h.select("TX_ID", "_hrn", "_hcnt", "_hsum", "_hmax", "_hl3_cnt",
                                         W.prior_std().alias("std")).collect()}
     assert r[1]["_hrn"] == 1 and r[1]["_hcnt"] == 0 and r[1]["_hsum"] is None and r[1]["_hmax"] is None
@@ -44,7 +44,7 @@ def test_prior_history_first_row_and_single_row(six):
 
 def test_constant_values_std_exactly_zero(spark):
     rows = [(i, _ts("2024-01-01 00:00") + dt.timedelta(hours=7 * i), "C", 0.1) for i in range(20)]
-    h = W.prior_history(spark.createDataFrame(rows, SCHEMA), ["CUSTOMER_ID"], last_n=[5])
+    h = W.prior_history(spark.createDataFrame(rows, SCHEMA), ["CUSTOMER_ID"], last_n=[5], rows_per_bucket=3)
     stds = [x[0] for x in h.select(W.prior_std()).collect() if x[0] is not None]
     assert stds and all(s == 0.0 for s in stds)
 
@@ -71,7 +71,7 @@ def test_bucketed_history_matches_pandas_with_hot_key(spark):
         amt = None if rnd.random() < 0.05 else round(rnd.uniform(0, 500), 2)
         rows.append((i, ts, cust, amt))
     df = spark.createDataFrame(rows, SCHEMA)
-    h = W.prior_history(df, ["CUSTOMER_ID"], last_n=[3])
+    h = W.prior_history(df, ["CUSTOMER_ID"], last_n=[3], rows_per_bucket=40)  # HOT splits into ~25 buckets
     got = h.select("TX_ID", "_hrn", W.prior_mean().alias("pmean"), W.prior_std().alias("pstd"),
                    F.col("_hmax").alias("pmax"), W.lastn_mean(3).alias("l3"),
                    W.seconds_since_prev().alias("prev")).toPandas().set_index("TX_ID")
@@ -82,6 +82,17 @@ def test_bucketed_history_matches_pandas_with_hot_key(spark):
         assert ((a - b).abs().fillna(0) < 1e-6).all() and (a.isna() == b.isna()).all(), c
 
 
+def test_hot_key_is_split_into_buckets(spark):
+    rows = [(i, _ts("2024-01-01 00:00") + dt.timedelta(minutes=7 * i), "HOT" if i % 3 else f"c{i % 5}", 1.0)
+            for i in range(3000)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("_us", F.unix_micros("TX_TS"))
+    b = W._adaptive_buckets(df, ["CUSTOMER_ID"], 250)  # HOT has 2000 rows, the c* keys 200 each
+    per = {r["CUSTOMER_ID"]: r["nb"] for r in b.groupBy("CUSTOMER_ID").agg(F.countDistinct("_b").alias("nb")).collect()}
+    assert per["HOT"] >= 6 and all(v == 1 for k, v in per.items() if k != "HOT")
+    biggest = b.filter("CUSTOMER_ID = 'HOT'").groupBy("_b").count().agg(F.max("count")).first()[0]
+    assert biggest <= 400  # no bucket is much larger than the target
+
+
 def test_history_window_is_partitioned(spark, six):
     """Plan check: every Window in the history operator has a partition key (no single task)."""
     h = W.prior_history(six, ["CUSTOMER_ID"], last_n=[3])
