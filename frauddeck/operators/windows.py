@@ -261,23 +261,27 @@ def add_time_window_counts(df: DataFrame, key: str, windows: dict[str, int] | No
     (width = w) and, as a halo, in the next one, so each ``(key, bucket)`` is self-contained.
     """
     windows = windows or {"24h": DAY, "7d": 7 * DAY}
-    out = df
+    base = df.select(key, tid, epoch_us(ts).alias("_us"))
+    counts = None
     for label, secs in windows.items():
         w_us = secs * US
-        base = df.select(key, tid, epoch_us(ts).alias("_us")).withColumn("_own", _bucket(F.col("_us"), secs))
-        own = base.select(key, tid, "_us", F.col("_own").alias("_tb"), F.lit(True).alias("_is_own"))
-        halo = base.select(key, tid, "_us", (F.col("_own") + 1).alias("_tb"), F.lit(False).alias("_is_own"))
+        b = base.withColumn("_own", _bucket(F.col("_us"), secs))
+        own = b.select(key, tid, "_us", F.col("_own").alias("_tb"), F.lit(True).alias("_is_own"))
+        halo = b.select(key, tid, "_us", (F.col("_own") + 1).alias("_tb"), F.lit(False).alias("_is_own"))
         u = own.unionByName(halo)
-        rng = Window.partitionBy(key, "_tb").orderBy("_us").rangeBetween(-(w_us - 1), 0)
-        peers = Window.partitionBy(key, "_tb", "_us")
-        peer_rank = Window.partitionBy(key, "_tb", "_us").orderBy(tid)
-        later_peers = F.count(F.lit(1)).over(peers) - F.row_number().over(peer_rank)
-        cnt = F.count(F.lit(1)).over(rng) - 1 - later_peers
-        c = (u.select(key, tid, "_is_own", cnt.alias("_c"))
+        # rows before this one in (ts, id) order, minus those at or before t - w: exactly the
+        # earlier rows inside (t - w, t], equal timestamps counted only when earlier by id.
+        # Both windows share one sort on (key, bucket, ts, id).
+        before = F.row_number().over(Window.partitionBy(key, "_tb").orderBy("_us", tid)) - 1
+        too_old = F.count(F.lit(1)).over(Window.partitionBy(key, "_tb").orderBy("_us")
+                                         .rangeBetween(Window.unboundedPreceding, -w_us))
+        cnt = before - too_old
+        c = (u.select(tid, "_is_own", cnt.alias("_c"))
               .filter("_is_own")
-              .select(key, tid, F.greatest(F.col("_c"), F.lit(0)).cast("bigint").alias(f"count_{label}_{key}")))
-        out = out.join(c, [key, tid], "left")
-    return out
+              .select(tid, F.greatest(F.col("_c"), F.lit(0)).cast("bigint").alias(f"count_{label}_{key}")))
+        counts = c if counts is None else counts.join(c, tid)
+    # narrow count frames meet the wide frame once, on the row id
+    return df.join(counts, tid, "left")
 
 
 def add_prev_location(df: DataFrame, key: str, x: str, y: str, *, gap_col: str | None = None,
