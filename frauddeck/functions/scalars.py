@@ -132,15 +132,18 @@ def time_of_day(ts) -> Column:
 
 
 def is_weekend(ts) -> Column:
+    """H4: Saturday or Sunday."""
     return weekday(ts).isin(5, 6).cast("int")
 
 
 def is_night(hour) -> Column:
+    """H4: hour >= 22 or <= 6."""
     h = _c(hour)
     return ((h >= 22) | (h <= 6)).cast("int")
 
 
 def is_business_hours(hour) -> Column:
+    """H4: 9 <= hour <= 17."""
     h = _c(hour)
     return ((h >= 9) & (h <= 17)).cast("int")
 
@@ -160,7 +163,7 @@ def hour_bands(hour, day) -> dict[str, Column]:
 
 # Hour -> risk level 0..3 (hours 0..23 in order).
 HOUR_RISK = [3, 3, 3, 3, 2, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1, 1, 1, 2, 2, 3]
-# High- and low-risk hours.
+# High- and low-risk hours (H7, used with :func:`in_flag`).
 HIGH_RISK_HOURS = [4, 8, 10, 11, 18]
 LOW_RISK_HOURS = [12, 20, 23]
 
@@ -243,7 +246,7 @@ def log1p0(c) -> Column:
 
 
 def ratio(num, den, eps: float = 1e-8) -> Column:
-    """Num / (den + eps)."""
+    """Num / (den + eps). (H15 distance x amount is a plain product.)"""
     return _c(num) / (_c(den) + F.lit(eps))
 
 
@@ -361,7 +364,8 @@ def not_null_flag(c) -> Column:
 
 
 def bool_int(c) -> Column:
-    """Boolean -> 0/1 with NULL -> 0."""
+    """Boolean -> 0/1 with NULL -> 0. H32: the recurring flag is ``bool_int(fuzzy_bool(c))``
+    (fixes quirk Q3). H31 interaction flags are products of these 0/1 columns."""
     return F.coalesce(_c(c).cast("boolean"), F.lit(False)).cast("int")
 
 

@@ -46,6 +46,21 @@ def project_features(df: DataFrame, features: list[str], keep: list[str] = ()) -
     return df.select(*cols)
 
 
+def rename(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
+    """Rename columns present in ``mapping`` (e.g. ``y_terminal__id`` -> ``y_terminal_id``)."""
+    return df.withColumnsRenamed({k: v for k, v in mapping.items() if k in df.columns})
+
+
+def drop_columns(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Drop leakage / low-value columns that are present."""
+    return df.drop(*[c for c in cols if c in df.columns])
+
+
+def filter_rows(df: DataFrame, cond) -> DataFrame:
+    """Row filter by label / flag / set membership (pushed down by Catalyst)."""
+    return df.filter(cond)
+
+
 def select_present(df: DataFrame, wanted: list[str]) -> DataFrame:
     """Optional-column selection."""
     return df.select(*[c for c in wanted if c in df.columns])

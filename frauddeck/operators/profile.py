@@ -154,7 +154,7 @@ def entity_fraud_profile(df: DataFrame, key: str, label: str = "TX_FRAUD") -> Da
 
 
 def distinct_values(tables: dict[str, DataFrame], columns: list[str], max_list: int = 20) -> DataFrame:
-    """Distinct values of categorical columns across several tables.
+    """D16 / A5 / G2 (G3, column-wise concat of feature blocks, is a single ``select``): distinct values of categorical columns across several tables.
 
     One unpivot per table into ``(column, value)`` strings, union, distinct; per column the
     count, min, max and the sorted list only when it has at most ``max_list`` values. The list

@@ -19,6 +19,7 @@ TX_COLS = ("TX_ID, epoch_us(TX_TS) AS TX_TS_us, CUSTOMER_ID, TERMINAL_ID, MERCHA
 
 @query("a2_payments_view", f"SELECT {TX_COLS} FROM tx")
 def a2_payments_view(spark, sf):
+    """A2 typed read of the transaction table (adapter over the driver parquet files)."""
     t = tx(spark, sf)
     return t.select("TX_ID", F.unix_micros("TX_TS").alias("TX_TS_us"), *[
         r(c).alias(c) if c in ("TX_AMOUNT", "TRANSACTION_GOODS_AND_SERVICES_AMOUNT", "TRANSACTION_CASHBACK_AMOUNT")
@@ -80,6 +81,7 @@ FROM (SELECT *, lower(trim(TAX_EXCEMPT_INDICATOR)) AS t FROM merchants)"""
 
 @query("p1_clean_merchants", CLEAN_M_SQL)
 def p1_clean_merchants(spark, sf):
+    """P1 merchants: B1 dedup, B4 percent clip, B5 money floor, B6 fuzzy boolean, B10 drop."""
     m = clean.clean_merchants(adapter.merchants(spark, sf))
     money = ["ANNUAL_TURNOVER_CARD", "ANNUAL_TURNOVER", "AVERAGE_TICKET_SALE_AMOUNT"]
     return m.select(*[F.col(c).cast("int").alias(c) if c == "TAX_EXCEMPT_INDICATOR"
@@ -91,6 +93,7 @@ SELECT CUSTOMER_ID, LEAST(GREATEST(x_customer_id, 0), 100) AS x_customer_id,
        LEAST(GREATEST(y_customer_id, 0), 100) AS y_customer_id, SEGMENT
 FROM customers WHERE x_customer_id IS NOT NULL AND y_customer_id IS NOT NULL""")
 def p1_clean_customers(spark, sf):
+    """P1 customers: B1 dedup, B3 required columns, B4 coordinate clip."""
     return clean.clean_customers(adapter.customers(spark, sf))
 
 
@@ -134,6 +137,7 @@ FROM (
 
 @query("p1_clean_transactions", CLEAN_TX_SQL)
 def p1_clean_transactions(spark, sf):
+    """P1 transactions: B2 latest per id, B3, B5, B6, B7 expiry, B8 rescale, B9 label, B10 drop."""
     d = clean.clean_transactions(tx(spark, sf))
     money = ["TX_AMOUNT", "TRANSACTION_GOODS_AND_SERVICES_AMOUNT", "TRANSACTION_CASHBACK_AMOUNT"]
     cols = []
@@ -158,6 +162,7 @@ SELECT TX_ID, TX_FRAUD, CAST(TX_AMOUNT AS DOUBLE) AS TX_AMOUNT, CAST(x_customer_
 FROM (SELECT t.*, c.x_customer_id, ln(1 + GREATEST(COALESCE(m.ANNUAL_TURNOVER_CARD, 0), 0)) AS annual_turnover_card_log1p
       FROM tx t LEFT JOIN merchants m USING (MERCHANT_ID) LEFT JOIN customers c USING (CUSTOMER_ID))""")
 def b12_project_features(spark, sf):
+    """B12 projection to a feature list (B13 optional columns, quirk Q1)."""
     j = joined(spark, sf).withColumn("annual_turnover_card_log1p", S.log1p0("ANNUAL_TURNOVER_CARD"))
     p = clean.project_features(j, FEATS, keep=["TX_ID", "TX_FRAUD"])
     return p.withColumn("ANNUAL_TURNOVER_CARD_LOG1P", r("ANNUAL_TURNOVER_CARD_LOG1P"))
@@ -311,3 +316,12 @@ def c9_anti_filter(spark, sf):
     t = ltx(spark, sf)
     bad = profile.compromised_entities(t, "MERCHANT_ID", min_count=5, threshold=0.5)
     return star.anti_filter(t, bad, "MERCHANT_ID").select("TX_ID")
+
+
+@query("b10_b11_drop_and_rename", """
+SELECT TX_ID, CARD_DATA AS masked_pan, TX_AMOUNT AS amount FROM tx""")
+def b10_b11_drop_and_rename(spark, sf):
+    """B10 drop leakage / low-value columns, B11 rename."""
+    t = tx(spark, sf).select("TX_ID", "CARD_DATA", "TX_AMOUNT", "FAILURE_CODE", "TRANSACTION_STATUS")
+    d = clean.drop_columns(t, ["FAILURE_CODE", "TRANSACTION_STATUS", "NOT_PRESENT"])
+    return clean.rename(d, {"CARD_DATA": "masked_pan", "TX_AMOUNT": "amount", "y_terminal__id": "y_terminal_id"})

@@ -222,6 +222,7 @@ FROM d GROUP BY column_name"""
 
 @query("d16_distinct_values", _d16_sql())
 def d16_distinct_values(spark, sf):
+    """D16 distinct values per categorical column over three tables (A5 one-scan form, G2 union+distinct)."""
     v = views(spark, sf)
     return P.distinct_values({"transactions": v["transactions"], "merchants": v["merchants"],
                               "customers": v["customers"]}, D16_COLS)
@@ -391,6 +392,7 @@ def f4_top_features_by_abs_corr(spark, sf):
 SELECT TX_ID, 'train' AS part FROM tx WHERE TX_TS < TIMESTAMP '2024-01-25'
 UNION ALL SELECT TX_ID, 'valid' AS part FROM tx WHERE TX_TS >= TIMESTAMP '2024-01-25'""")
 def g1_union_train_validation(spark, sf):
+    """G1 row union (G3 column-wise concat is a single select in every feature query)."""
     t = tx(spark, sf)
     cut = F.lit("2024-01-25 00:00:00").cast("timestamp")
     a = t.filter(F.col("TX_TS") < cut).select("TX_ID", F.lit("train").alias("part"))

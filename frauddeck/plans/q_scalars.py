@@ -29,6 +29,7 @@ SELECT TX_ID, CAST(hour(TX_TS) AS BIGINT) AS hour, CAST(isodow(TX_TS) - 1 AS BIG
   CAST(hour(TX_TS) IN (12, 20, 23) AS INTEGER) AS is_low_risk_hour
 FROM tx""")
 def h1_h12_calendar_features(spark, sf):
+    """H2-H7 calendar parts, day fraction, weekend/night/business hours, bands, hour risk, risk-hour sets."""
     t = tx(spark, sf)
     h = F.hour("TX_TS")
     bands = S.hour_bands(h, F.dayofmonth("TX_TS"))
@@ -118,6 +119,7 @@ SELECT TX_ID,
          + (1 - TX_AMOUNT / (TX_AMOUNT + 50.0)) * ln(1 - TX_AMOUNT / (TX_AMOUNT + 50.0) + 1e-8)), 6) AS amount_entropy
 FROM {STAR}""")
 def h13_h23_math_features(spark, sf):
+    """H13-H23 distances, centre box, logs, ratios, round flags, amount bands, cashback, merchant flags."""
     j = joined(spark, sf)
     xc, yc, xt, yt = "x_customer_id", "y_customer_id", "x_terminal_id", "y_terminal_id"
     dist = S.distance(xc, yc, xt, yt, null_to_zero=True)
@@ -186,6 +188,7 @@ SELECT TX_ID, substr(CARD_DATA, 1, 1) AS card_first_digit, substr(CARD_DATA, 1,
     AS cashback_no_auth
 FROM {STAR}""")
 def h24_h33_string_flags(spark, sf):
+    """H24-H33 PAN parts, splits, contains / equality / membership flags, ordinal maps, H31 interactions."""
     j = joined(spark, sf)
     pan = S.pan_parts("CARD_DATA")
     eq = S.eq_flag

@@ -44,7 +44,7 @@ SCHEMAS = {"customers": CUSTOMERS, "terminals": TERMINALS, "merchants": MERCHANT
 
 def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType, *, timestamp_format: str | None = None,
                    mode: str = "PERMISSIVE") -> DataFrame:
-    """A1 / A2: header CSV with a fixed schema (no inference pass); bad fields -> NULL.
+    """A1 / A2 / A3: header CSV with a fixed schema (no inference pass); bad fields -> NULL.
 
     A3: a missing path raises ``FileNotFoundError`` naming the path.
     """
