@@ -174,13 +174,12 @@ def distinct_values(tables: dict[str, DataFrame], columns: list[str], max_list:
     dv = u.filter(F.col("value").isNotNull()).distinct()
     g = dv.groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"), F.min("value").alias("first_value"),
                                  F.max("value").alias("last_value"))
-    from pyspark.sql import Window
-    rk = dv.withColumn("_r", F.row_number().over(Window.partitionBy("column").orderBy("value")))
-    small = (rk.filter(F.col("_r") <= max_list + 1).groupBy("column")
-               .agg(F.sort_array(F.collect_list("value")).alias("_vals"), F.max("_r").alias("_m")))
-    out = g.join(small, "column", "left")
-    return out.select("column", "n_distinct", "first_value", "last_value",
-                      F.when(F.col("n_distinct") <= max_list, F.array_join("_vals", "|")).alias("values"))
+    # only columns with at most ``max_list`` values get a list: semi-join to that (tiny) column
+    # list first, so no high-cardinality column is ever gathered or sorted in one task
+    few = g.filter(F.col("n_distinct") <= max_list).select("column")
+    small = (dv.join(F.broadcast(few), "column", "left_semi").groupBy("column")
+               .agg(F.array_join(F.sort_array(F.collect_list("value")), "|").alias("values")))
+    return g.join(small, "column", "left").select("column", "n_distinct", "first_value", "last_value", "values")
 
 
 def compromised_entities(df: DataFrame, key: str = "TERMINAL_ID", label: str = "TX_FRAUD", *,

@@ -17,29 +17,41 @@ def seeded_key(id_col: str, seed: int = 42) -> Column:
     return F.xxhash64(F.col(id_col), F.lit(seed))
 
 
+def _narrow_rank(df: DataFrame, keys: list[str], order: list[Column], id_col: str, extra: dict | None = None) -> DataFrame:
+    """Rank a narrow ``(id, keys, order)`` projection (checkpointed by the rank helper) and
+    return ``(id, _r, _r_n)``; callers join it back on the id, so the wide rows are shuffled
+    once and never checkpointed."""
+    cols = {id_col: F.col(id_col), **{k: F.col(k) for k in keys}, **(extra or {})}
+    narrow = df.select(*[c.alias(n) for n, c in cols.items()])
+    r = globalrank.row_number_within(narrow, keys, order, out="_r")
+    if not keys:
+        r = r.crossJoin(F.broadcast(narrow.agg(F.count(F.lit(1)).alias("_r_n"))))
+    return r.select(id_col, "_r", "_r_n")
+
+
 def stratified_split(df: DataFrame, *, label: str = "TX_FRAUD", id_col: str = "TX_ID", train_frac: float = 0.8,
                      shuffle_key: Column | None = None, out: str = "is_train") -> DataFrame:
     """Per class, the first ``floor(train_frac * n_class)`` rows in hash order are train."""
     key = shuffle_key if shuffle_key is not None else seeded_key(id_col)
-    d = globalrank.row_number_within(df.withColumn("_sk", key), [label], [F.col("_sk"), F.col(id_col)], out="_r")
-    return d.withColumn(out, (F.col("_r") <= F.floor(F.col("_r_n") * train_frac)).cast("int")).drop("_sk", "_r", "_r_n")
+    r = _narrow_rank(df, [label], [F.col("_sk"), F.col(id_col)], id_col, {"_sk": key})
+    r = r.select(id_col, (F.col("_r") <= F.floor(F.col("_r_n") * train_frac)).cast("int").alias(out))
+    return df.join(r, id_col)
 
 
 def time_split(df: DataFrame, *, ts: str = "TX_TS", id_col: str = "TX_ID", train_frac: float = 0.8,
                out: str = "is_train") -> DataFrame:
     """The earliest ``floor(train_frac * n)`` rows by (ts, id) are train, the rest validation."""
-    d = globalrank.row_number_within(df, [], [F.col(ts), F.col(id_col)], out="_r")
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
-    return (d.crossJoin(F.broadcast(n))
-             .withColumn(out, (F.col("_r") <= F.floor(F.col("_n") * train_frac)).cast("int")).drop("_r", "_n"))
+    r = _narrow_rank(df, [], [F.col(ts), F.col(id_col)], id_col, {ts: F.col(ts)})
+    r = r.select(id_col, (F.col("_r") <= F.floor(F.col("_r_n") * train_frac)).cast("int").alias(out))
+    return df.join(r, id_col)
 
 
 def stratified_kfold(df: DataFrame, k: int = 5, *, label: str = "TX_FRAUD", id_col: str = "TX_ID",
                      shuffle_key: Column | None = None, out: str = "fold") -> DataFrame:
     """fold = (rank within class in hash order - 1) mod k: class-balanced folds."""
     key = shuffle_key if shuffle_key is not None else seeded_key(id_col)
-    d = globalrank.row_number_within(df.withColumn("_sk", key), [label], [F.col("_sk"), F.col(id_col)], out="_r")
-    return d.withColumn(out, F.pmod(F.col("_r") - 1, F.lit(k)).cast("int")).drop("_sk", "_r", "_r_n")
+    r = _narrow_rank(df, [label], [F.col("_sk"), F.col(id_col)], id_col, {"_sk": key})
+    return df.join(r.select(id_col, F.pmod(F.col("_r") - 1, F.lit(k)).cast("int").alias(out)), id_col)
 
 
 def time_folds(df: DataFrame, k: int = 5, *, ts: str = "TX_TS", id_col: str = "TX_ID", out: str = "fold") -> DataFrame:
@@ -48,14 +60,13 @@ def time_folds(df: DataFrame, k: int = 5, *, ts: str = "TX_TS", id_col: str = "T
     Fold ``f`` is validated on its rows and trained on all rows of folds < f (fold 0 has
     no training rows and is skipped by callers, quirk Q14).
     """
-    d = globalrank.row_number_within(df, [], [F.col(ts), F.col(id_col)], out="_r")
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
+    r = _narrow_rank(df, [], [F.col(ts), F.col(id_col)], id_col, {ts: F.col(ts)})
     p = F.col("_r") - 1
-    q = F.floor(F.col("_n") / k)
-    rem = F.col("_n") - q * k
+    q = F.floor(F.col("_r_n") / k)
+    rem = F.col("_r_n") - q * k
     boundary = rem * (q + 1)
     fold = F.when(p < boundary, F.floor(p / (q + 1))).otherwise(rem + F.floor((p - boundary) / q))
-    return d.crossJoin(F.broadcast(n)).withColumn(out, fold.cast("int")).drop("_r", "_n")
+    return df.join(r.select(id_col, fold.cast("int").alias(out)), id_col)
 
 
 def class_weight(df: DataFrame, label: str = "TX_FRAUD", factor: float = 1.0) -> DataFrame:
