@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frauddeck.operators import globalrank
+from frauddeck.operators.attach import attach_row
 
 EPS = 1e-8
 
@@ -90,7 +91,7 @@ def platt_heuristic(df: DataFrame, col: str, out: str, sign: float = 1.0) -> Dat
     st = df.agg(F.avg(col).alias("_m"), F.stddev_pop(col).alias("_s"))
     a = F.when(F.col("_s") > 0, 1.0 / F.col("_s")).otherwise(F.lit(1.0))
     b = -a * safe_logit(F.col("_m"))
-    j = df.crossJoin(F.broadcast(st))
+    j = attach_row(df, st)
     return j.withColumn(out, 1.0 / (1.0 + F.exp(F.lit(sign) * (a * safe_logit(col) + b)))).drop("_m", "_s")
 
 
@@ -151,8 +152,13 @@ def search_blend_weights(df: DataFrame, a: str = "p_a", b: str = "p_b", label: s
     spark = df.sparkSession
     g = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(grid)],
                               "gid int, w1 double, w2 double, w3 double, t1 double, t2 double")
-    j = df.select(F.col(a).alias("_a"), F.col(b).alias("_b"), F.col(label).cast("double").alias("_y")) \
-          .crossJoin(F.broadcast(g))
+    # every row is scored under every parameter point (the objective's definition): a literal
+    # array of the |grid| parameter structs is exploded per row
+    params = F.array(*[F.struct(F.lit(i).alias("gid"), *[F.lit(float(v)).alias(n) for n, v in
+                                                        zip(["w1", "w2", "w3", "t1", "t2"], p)])
+                       for i, p in enumerate(grid)])
+    j = df.select(F.col(a).alias("_a"), F.col(b).alias("_b"), F.col(label).cast("double").alias("_y"),
+                  F.explode(params).alias("_g")).select("_a", "_b", "_y", "_g.*")
     tot = F.col("w1") + F.col("w2") + F.col("w3")
     w1, w2, w3 = F.col("w1") / tot, F.col("w2") / tot, F.col("w3") / tot
     sa = 1.0 / (1.0 + F.exp(-safe_logit("_a") / F.col("t1")))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frauddeck.functions import scalars as S
+from frauddeck.operators.attach import attach_row
 
 
 def dedup_keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -76,7 +77,7 @@ def impute_median(df: DataFrame, cols: list[str]) -> DataFrame:
     out = df
     for c in cols:
         med = exact_quantile(df, c, 0.5).select(F.col(f"q_{c}").alias(f"_med_{c}"))
-        out = out.crossJoin(F.broadcast(med)).withColumn(c, F.coalesce(F.col(c), F.col(f"_med_{c}"))) \
+        out = attach_row(out, med).withColumn(c, F.coalesce(F.col(c), F.col(f"_med_{c}"))) \
                  .drop(f"_med_{c}")
     return out
 

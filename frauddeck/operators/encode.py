@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from frauddeck.functions import scalars as S
 from frauddeck.operators import globalrank
+from frauddeck.operators.attach import attach_row
 
 
 def one_hot(df: DataFrame, cols: list[str], *, null_token: str = "unknown", max_levels: int = 1000,
@@ -44,7 +45,7 @@ def fit_codes(train: DataFrame, col: str, *, null_token: str = "__NA__") -> Data
     vals = train.select(S.null_token(col, null_token).alias("_value")).distinct()
     ranked = globalrank.row_number_within(vals, [], [F.col("_value")], out="_code1")
     n = vals.agg(F.count(F.lit(1)).alias("n_classes"))
-    return ranked.select("_value", (F.col("_code1") - 1).cast("bigint").alias("code")).crossJoin(F.broadcast(n))
+    return attach_row(ranked.select("_value", (F.col("_code1") - 1).cast("bigint").alias("code")), n)
 
 
 def apply_codes(df: DataFrame, col: str, mapping: DataFrame, *, unseen: str = "minus_one",
@@ -53,7 +54,7 @@ def apply_codes(df: DataFrame, col: str, mapping: DataFrame, *, unseen: str = "m
     out = out or col
     n = mapping.agg(F.coalesce(F.max("n_classes"), F.lit(0).cast("bigint")).alias("_ncls"))  # one row
     d = df.withColumn("_value", S.null_token(col, null_token))
-    j = d.join(mapping.select("_value", F.col("code").alias("_code")), "_value", "left").crossJoin(F.broadcast(n))
+    j = attach_row(d.join(mapping.select("_value", F.col("code").alias("_code")), "_value", "left"), n)
     fill = {"minus_one": F.lit(-1).cast("bigint"), "first": F.lit(0).cast("bigint"),
             "n_classes": F.col("_ncls")}[unseen]
     return j.withColumn(out, F.coalesce(F.col("_code"), fill)).drop("_value", "_code", "_ncls")
@@ -63,8 +64,8 @@ def frequency_encode(df: DataFrame, col: str, out: str, *, reference: DataFrame
     """Share of rows with this value among non-null rows of ``reference`` (default df); unseen -> 0."""
     ref = reference if reference is not None else df
     tot = ref.agg(F.count(col).alias("_tot"))
-    freq = (ref.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
-               .crossJoin(F.broadcast(tot)).select(col, (F.col("_c") / F.col("_tot")).alias(out)))
+    counts = ref.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
+    freq = attach_row(counts, tot).select(col, (F.col("_c") / F.col("_tot")).alias(out))
     return df.join(freq, col, "left").withColumn(out, F.coalesce(F.col(out), F.lit(0.0)))
 
 
@@ -97,7 +98,7 @@ def out_of_fold_target_encode(df: DataFrame, col: str, *, fold: str = "fold", la
     w = Window.partitionBy(col)
     per = per.select(col, fold, (F.sum("_fs").over(w) - F.col("_fs")).alias("_os"),
                      (F.sum("_fn").over(w) - F.col("_fn")).alias("_on"))
-    j = df.join(per, [col, fold], "left").crossJoin(F.broadcast(g))
+    j = attach_row(df.join(per, [col, fold], "left"), g)
     n, s = F.col("_on"), F.col("_os")
     if alpha is None:
         enc = F.when(n > 0, s / n)
@@ -111,7 +112,7 @@ def apply_target_encoding(rows: DataFrame, encoded_train: DataFrame, col: str, t
     te_col = te_col or f"{col}_te"
     per = encoded_train.groupBy(col).agg(F.avg(te_col).alias(te_col))
     g = encoded_train.agg(F.avg(te_col).alias("_g"))
-    return (rows.join(per, col, "left").crossJoin(F.broadcast(g))
+    return (attach_row(rows.join(per, col, "left"), g)
                 .withColumn(te_col, F.coalesce(F.col(te_col), F.col("_g"))).drop("_g"))
 
 
@@ -119,7 +120,7 @@ def standard_scale(df: DataFrame, cols: list[str], *, fit_on: DataFrame | None =
     """(x - mean) / std_pop with statistics from ``fit_on`` (default df); std 0 -> 1."""
     ref = fit_on if fit_on is not None else df
     stats = ref.agg(*[F.avg(c).alias(f"_m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"_s_{c}") for c in cols])
-    j = df.crossJoin(F.broadcast(stats))
+    j = attach_row(df, stats)
     upd = {}
     for c in cols:
         s = F.col(f"_s_{c}")

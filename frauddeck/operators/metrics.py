@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frauddeck.operators import globalrank
+from frauddeck.operators.attach import attach_row
 
 
 def _y(label: str) -> Column:
@@ -32,13 +33,15 @@ def _sd(num: Column, den: Column) -> Column:
 
 def class_report(df: DataFrame, label: str = "y", pred: str = "pred") -> DataFrame:
     """L4: per-class precision, recall, F1 and support from one ``groupBy(label, pred)``."""
-    cnt = df.groupBy(label, pred).agg(F.count(F.lit(1)).alias("n"))
-    classes = cnt.select(F.col(label).alias("cls")).union(cnt.select(F.col(pred).alias("cls"))).distinct()
-    j = classes.crossJoin(F.broadcast(cnt))  # classes x cells: both tiny
-    per = j.groupBy("cls").agg(
-        F.sum(F.when((F.col(label) == F.col("cls")) & (F.col(pred) == F.col("cls")), F.col("n")).otherwise(0)).alias("tp"),
-        F.sum(F.when(F.col(pred) == F.col("cls"), F.col("n")).otherwise(0)).alias("pred_n"),
-        F.sum(F.when(F.col(label) == F.col("cls"), F.col("n")).otherwise(0)).alias("support"))
+    cnt = df.groupBy(label, pred).agg(F.count(F.lit(1)).alias("n"))  # one row per (label, pred) cell
+    # each cell contributes to its label's support, its prediction's count and (diagonal) tp
+    contrib = cnt.select(F.explode(F.array(
+        F.struct(F.col(label).alias("cls"), F.lit(0).cast("bigint").alias("tp"), F.lit(0).cast("bigint").alias("pred_n"),
+                 F.col("n").alias("support")),
+        F.struct(F.col(pred).alias("cls"), F.when(F.col(label) == F.col(pred), F.col("n")).otherwise(0).alias("tp"),
+                 F.col("n").alias("pred_n"), F.lit(0).cast("bigint").alias("support")))).alias("c")).select("c.*")
+    per = contrib.groupBy("cls").agg(F.sum("tp").alias("tp"), F.sum("pred_n").alias("pred_n"),
+                                     F.sum("support").alias("support"))
     prec, rec = _sd(F.col("tp"), F.col("pred_n")), _sd(F.col("tp"), F.col("support"))
     return per.select(F.col("cls").alias("class"), prec.alias("precision"), rec.alias("recall"),
                       _sd(2 * prec * rec, prec + rec).alias("f1"), F.col("support").cast("bigint").alias("support"))
@@ -57,7 +60,7 @@ def summary_metrics(df: DataFrame, label: str = "y", pred: str = "pred") -> Data
         F.max(F.when(F.col("class") == 1, F.col("recall"))).alias("recall_pos"),
         F.max(F.when(F.col("class") == 1, F.col("f1"))).alias("f1_pos"))
     acc = df.agg(F.avg((F.col(label) == F.col(pred)).cast("double")).alias("accuracy"))
-    return acc.crossJoin(w).select("accuracy", "precision_weighted", "recall_weighted", "f1_weighted", "f1_macro",
+    return attach_row(acc, w).select("accuracy", "precision_weighted", "recall_weighted", "f1_weighted", "f1_macro",
                                    *[F.coalesce(F.col(c), F.lit(0.0)).alias(c)
                                      for c in ["precision_pos", "recall_pos", "f1_pos"]])
 
@@ -90,7 +93,7 @@ def pr_points(df: DataFrame, score: str = "p", label: str = "y") -> DataFrame:
     """
     r = score_counts(df, score, label, descending=True)
     tot = r.agg(F.sum("_pos").alias("_P_all"), F.sum("_neg").alias("_N_all"))
-    r = r.crossJoin(F.broadcast(tot))
+    r = attach_row(r, tot)
     tp, fp = F.col("_cum__pos"), F.col("_cum__neg")
     tp0, fp0 = tp - F.col("_pos"), fp - F.col("_neg")
     P, N = F.col("_P_all"), F.col("_N_all")
@@ -137,15 +140,23 @@ def best_f1_on_grid(df: DataFrame, score: str = "p", label: str = "y", *, lo: fl
     aggregation grouped by threshold.
     """
     n = int(round((hi - lo) / step)) + 1
-    spark = df.sparkSession
-    grid = spark.range(n).select(F.round(F.lit(lo) + F.col("id") * step, 2).alias("thr"))
+    thr = [round(lo + i * step, 2) for i in range(n)]
     y, p = F.col(label), F.col(score)
-    j = df.select(y.alias("_y"), p.alias("_p")).crossJoin(F.broadcast(grid))
-    pred = (F.col("_p") >= F.col("thr"))
-    g = j.groupBy("thr").agg(
-        F.sum(F.when(pred & (F.col("_y") == 1), 1).otherwise(0)).alias("tp"),
-        F.sum(F.when(pred & (F.col("_y") == 0), 1).otherwise(0)).alias("fp"),
-        F.sum(F.when(~pred & (F.col("_y") == 1), 1).otherwise(0)).alias("fn"))
+    # level = how many grid thresholds the score reaches (0..n); one aggregation per level
+    level = F.lit(0)
+    for t in thr:
+        level = level + F.when(p >= F.lit(t), 1).otherwise(0)
+    lv = df.filter(p.isNotNull()).groupBy(level.alias("lv")).agg(
+        F.sum(F.when(y == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(y == 0, 1).otherwise(0)).alias("neg"))
+    # threshold i (1-based) is reached by every level >= i: suffix sums over at most n+1 rows
+    from pyspark.sql import Window
+    suffix = Window.orderBy(F.col("lv").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    tot_pos = Window.orderBy("lv").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    levels = df.sparkSession.createDataFrame([(i + 1, float(t)) for i, t in enumerate(thr)], "lv int, thr double")
+    full = levels.join(lv, "lv", "full").select(F.col("lv"), "thr", F.coalesce("pos", F.lit(0)).alias("pos"),
+                                                 F.coalesce("neg", F.lit(0)).alias("neg"))
+    g = full.select("lv", "thr", F.sum("pos").over(suffix).alias("tp"), F.sum("neg").over(suffix).alias("fp"),
+                    (F.sum("pos").over(tot_pos) - F.sum("pos").over(suffix)).alias("fn")).filter(F.col("thr").isNotNull())
     prec, rec = _sd(F.col("tp"), F.col("tp") + F.col("fp")), _sd(F.col("tp"), F.col("tp") + F.col("fn"))
     g = g.withColumn("f1", _sd(2 * prec * rec, prec + rec))
     best = g.agg(F.max_by(F.struct("thr", "f1"), F.struct(F.col("f1"), -F.col("thr"))).alias("b"))
@@ -178,10 +189,10 @@ def agreement(aligned: DataFrame, a: str = "p_a", b: str = "p_b", threshold: flo
     return s.withColumn("cohen_kappa", kappa)
 
 
-def grades(stats: DataFrame) -> DataFrame:
-    """Verbal bands for agreement %, kappa and |r|."""
+def grades(stats: DataFrame, keep: bool = False) -> DataFrame:
+    """Verbal bands for agreement %, kappa and |r| (``keep`` keeps the statistics too)."""
     a, k, r = F.col("binary_agreement_percentage"), F.col("cohen_kappa"), F.abs(F.col("correlation"))
-    return stats.select(
+    return stats.select(*(["*"] if keep else []),
         F.when(a >= 95, "Excellent").when(a >= 85, "Good").when(a >= 70, "Moderate").otherwise("Poor").alias("agreement_level"),
         F.when(k >= 0.81, "Almost Perfect").when(k >= 0.61, "Substantial").when(k >= 0.41, "Moderate")
          .when(k >= 0.21, "Fair").otherwise("Slight").alias("kappa_level"),

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frauddeck.operators import globalrank
+from frauddeck.operators.attach import attach_row
 
 
 def overall_rate(df: DataFrame, label: str = "TX_FRAUD") -> DataFrame:
@@ -48,7 +49,7 @@ def positives_share(df: DataFrame, key: str, label: str = "TX_FRAUD") -> DataFra
     pos = df.filter(F.col(label) == 1)
     per = pos.groupBy(key).agg(F.count(F.lit(1)).alias("n_fraud"))
     total = pos.agg(F.count(F.lit(1)).alias("_tot"))  # one row
-    return per.crossJoin(F.broadcast(total)).select(
+    return attach_row(per, total).select(
         key, "n_fraud", (F.col("n_fraud") / F.col("_tot")).alias("fraud_share"))
 
 
@@ -70,7 +71,7 @@ def amount_buckets(df: DataFrame, amount: str = "TX_AMOUNT", label: str = "TX_FR
     d = df.filter(inb).select(idx.alias("bucket"), label)
     total_pos = df.filter(inb).agg(F.sum(label).alias("_tp"))
     g = d.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_tx"), F.sum(label).cast("bigint").alias("n_fraud"))
-    return g.crossJoin(F.broadcast(total_pos)).select(
+    return attach_row(g, total_pos).select(
         F.concat(F.lit("$"), (F.col("bucket") * width).cast("string"), F.lit("-"),
                  (F.col("bucket") * width + width - 1).cast("string")).alias("amount_bucket"),
         "bucket", "n_tx", "n_fraud", (F.col("n_fraud") / F.col("_tp") * 100).alias("fraud_contribution"))
@@ -103,7 +104,7 @@ def histogram(df: DataFrame, value: str, bins: int = 50, *, by: str | None = Non
     bin = least(floor((x - min) / width), bins - 1); density = count / (n * width).
     """
     rng = df.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    d = df.filter(F.col(value).isNotNull()).crossJoin(F.broadcast(rng))
+    d = attach_row(df.filter(F.col(value).isNotNull()), rng)
     width = (F.col("_hi") - F.col("_lo")) / bins
     b = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.floor((F.col(value) - F.col("_lo")) / width), F.lit(bins - 1))).cast("bigint")
@@ -111,7 +112,7 @@ def histogram(df: DataFrame, value: str, bins: int = 50, *, by: str | None = Non
     g = d.select(*keys, b.alias("bin"), "_lo", "_hi").groupBy(*keys, "bin").agg(
         F.count(F.lit(1)).alias("n"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"))
     tot = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_tot")) if by else d.agg(F.count(F.lit(1)).alias("_tot"))
-    g = g.join(tot, keys) if by else g.crossJoin(F.broadcast(tot))
+    g = g.join(tot, keys) if by else attach_row(g, tot)
     w = (F.col("_hi") - F.col("_lo")) / bins
     return g.select(*keys, "bin", (F.col("_lo") + F.col("bin") * w).alias("bin_left"),
                     (F.col("_lo") + (F.col("bin") + 1) * w).alias("bin_right"), "n",
@@ -129,7 +130,7 @@ def dataset_summary(df: DataFrame, amount: str = "TX_AMOUNT", label: str = "TX_F
         F.countDistinct("CUSTOMER_ID").alias("n_customers"), F.countDistinct("TERMINAL_ID").alias("n_terminals"),
         F.countDistinct("MERCHANT_ID").alias("n_merchants"),
         F.min("TX_TS").alias("first_ts"), F.max("TX_TS").alias("last_ts"))
-    return main.crossJoin(med)
+    return attach_row(main, med)
 
 
 def entity_amount_profile(df: DataFrame, key: str, amount: str = "TX_AMOUNT", *,
@@ -293,7 +294,7 @@ def with_p_values(corr_rows: list) -> list[dict]:
 def percentile_flag(df: DataFrame, value: str, q: float = 0.95, out: str = "is_top_pct") -> DataFrame:
     """Exact cutoff at quantile ``q`` and a flag for rows above it."""
     cut = globalrank.exact_quantile(df, value, q).select(F.col(f"q_{value}").alias("_cut"))
-    return (df.crossJoin(F.broadcast(cut))
+    return (attach_row(df, cut)
               .withColumn(out, (F.col(value) > F.col("_cut")).cast("int")).withColumnRenamed("_cut", f"{out}_cutoff"))
 
 
@@ -303,7 +304,7 @@ def describe(df: DataFrame, value: str) -> DataFrame:
                   F.min(value).alias("min"), F.max(value).alias("max"))
     out = base
     for q, name in [(0.25, "p25"), (0.5, "p50"), (0.75, "p75")]:
-        out = out.crossJoin(globalrank.exact_quantile(df, value, q).select(F.col(f"q_{value}").alias(name)))
+        out = attach_row(out, globalrank.exact_quantile(df, value, q).select(F.col(f"q_{value}").alias(name)))
     return out
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frauddeck.operators import globalrank
+from frauddeck.operators.attach import attach_row
 
 
 def seeded_key(id_col: str, seed: int = 42) -> Column:
@@ -25,7 +26,7 @@ def _narrow_rank(df: DataFrame, keys: list[str], order: list[Column], id_col: st
     narrow = df.select(*[c.alias(n) for n, c in cols.items()])
     r = globalrank.row_number_within(narrow, keys, order, out="_r")
     if not keys:
-        r = r.crossJoin(F.broadcast(narrow.agg(F.count(F.lit(1)).alias("_r_n"))))
+        r = attach_row(r, narrow.agg(F.count(F.lit(1)).alias("_r_n")))
     return r.select(id_col, "_r", "_r_n")
 
 
@@ -81,6 +82,6 @@ def class_weight(df: DataFrame, label: str = "TX_FRAUD", factor: float = 1.0) ->
 def with_class_weight_col(df: DataFrame, label: str = "TX_FRAUD", out: str = "weight", factor: float = 1.0) -> DataFrame:
     """J5 as a ``weightCol``: positives weighted ``neg/pos``, negatives 1."""
     w = class_weight(df, label, factor).select("scale_pos_weight")
-    return (df.crossJoin(F.broadcast(w))
+    return (attach_row(df, w)
               .withColumn(out, F.when(F.col(label) == 1, F.col("scale_pos_weight")).otherwise(F.lit(1.0)))
               .drop("scale_pos_weight"))

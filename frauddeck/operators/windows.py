@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from frauddeck.functions.scalars import epoch_s, epoch_us
 from frauddeck.operators import globalrank
+from frauddeck.operators.attach import attach_row
 
 US = 1_000_000
 DAY = 86_400
@@ -51,7 +52,7 @@ def _adaptive_buckets(d: DataFrame, keys: list[str], rows_per_bucket: int, max_h
     tot = st.agg(F.sum("_kn").alias("_N"))
     thr = F.greatest(F.lit(rows_per_bucket), F.ceil(F.col("_N") / F.lit(max_hot)))
     width = F.greatest(F.lit(1), F.floor((F.col("_kmax") - F.col("_kmin") + 1) * thr / F.col("_kn")))
-    hot = (st.crossJoin(F.broadcast(tot)).filter(F.col("_kn") > thr)
+    hot = (attach_row(st, tot).filter(F.col("_kn") > thr)
              .select(*keys, "_kmin", width.cast("bigint").alias("_kw")))
     d = d.join(F.broadcast(hot), keys, "left")
     b = F.when(F.col("_kw").isNull(), F.lit(0)).otherwise(F.floor((F.col("_us") - F.col("_kmin")) / F.col("_kw")))

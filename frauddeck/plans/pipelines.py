@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from frauddeck.functions import scalars as S
 from frauddeck.operators import clean, encode, profile, split, star, windows as W
 from frauddeck.operators.globalrank import exact_quantile, with_avg_rank_pct
+from frauddeck.operators.attach import attach_row
 
 
 def p1_clean(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -108,7 +109,7 @@ def p3_unified_features(tx: DataFrame, customers: DataFrame, terminals: DataFram
     d = star.membership_flag(tx, bad, "TERMINAL_ID", "is_fraudulent_terminal")
     for b in blocks:
         d = d.join(b, "TX_ID", "left")
-    d = star.star_join(d, customers, terminals, merchants).crossJoin(F.broadcast(median))
+    d = attach_row(star.star_join(d, customers, terminals, merchants), median)
     # fitted on the narrow base (not on ``d``) so the feature plan is not executed twice
     mcc_ref = tx.select("MERCHANT_ID").join(merchants.select("MERCHANT_ID", "MCC_CODE"), "MERCHANT_ID", "left")
     d = encode.frequency_encode(d, "MCC_CODE", "mcc_frequency", reference=mcc_ref)
@@ -285,7 +286,7 @@ def p7_customer_behaviour(tx: DataFrame) -> DataFrame:
         "_cmax": F.col("_cmax"), **{f"_m{n}": W.lastn_mean(n, "_c") for n in (3, 5, 10)}}, last_n=[3, 5, 10], p="_c")
     bm = W.history_block(tx, ["CUSTOMER_ID", "MERCHANT_ID"], {"_mrn": F.col("_mrn"), "_mprev__us": F.col("_mprev__us")},
                          value=None, p="_m")
-    d = tx.join(bc, "TX_ID", "left").join(bm, "TX_ID", "left").crossJoin(F.broadcast(median))
+    d = attach_row(tx.join(bc, "TX_ID", "left").join(bm, "TX_ID", "left"), median)
     amt, med, us = F.col("TX_AMOUNT"), F.col("_median"), S.epoch_us("TX_TS")
     pm = F.coalesce(F.col("_pm"), med)
     ps = F.coalesce(F.col("_ps"), F.lit(0.0))

@@ -8,6 +8,7 @@ from frauddeck.operators import encode as E, split as J
 from frauddeck.plans.catalog import query
 from frauddeck.plans.common import joined, r, tx
 from frauddeck.sources import adapter
+from frauddeck.operators.attach import attach_row
 
 CUT = "TIMESTAMP '2024-01-20'"
 TRTE = f"tr AS (SELECT * FROM tx WHERE TX_TS < {CUT}), te AS (SELECT * FROM tx WHERE TX_TS >= {CUT})"
@@ -174,7 +175,7 @@ def i10_standard_scale_train_to_test(spark, sf):
     cols = ["TX_AMOUNT", "TRANSACTION_CASHBACK_AMOUNT"]
     d = E.standard_scale(te.select("TX_ID", *cols), cols, fit_on=tr, suffix="_z")
     st = tr.agg(F.avg("TX_AMOUNT").alias("m"), F.stddev_pop("TX_AMOUNT").alias("s"))
-    d = E.inverse_standard_scale(d.crossJoin(F.broadcast(st)), "TX_AMOUNT_z", F.col("m"), F.col("s"), "TX_AMOUNT_back")
+    d = E.inverse_standard_scale(attach_row(d, st), "TX_AMOUNT_z", F.col("m"), F.col("s"), "TX_AMOUNT_back")
     return d.select("TX_ID", *[r(c + "_z").alias(c + "_z") for c in cols], r("TX_AMOUNT_back").alias("TX_AMOUNT_back"))
 
 

@@ -13,6 +13,13 @@ from frauddeck.plans import pipelines as P
 from frauddeck.plans.catalog import query
 from frauddeck.plans.common import r, tx, views
 from frauddeck.sources import adapter
+from frauddeck.operators.attach import attach_row
+from frauddeck.operators.metrics import grades as _grades
+
+
+def L_grades_keep(stats):
+    return _grades(stats, keep=True)
+
 
 NUM_FEATURES = ["TX_AMOUNT_log", "distance", "hour", "dayofweek", "time_since_last_tx", "cust_tx_count_cumm",
                 "cust_avg_amount_cumm", "cust_std_amount_cumm", "amount_deviation", "cust_amount_mean_last_5",
@@ -84,7 +91,7 @@ def p8_k1_k5_k7_oof_gbt(spark, sf):
     feats = split.time_split(_staged(spark, sf)).checkpoint(eager=True)
     train, test = feats.filter("is_train = 1"), feats.filter("is_train = 0")
     out = P.p8_train_score_submit(train, test, NUM_FEATURES, k=3, max_iter=10)
-    return out["auc"].crossJoin(out["ap"]).select(r("roc_auc", 3).alias("roc_auc"),
+    return attach_row(out["auc"], out["ap"]).select(r("roc_auc", 3).alias("roc_auc"),
                                                  r("average_precision", 3).alias("average_precision"))
 
 
@@ -133,7 +140,7 @@ def p10_k8_k9_spatial_risk_grid(spark, sf):
 def p9_blend_and_compare(spark, sf):
     t = tx(spark, sf)
     out = P.p9_blend_and_compare(adapter.scores_a(t), adapter.scores_b(t))
-    return out["agreement"].crossJoin(out["grades"])
+    return L_grades_keep(out["agreement"])
 
 
 @query("p11_score_report_top10")

@@ -13,6 +13,7 @@ from frauddeck.operators import globalrank, windows as W
 from frauddeck.plans.catalog import query
 from frauddeck.plans.common import joined, ltx, r, tx, views
 from frauddeck.sources import adapter
+from frauddeck.operators.attach import attach_row
 
 MEDIAN_SQL = "(SELECT quantile_cont(TX_AMOUNT, 0.5) FROM {t})"
 
@@ -83,7 +84,7 @@ FROM h, m"""
 
 def _e5(df):
     h = W.prior_history(df, ["CUSTOMER_ID"])
-    h = h.crossJoin(F.broadcast(_median(df)))
+    h = attach_row(h, _median(df))
     med = F.col("_median")
     pm = F.coalesce(W.prior_mean(), med)
     ps = F.coalesce(W.prior_std(), F.lit(0.0))
@@ -127,7 +128,7 @@ WINDOW {", ".join(wins)}"""
 
 
 def _lastn(df):
-    h = W.prior_history(df, ["CUSTOMER_ID"], last_n=[3, 5, 10]).crossJoin(F.broadcast(_median(df)))
+    h = attach_row(W.prior_history(df, ["CUSTOMER_ID"], last_n=[3, 5, 10]), _median(df))
     med, rn = F.col("_median"), F.col("_hrn")
     cols = []
     for n in (3, 5, 10):
