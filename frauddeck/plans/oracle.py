@@ -50,7 +50,8 @@ def view_ctes() -> str:
         event_id AS _seed
       FROM events"""
     li_base = """SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) || '-' ||
-          CAST(l_partkey AS VARCHAR) || '-' || CAST(l_suppkey AS VARCHAR) AS TX_ID,
+          CAST(l_partkey AS VARCHAR) || '-' || CAST(l_suppkey AS VARCHAR) || '-' ||
+          CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(ROUND(l_extendedprice * 100) AS BIGINT) AS VARCHAR) AS TX_ID,
         CAST(l_shipdate AS TIMESTAMP) AS TX_TS, o_custkey AS CUSTOMER_ID,
         l_suppkey AS TERMINAL_ID, l_partkey AS MERCHANT_ID, l_extendedprice AS TX_AMOUNT,
         CAST(l_returnflag = 'R' AS INTEGER) AS TX_FRAUD,

@@ -9,8 +9,8 @@ Two fact tables are offered:
 
 * ``events``    -> transactions with a unique integer ``TX_ID`` and unique timestamps;
 * ``lineitem``  -> transactions joined with ``orders`` for the customer; ``TX_ID`` is the
-  composite ``orderkey-linenumber-partkey-suppkey`` (the only unique combination) and
-  timestamps are day-granular, so ties are everywhere.
+  composite ``orderkey-linenumber-partkey-suppkey-quantity-cents`` (the key columns alone
+  repeat at the smallest scale) and timestamps are day-granular, so ties are everywhere.
 
 The same mapping is written as SQL in :mod:`frauddeck.plans.oracle` for the DuckDB oracle.
 """
@@ -115,7 +115,8 @@ def transactions_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = li.join(od, li.l_orderkey == od.o_orderkey, "inner")
     p = F.col("l_extendedprice")
     base = j.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("TX_ID"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("bigint"),
+                    F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("TX_ID"),
         F.col("l_shipdate").cast("timestamp").alias("TX_TS"),
         F.col("o_custkey").alias("CUSTOMER_ID"),
         F.col("l_suppkey").alias("TERMINAL_ID"),
