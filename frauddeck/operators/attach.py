@@ -1,8 +1,9 @@
-"""Attach one-row statistics to every row without a join.
+"""Attach one-row statistics (a fitted global aggregate) to every row without a join.
 
-A global aggregate (median, totals, mean/std, min/max) is turned into one scalar subquery
-returning a struct: Spark evaluates it once, before the main query, and every row reads the
-fields. No cross join, no shuffle of the big side.
+Like a Spark ML estimator's ``fit``: the global aggregate (median, totals, mean/std, min/max)
+is computed once as one small job, its single row is read on the driver, and the values
+enter the plan as typed literals. No cross join, no repeated subquery evaluation, no
+shuffle of the big side; only one row of statistics ever reaches the driver.
 """
 
 from __future__ import annotations
@@ -12,8 +13,11 @@ from pyspark.sql import functions as F
 
 
 def attach_row(df: DataFrame, one_row: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """``df`` plus the columns of ``one_row`` (which must yield exactly one row, e.g. a global ``agg``)."""
+    """``df`` plus the columns of ``one_row`` (a global aggregate: exactly one row)."""
     cols = cols or one_row.columns
-    s = one_row.select(F.struct(*cols).alias("_s")).scalar()
-    tmp = "_attached_row"
-    return df.withColumn(tmp, s).select("*", *[F.col(tmp)[c].alias(c) for c in cols]).drop(tmp)
+    stats = one_row.select(*cols)
+    types = dict(stats.dtypes)
+    row = stats.first()
+    if row is None:
+        raise ValueError("attach_row expects a one-row statistics frame")
+    return df.select("*", *[F.lit(row[c]).cast(types[c]).alias(c) for c in cols])
