@@ -417,3 +417,14 @@ def a9_sample_exact_n(spark, sf):
     """A repeatable sample of exactly 500 transactions (the sample is the feature)."""
     from frauddeck.sources.io import sample_exact
     return sample_exact(tx(spark, sf), 500, seed=42).select("TX_ID", "CUSTOMER_ID", r("TX_AMOUNT").alias("TX_AMOUNT"))
+
+
+@query("d4_rate_by_mcc_min_support_10", f"""
+SELECT MCC_CODE, {RATE} FROM tx LEFT JOIN merchants USING (MERCHANT_ID)
+WHERE MCC_CODE IS NOT NULL GROUP BY MCC_CODE HAVING COUNT(*) >= 10""")
+def d4_rate_by_mcc_min_support_10(spark, sf):
+    """D4 star join + fraud rate per merchant category with minimum support 10 (smoke entry)."""
+    v = views(spark, sf)
+    from frauddeck.operators.star import star_join
+    j = star_join(v["transactions"], merchants=v["merchants"])
+    return _rate_cols(P.rate_by(j, "MCC_CODE", min_count=10), "MCC_CODE")

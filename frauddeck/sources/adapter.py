@@ -86,6 +86,9 @@ def _memo(fn):
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # the parquet timestamps are naive wall-clock UTC; every calendar / epoch feature assumes it
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
