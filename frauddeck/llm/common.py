@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SLICE_BYTES = 1 << 20
 
@@ -160,3 +161,28 @@ def within(row: np.ndarray, k: int) -> np.ndarray:
     """Which of the k-windows over items with ascending text number lie in one text."""
     n = len(row) - k + 1
     return row[:n] == row[k - 1:] if n > 0 else np.zeros(0, bool)
+
+
+def per_text(docs: DataFrame, start, result: str, passed: list[str] | None = None) -> DataFrame:
+    """Adds columns computed from each row's whole text; rows are neither moved nor lost.
+
+    ``start()`` runs once in a task and returns a function from an Arrow array of texts (a
+    slice of a batch) to the Arrow arrays of the ``result`` columns (DDL). The outcome has the
+    ``passed`` columns (default ``doc_id``; they may have any names) and then the result's.
+    """
+    passed = ["doc_id"] if passed is None else passed
+    kinds = {f.name: f for f in docs.schema.fields}
+    names = [f"c{i}" for i in range(len(passed))]
+    new = T.StructType.fromDDL(result)
+    schema = T.StructType([T.StructField(x, kinds[c].dataType) for x, c in zip(names, passed)] + new.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = start()
+        for batch in batches:
+            for a, b in slices(batch.column(batch.num_columns - 1)):
+                part = batch.slice(a, b - a)
+                yield pa.record_batch([*part.columns[:-1], *f(part.column(part.num_columns - 1))], schema.names)
+
+    rows = docs.select(*[F.col(f"`{c}`").alias(x) for x, c in zip(names, passed)], F.col("text").cast("string").alias("whole_text"))
+    out = rows.mapInArrow(run, schema)
+    return out.toDF(*passed, *new.names)

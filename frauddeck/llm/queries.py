@@ -23,3 +23,25 @@ def query(name: str):
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from frauddeck.llm.decontaminate import decontaminate
     return decontaminate(C.read(spark, sf_dir, "documents"), C.read(spark, sf_dir, "benchmark"))
+
+
+@query("op3_packing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from frauddeck.llm.packing import pack_documents
+    return pack_documents(C.read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op5_simhash")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from frauddeck.llm.simhash import near_duplicates
+    return near_duplicates(C.read(spark, sf_dir, "documents"), shingle=3, radius=2)
+
+
+@query("op10_quality_classifier")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from frauddeck.llm import quality_classifier as Q
+    docs = C.read(spark, sf_dir, "documents")
+    model = Q.fit(docs, C.read(spark, sf_dir, "labels"), C.fold("doc_id", 4) != 2)
+    return Q.score(docs, model).selectExpr("doc_id", "coalesce(crc32(cast(doc_id as string)) % 4 = 2, false) as held_out", "score", "predicted")
