@@ -45,3 +45,42 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.read(spark, sf_dir, "documents")
     model = Q.fit(docs, C.read(spark, sf_dir, "labels"), C.fold("doc_id", 4) != 2)
     return Q.score(docs, model).selectExpr("doc_id", "coalesce(crc32(cast(doc_id as string)) % 4 = 2, false) as held_out", "score", "predicted")
+
+
+@query("op1_language_id")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from frauddeck.llm import language_id as L
+    docs = C.read(spark, sf_dir, "documents")
+    profiles = L.fit(docs, C.fold("doc_id", 4) != 2)
+    return L.predict(docs, profiles).selectExpr("doc_id", "coalesce(crc32(cast(doc_id as string)) % 4 = 2, false) as held_out", "lang_pred", "score")
+
+
+@query("op2_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from frauddeck.llm import toxicity as T
+    docs = C.read(spark, sf_dir, "documents")
+    model = T.fit(docs, C.read(spark, sf_dir, "labels"), C.fold("doc_id", 5) != 0)
+    return T.score(docs, model).selectExpr("doc_id", "coalesce(crc32(cast(doc_id as string)) % 5 = 0, false) as held_out", "score", "predicted")
+
+
+@query("op7_secret_scans")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from frauddeck.llm import secrets as S
+    found = S.scan(C.read(spark, sf_dir, "documents"))
+    n = [F.size(F.filter("spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(S.BASE)]
+    base = F.filter("spans", lambda s: s["kind"] < len(S.BASE))
+    return found.select("doc_id", *n, F.sha2(S.written(base), 256).alias("base_sha256"), S.written(F.col("spans")).alias("spans"))
+
+
+@query("op9_url_filters")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from frauddeck.llm import url_filter as U
+    return U.judge(C.read(spark, sf_dir, "pages"), U.fit(U.labelled_urls(spark)))
+
+
+@query("op8_quality_rules")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from frauddeck.llm.quality_rules import judge
+    return judge(C.read(spark, sf_dir, "documents"))
