@@ -7,6 +7,7 @@ single text larger than a slice is a slice of its own).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from frauddeck.session import ensure_checkpoint_dir
+
 SLICE_BYTES = 1 << 20
 
 
@@ -186,3 +189,11 @@ def per_text(docs: DataFrame, start, result: str, passed: list[str] | None = Non
     rows = docs.select(*[F.col(f"`{c}`").alias(x) for x, c in zip(names, passed)], F.col("text").cast("string").alias("whole_text"))
     out = rows.mapInArrow(run, schema)
     return out.toDF(*passed, *new.names)
+
+
+def written(rows: DataFrame) -> DataFrame:
+    """``rows`` as a Parquet table in the shared checkpoint folder, read again: cuts the lineage."""
+    spark = rows.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)

@@ -84,3 +84,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from frauddeck.llm.quality_rules import judge
     return judge(C.read(spark, sf_dir, "documents"))
+
+
+@query("op6_suffix_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from frauddeck.llm.suffix_dedup import dedup
+    return dedup(C.read(spark, sf_dir, "documents"))
