@@ -8,7 +8,8 @@ length does not matter. A score is one sparse dot product.
 
 Training reads a bounded sample of labelled texts (``SAMPLE_ROWS``), drawn by a hash of the
 id, in one task that holds their hashed features (at most ``DIM`` numbers a text), and makes
-``EPOCHS`` passes of per-coordinate follow-the-regularised-leader steps over it. The model is
+``EPOCHS`` passes (more over a small sample: at least ``STEPS`` steps in all) of per-coordinate
+follow-the-regularised-leader steps over it. The model is
 one float for each of ``DIM`` buckets.
 
 Defined results: null, empty and token-free texts get the score of the bias alone; without any
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from frauddeck.llm import common as C
 
-DIM, SAMPLE_ROWS, EPOCHS, THRESHOLD = 1 << 18, 16_000, 4, 0.7
+DIM, SAMPLE_ROWS, EPOCHS, STEPS, THRESHOLD = 1 << 18, 16_000, 4, 16_000, 0.7
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
 
 LETTERS = C.byte_table([(0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF)])
@@ -70,7 +71,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int) -> np.ndar
         w = -(z[at] - np.sign(z[at]) * L1) / ((BETA + np.sqrt(n[at])) / ALPHA + L2)
         return np.where(np.abs(z[at]) > L1, w, 0.0)
 
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-STEPS // max(len(rows), 1))) if rows else 0):
         for at, x, y in rows:
             w = weights(at)
             g = (1 / (1 + np.exp(-np.clip(w @ x, -35, 35))) - y) * x
