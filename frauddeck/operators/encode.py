@@ -1,8 +1,8 @@
 """Categorical encoders and scalers fitted on one frame and applied to another.
 
 Fitted state is always a DataFrame (value -> code / count / statistic) joined back, so it
-is computed with partial aggregation and never gathered on the driver, except the one-hot
-level list, which is collected behind an explicit size check because it becomes columns.
+is computed with partial aggregation and never gathered on the driver, except the level
+lists of wide one-hot encoding, which become columns.
 """
 
 from __future__ import annotations
@@ -15,26 +15,33 @@ from frauddeck.operators import globalrank
 from frauddeck.operators.attach import attach_row
 
 
-def one_hot(df: DataFrame, cols: list[str], *, null_token: str = "unknown", max_levels: int = 1000,
+def one_hot(df: DataFrame, cols: list[str], *, null_token: str = "unknown",
             levels_from: DataFrame | None = None, drop_source: bool = True) -> DataFrame:
     """``<lower(col)>_<level>`` 0/1 columns for every level seen in ``levels_from`` (default df).
 
-    Levels are collected per column with ``limit(max_levels + 1)`` and rejected above the bound.
+    Every level becomes a column, so this suits the declared low-cardinality categoricals (all
+    their levels are read in one job); :func:`one_hot_vector` is the form for any cardinality.
     """
     src = levels_from if levels_from is not None else df
-    new_cols: dict[str, Column] = {}
-    for c in cols:
-        if c not in df.columns:
-            continue
-        tok = S.null_token(c, null_token)
-        levels = [r[0] for r in src.select(S.null_token(c, null_token).alias("v")).distinct()
-                  .orderBy("v").limit(max_levels + 1).collect()]
-        if len(levels) > max_levels:
-            raise ValueError(f"{c}: more than {max_levels} levels; use a code or frequency encoding")
-        for lv in levels:
-            new_cols[f"{c.lower()}_{lv}"] = (tok == F.lit(lv)).cast("int")
+    cols = [c for c in cols if c in df.columns]
+    if not cols:
+        return df
+    seen = src.agg(*[F.sort_array(F.collect_set(S.null_token(c, null_token))).alias(c) for c in cols]).first()
+    new_cols = {f"{c.lower()}_{lv}": (S.null_token(c, null_token) == F.lit(lv)).cast("int") for c in cols for lv in seen[c]}
     out = df.withColumns(new_cols)
-    return out.drop(*[c for c in cols if c in df.columns]) if drop_source else out
+    return out.drop(*cols) if drop_source else out
+
+
+def one_hot_vector(df: DataFrame, cols: list[str], *, null_token: str = "unknown", levels_from: DataFrame | None = None) -> DataFrame:
+    """I1 for any cardinality: one sparse vector column ``<lower(col)>_vec`` per categorical, levels
+    in sorted order; a level unseen in ``levels_from`` is all zeros."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+    tok = lambda d: d.withColumns({f"_tok_{c}": S.null_token(c, null_token) for c in cols})
+    ix = StringIndexer(inputCols=[f"_tok_{c}" for c in cols], outputCols=[f"_ix_{c}" for c in cols], stringOrderType="alphabetAsc", handleInvalid="keep")
+    oh = OneHotEncoder(inputCols=[f"_ix_{c}" for c in cols], outputCols=[f"{c.lower()}_vec" for c in cols], dropLast=True)
+    model = Pipeline(stages=[ix, oh]).fit(tok(levels_from if levels_from is not None else df))
+    return model.transform(tok(df)).drop(*[f"_tok_{c}" for c in cols], *[f"_ix_{c}" for c in cols])
 
 
 def fit_codes(train: DataFrame, col: str, *, null_token: str = "__NA__") -> DataFrame:
@@ -107,11 +114,12 @@ def out_of_fold_target_encode(df: DataFrame, col: str, *, fold: str = "fold", la
     return j.withColumn(out, F.coalesce(enc, F.col("_g"))).drop("_os", "_on", "_g")
 
 
-def apply_target_encoding(rows: DataFrame, encoded_train: DataFrame, col: str, te_col: str | None = None) -> DataFrame:
-    """Test rows get the mean of train's encoded value for their category; unseen -> global mean."""
+def apply_target_encoding(rows: DataFrame, encoded_train: DataFrame, col: str, te_col: str | None = None, *, label: str = "TX_FRAUD") -> DataFrame:
+    """Test rows get the mean of train's encoded value for their category; unseen (or null) ->
+    train's label mean."""
     te_col = te_col or f"{col}_te"
-    per = encoded_train.groupBy(col).agg(F.avg(te_col).alias(te_col))
-    g = encoded_train.agg(F.avg(te_col).alias("_g"))
+    per = encoded_train.filter(F.col(col).isNotNull()).groupBy(col).agg(F.avg(te_col).alias(te_col))
+    g = encoded_train.agg(F.avg(F.col(label).cast("double")).alias("_g"))
     return (attach_row(rows.join(per, col, "left"), g)
                 .withColumn(te_col, F.coalesce(F.col(te_col), F.col("_g"))).drop("_g"))
 

@@ -217,60 +217,12 @@ def conditional_rates(df: DataFrame, flags: list[str], label: str = "TX_FRAUD")
         F.sum(F.when(F.col("v") == 1, 1).otherwise(0)).cast("bigint").alias("n_when_1"))
 
 
-def _t_pvalue(r: float, n: int) -> float | None:
-    """Two-sided p-value of Pearson r via the t distribution (regularised incomplete beta)."""
-    if r is None or n is None or n < 3:
-        return None
-    if abs(r) >= 1.0:
-        return 0.0
-    df_ = n - 2
-    t2 = r * r * df_ / (1 - r * r)
-    x = df_ / (df_ + t2)
-    return _betainc(df_ / 2.0, 0.5, x)
-
-
-def _betainc(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta I_x(a, b) by continued fraction (Numerical Recipes form)."""
-    if x <= 0:
-        return 0.0
-    if x >= 1:
-        return 1.0
-    lbeta = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x)
-    if x < (a + 1) / (a + b + 2):
-        return math.exp(lbeta) * _betacf(a, b, x) / a
-    return 1.0 - math.exp(lbeta) * _betacf(b, a, 1 - x) / b
-
-
-def _betacf(a, b, x, itmax=300, eps=3e-16):
-    qab, qap, qam = a + b, a + 1, a - 1
-    c, d = 1.0, 1 - qab * x / qap
-    d = 1 / (d if abs(d) > 1e-300 else 1e-300)
-    h = d
-    for m in range(1, itmax + 1):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1 + aa * d
-        d = 1 / (d if abs(d) > 1e-300 else 1e-300)
-        c = 1 + aa / c if abs(1 + aa / c) > 1e-300 else 1e-300
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1 + aa * d
-        d = 1 / (d if abs(d) > 1e-300 else 1e-300)
-        c = 1 + aa / c if abs(1 + aa / c) > 1e-300 else 1e-300
-        de = d * c
-        h *= de
-        if abs(de - 1) < eps:
-            break
-    return h
-
-
 def label_correlations(df: DataFrame, features: list[str], label: str = "TX_FRAUD",
                        min_non_null: int = 100) -> DataFrame:
     """Pearson r of each feature (NULL -> 0) with the label, ranked by |r|.
 
     One aggregation computes every r and non-null count; features with at most
-    ``min_non_null`` non-null values are dropped. ``p_value`` is added by
-    :func:`with_p_values` on the (features-sized) result.
+    ``min_non_null`` non-null values are dropped.
     """
     y = F.col(label).cast("double")
     aggs = []
@@ -286,11 +238,6 @@ def label_correlations(df: DataFrame, features: list[str], label: str = "TX_FRAU
                         F.col("_rows").alias("n")))
 
 
-def with_p_values(corr_rows: list) -> list[dict]:
-    """Attach two-sided p-values to collected D21 rows (features-sized, not data-sized)."""
-    return [{**r.asDict(), "p_value": _t_pvalue(r["correlation"], r["n"])} for r in corr_rows]
-
-
 def percentile_flag(df: DataFrame, value: str, q: float = 0.95, out: str = "is_top_pct") -> DataFrame:
     """Exact cutoff at quantile ``q`` and a flag for rows above it."""
     cut = globalrank.exact_quantile(df, value, q).select(F.col(f"q_{value}").alias("_cut"))

@@ -1,25 +1,24 @@
 """Per-entity history features, skew-safe.
 
 Every history feature is "what happened before this row for the same entity, in
-(timestamp, id) order". A plain ``Window.partitionBy(entity)`` puts each entity into one
-task, which breaks when one customer / terminal / merchant holds a third of the rows.
-
-:func:`prior_history` therefore splits the timeline of every *hot* entity (more rows than
-``rows_per_bucket``) into contiguous time-range buckets and works in two levels:
-
-* local windows over ``(entity, bucket)`` - the only shuffle of the big table;
-* a per-bucket summary (rows, sums, max/min, last row, last ``n`` rows) aggregated on the
-  already-partitioned data, turned into per-bucket offsets with a window over the small
-  bucket table, and joined back on ``(entity, bucket)``, which reuses the big side's
-  partitioning.
-
-Running count / sum / sum of squares / max / min, lag-1 and last-``n`` frames all
-compose exactly across buckets, so the results equal the single-window definitions
-(checked against the DuckDB oracle with plain windows).
-
-Trailing time-window counts (E11) use the same idea with "halo" rows: each row is copied
-into the next bucket of width = the window length, so a RANGE frame inside
-``(entity, bucket)`` sees everything it needs.
+(timestamp, id) order". For ordinary entities that is one plain window per entity key: one
+exchange and one sort. It breaks when one customer / terminal / merchant holds a third of the
+rows, so :func:`prior_history` first asks whether any key has more than ``rows_per_bucket``
+rows (a count, and only for larger inputs a count per key). If so, it splits the timeline of
+every such *hot* entity into contiguous time ranges of about equal row counts and works in two
+levels:
+
+* local windows over ``(entity, bucket)``;
+* a per-bucket summary (rows, sums, mean and squared deviations, max/min, last row, last ``n``
+  rows), turned into per-bucket offsets with a window over the small bucket table, and joined
+  back on ``(entity, bucket)``.
+
+Running counts / sums / max / min, means with squared deviations, lag-1 and last-``n`` frames
+all compose across buckets, so both ways define the same values (the tests compare them). A
+row with a null key has no history: it is an entity of its own and keeps its place.
+
+Trailing time-window counts (E11) use "halo" rows: each row is copied into the next bucket of
+width = the window length, so a RANGE frame inside ``(entity, bucket)`` sees everything it needs.
 """
 
 from __future__ import annotations
@@ -29,7 +28,6 @@ from pyspark.sql import functions as F
 
 from frauddeck.functions.scalars import epoch_s, epoch_us
 from frauddeck.operators import globalrank
-from frauddeck.operators.attach import attach_row
 
 US = 1_000_000
 DAY = 86_400
@@ -39,32 +37,51 @@ def _bucket(us: Column, seconds: int) -> Column:
     return F.floor(us / F.lit(seconds * US)).cast("bigint")
 
 
-def _adaptive_buckets(d: DataFrame, keys: list[str], rows_per_bucket: int, max_hot: int = 100_000) -> DataFrame:
-    """Add ``_b``: 0 for ordinary keys; contiguous time-range buckets for hot keys.
+def _hot_keys(d: DataFrame, keys: list[str], rows_per_bucket: int, max_hot: int = 100_000) -> DataFrame | None:
+    """``(keys, _cuts)`` of the keys with more rows than a bucket should hold; None without any.
 
-    One map-side-combined pass gives per-key row count and time span. Keys with more than
-    ``thr = max(rows_per_bucket, ceil(N / max_hot))`` rows are hot; their span is cut into
-    equal-width time ranges sized so a bucket holds about ``thr`` rows on average. The hot-key
-    table has at most ``N / thr <= max_hot`` rows, so broadcasting it is bounded by construction.
-    (Rows sharing one timestamp cannot be separated and stay in one bucket.)
+    ``thr = max(rows_per_bucket, ceil(N / max_hot))``, so there are at most ``max_hot`` such keys.
+    ``_cuts`` are timestamps that split a key's rows into buckets of about ``thr / 2`` rows, from
+    approximate quantiles of its own rows, so that bursts are split too. (Rows sharing one
+    timestamp cannot be separated and stay in one bucket.)
     """
-    st = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_kn"), F.min("_us").alias("_kmin"), F.max("_us").alias("_kmax"))
-    tot = st.agg(F.sum("_kn").alias("_N"))
-    thr = F.greatest(F.lit(rows_per_bucket), F.ceil(F.col("_N") / F.lit(max_hot)))
-    width = F.greatest(F.lit(1), F.floor((F.col("_kmax") - F.col("_kmin") + 1) * thr / F.col("_kn")))
-    hot = (attach_row(st, tot).filter(F.col("_kn") > thr)
-             .select(*keys, "_kmin", width.cast("bigint").alias("_kw")))
-    d = d.join(F.broadcast(hot), keys, "left")
-    b = F.when(F.col("_kw").isNull(), F.lit(0)).otherwise(F.floor((F.col("_us") - F.col("_kmin")) / F.col("_kw")))
-    return d.withColumn("_b", b.cast("bigint")).drop("_kw", "_kmin")
-
-
-def _std_from_moments(cnt: Column, s: Column, sq: Column, mn: Column, mx: Column) -> Column:
-    """Sample std from count, sum, sum of squares; exactly 0 when all values are equal."""
-    var = (sq - s * s / cnt) / (cnt - 1)
-    return (F.when(cnt < 2, F.lit(None).cast("double"))
-             .when(mn == mx, F.lit(0.0))
-             .otherwise(F.sqrt(F.greatest(var, F.lit(0.0)))))
+    n = d.count()
+    if n <= rows_per_bucket:
+        return None
+    thr = max(rows_per_bucket, -(-n // max_hot))
+    hot = d.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_kn")).filter(F.col("_kn") > thr)
+    largest = hot.agg(F.max("_kn")).first()[0]
+    if largest is None:
+        return None
+    parts = min(-(-2 * largest // thr), 10_000)
+    cuts = F.percentile_approx("_us", [i / parts for i in range(1, parts)], 10 * parts)
+    return d.join(F.broadcast(hot.select(*keys)), keys, "left_semi").groupBy(*keys).agg(F.array_distinct(cuts).alias("_cuts"))
+
+
+def _std(n: Column, m2: Column, mn: Column, mx: Column) -> Column:
+    """Sample std from count and squared deviations; exactly 0 when all values are equal."""
+    return (F.when(n < 2, F.lit(None).cast("double")).when(mn == mx, F.lit(0.0)).otherwise(F.sqrt(m2 / (n - 1))))
+
+
+def _merged(na: Column, ma: Column, qa: Column, nb: Column, mb: Column, qb: Column) -> Column:
+    """Squared deviations of two groups together, from counts, means and squared deviations."""
+    return F.when(na == 0, qb).when(nb == 0, qa).otherwise(qa + qb + (mb - ma) * (mb - ma) * na * nb / (na + nb))
+
+
+def _plain_history(d: DataFrame, keys: list[str], tid: str, lags: list[str], last_n: list[int], p: str) -> dict[str, Column]:
+    """The helper columns by plain windows: one exchange on the keys, one sort."""
+    wl = Window.partitionBy(*keys).orderBy("_us", tid)
+    prior, v = wl.rowsBetween(Window.unboundedPreceding, -1), F.col("_v")
+    n, mn, mx = F.count(v).over(prior), F.min(v).over(prior), F.max(v).over(prior)
+    out = {f"{p}rn": F.row_number().over(wl).cast("bigint"), f"{p}cnt": n.cast("bigint"), f"{p}sum": F.sum(v).over(prior), f"{p}max": mx, f"{p}min": mn,
+           f"{p}std": F.when(mn == mx, F.when(n >= 2, F.lit(0.0))).otherwise(F.stddev_samp(v).over(prior)),
+           **{f"{p}prev_{c}": F.lag(c).over(wl) for c in lags}}
+    for k in last_n:
+        fr = wl.rowsBetween(-k, -1)
+        n, mn, mx = F.count(v).over(fr), F.min(v).over(fr), F.max(v).over(fr)
+        out |= {f"{p}l{k}_cnt": n.cast("bigint"), f"{p}l{k}_sum": F.sum(v).over(fr), f"{p}l{k}_min": mn, f"{p}l{k}_max": mx,
+                f"{p}l{k}_std": F.when(mn == mx, F.when(n >= 2, F.lit(0.0))).otherwise(F.stddev_samp(v).over(fr))}
+    return out
 
 
 def prior_history(df: DataFrame, keys: list[str], *, ts: str = "TX_TS", tid: str = "TX_ID",
@@ -72,23 +89,40 @@ def prior_history(df: DataFrame, keys: list[str], *, ts: str = "TX_TS", tid: str
                   rows_per_bucket: int = 1_000_000, p: str = "_h") -> DataFrame:
     """Add helper columns describing each row's prior history inside ``keys``.
 
-    Keys with more than ``rows_per_bucket`` rows are split into time-range buckets (see
-    :func:`_adaptive_buckets`); every other key is one bucket, i.e. a plain partitioned window.
+    ``rows_per_bucket`` only chooses the plan (see the module's text), never the values.
 
     Added columns (``p`` = prefix):
       ``{p}rn``        1-based row number in (ts, tid) order
-      ``{p}cnt``       prior non-null values            ``{p}sum / {p}sq / {p}max / {p}min``
+      ``{p}cnt``       prior non-null values            ``{p}sum / {p}std / {p}max / {p}min``
       ``{p}prev_<c>``  previous row's ``c`` for each ``c`` in ``lags`` (``_us`` = time in us)
-      ``{p}l<n>_cnt / _sum / _sq / _min / _max``  over the previous ``n`` rows (rows -n..-1)
+      ``{p}l<n>_cnt / _sum / _std / _min / _max``  over the previous ``n`` rows (rows -n..-1)
     """
     keys = list(keys)
     lags = list(dict.fromkeys(["_us", *lags]))
     last_n = sorted(set(last_n))
+    d = df.withColumn("_us", epoch_us(ts)).withColumn("_v", F.col(value).cast("double") if value else F.lit(None).cast("double"))
+    missing = F.lit(False)
+    for k in keys:
+        missing = missing | F.col(k).isNull()
+    d = d.withColumn("_solo", F.when(missing, F.col(tid).cast("string")))
+    hot = _hot_keys(d, keys, rows_per_bucket)
+    names = df.columns
+
+    def plain(rows: DataFrame) -> DataFrame:
+        cols = _plain_history(rows, [*keys, "_solo"], tid, lags, last_n, p)
+        return rows.select(*names, *[c.alias(x) for x, c in cols.items()])
+
+    if hot is None:
+        return plain(d)
+    bucketed = _bucket_history(d.filter(~missing), names, keys, hot, tid, lags, last_n, p)
+    return bucketed.unionByName(plain(d.filter(missing)))
+
+
+def _bucket_history(d: DataFrame, names: list[str], keys: list[str], hot: DataFrame, tid: str, lags: list[str], last_n: list[int], p: str) -> DataFrame:
+    """The helper columns by local windows and offsets of the buckets before (keys not null)."""
     tail_n = max(last_n) if last_n else 0
-    d = df.withColumn("_us", epoch_us(ts))
-    d = _adaptive_buckets(d, keys, rows_per_bucket)
-    d = d.withColumn("_v", F.col(value).cast("double") if value else F.lit(None).cast("double"))
-
+    d = d.join(F.broadcast(hot), keys, "left")  # bounded by _hot_keys
+    d = d.withColumn("_b", F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda c: c < F.col("_us")))).cast("bigint")).drop("_cuts")
     wl = Window.partitionBy(*keys, "_b").orderBy("_us", tid)
     prior = wl.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys, "_b")
@@ -98,7 +132,8 @@ def prior_history(df: DataFrame, keys: list[str], *, ts: str = "TX_TS", tid: str
         F.count(F.lit(1)).over(whole).alias("_lbn"),
         F.count(v).over(prior).alias("_lcnt"),
         F.sum(v).over(prior).alias("_lsum"),
-        F.sum(v * v).over(prior).alias("_lsq"),
+        F.avg(v).over(prior).alias("_lmean"),
+        (F.var_pop(v).over(prior) * F.count(v).over(prior)).alias("_lm2"),
         F.max(v).over(prior).alias("_lmax"),
         F.min(v).over(prior).alias("_lmin"),
         *[F.lag(c).over(wl).alias(f"_lprev_{c}") for c in lags],
@@ -106,7 +141,7 @@ def prior_history(df: DataFrame, keys: list[str], *, ts: str = "TX_TS", tid: str
     for n in last_n:
         fr = wl.rowsBetween(-n, -1)
         loc_cols += [F.count(v).over(fr).alias(f"_ll{n}_cnt"), F.sum(v).over(fr).alias(f"_ll{n}_sum"),
-                     F.sum(v * v).over(fr).alias(f"_ll{n}_sq"), F.min(v).over(fr).alias(f"_ll{n}_min"),
+                     (F.var_pop(v).over(fr) * F.count(v).over(fr)).alias(f"_ll{n}_m2"), F.min(v).over(fr).alias(f"_ll{n}_min"),
                      F.max(v).over(fr).alias(f"_ll{n}_max")]
     loc = d.select("*", *loc_cols)
 
@@ -115,7 +150,7 @@ def prior_history(df: DataFrame, keys: list[str], *, ts: str = "TX_TS", tid: str
     last_key = F.struct("_us", tid)
     bagg = d.groupBy(*keys, "_b").agg(
         F.count(F.lit(1)).alias("_bn"), F.count(v).alias("_bcnt"), F.sum(v).alias("_bsum"),
-        F.sum(v * v).alias("_bsq"), F.max(v).alias("_bmax"), F.min(v).alias("_bmin"),
+        F.avg(v).alias("_bmean"), (F.var_pop(v) * F.count(v)).alias("_bm2"), F.max(v).alias("_bmax"), F.min(v).alias("_bmin"),
         F.max_by(F.struct(*[F.col(c).alias(c) for c in lags]), last_key).alias("_blast"))
     if tail_n:
         # last ``tail_n`` rows of each bucket (bounded list) from the windowed frame
@@ -126,11 +161,16 @@ def prior_history(df: DataFrame, keys: list[str], *, ts: str = "TX_TS", tid: str
 
     wb = Window.partitionBy(*keys).orderBy("_b")
     before = wb.rowsBetween(Window.unboundedPreceding, -1)
+    # squared deviations add up about one value near the data: the first bucket's mean
+    bagg = bagg.withColumn("_c", F.first("_bmean", ignorenulls=True).over(wb.rowsBetween(Window.unboundedPreceding, 0)))
+    off = F.col("_bmean") - F.col("_c")
     bp_cols = [
         F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_orn"),
         F.coalesce(F.sum("_bcnt").over(before), F.lit(0)).alias("_ocnt"),
         F.sum("_bsum").over(before).alias("_osum"),
-        F.sum("_bsq").over(before).alias("_osq"),
+        F.sum(F.col("_bcnt") * off).over(before).alias("_os1"),
+        F.sum(F.col("_bm2") + F.col("_bcnt") * off * off).over(before).alias("_os2"),
+        F.col("_c"),
         F.max("_bmax").over(before).alias("_omax"),
         F.min("_bmin").over(before).alias("_omin"),
         F.lag("_blast").over(wb).alias("_oprev"),
@@ -150,14 +190,18 @@ def prior_history(df: DataFrame, keys: list[str], *, ts: str = "TX_TS", tid: str
     def nz(c):
         return F.coalesce(c, F.lit(0.0))
 
-    cnt = F.col("_ocnt") + F.col("_lcnt")
+    on, ln = F.col("_ocnt"), F.col("_lcnt")
+    cnt = on + ln
+    omean = F.col("_c") + F.col("_os1") / on
+    om2 = F.greatest(F.col("_os2") - F.col("_os1") * F.col("_os1") / on, F.lit(0.0))
+    mx, mn = F.greatest("_omax", "_lmax"), F.least("_omin", "_lmin")
     out = {
         f"{p}rn": (F.col("_orn") + F.col("_lrn")).cast("bigint"),
         f"{p}cnt": cnt.cast("bigint"),
         f"{p}sum": F.when(cnt > 0, nz(F.col("_osum")) + nz(F.col("_lsum"))),
-        f"{p}sq": F.when(cnt > 0, nz(F.col("_osq")) + nz(F.col("_lsq"))),
-        f"{p}max": F.greatest("_omax", "_lmax"),
-        f"{p}min": F.least("_omin", "_lmin"),
+        f"{p}max": mx,
+        f"{p}min": mn,
+        f"{p}std": _std(cnt, _merged(on, omean, om2, ln, F.col("_lmean"), F.col("_lm2")), mn, mx),
     }
     for c in lags:
         out[f"{p}prev_{c}"] = F.when(F.col("_lrn") == 1, F.col("_oprev")[c]).otherwise(F.col(f"_lprev_{c}"))
@@ -168,16 +212,19 @@ def prior_history(df: DataFrame, keys: list[str], *, ts: str = "TX_TS", tid: str
         present = F.filter(tail, lambda x: x.isNotNull())
         ccnt = F.size(present)
         csum = F.aggregate(present, F.lit(0.0), lambda a, x: a + x)
-        csq = F.aggregate(present, F.lit(0.0), lambda a, x: a + x * x)
-        cmin = F.array_min(present)
-        cmax = F.array_max(present)
-        ncnt = F.col(f"_ll{n}_cnt") + ccnt
+        cmean = csum / ccnt
+        cm2 = F.aggregate(present, F.lit(0.0), lambda a, x: a + (x - cmean) * (x - cmean))
+        cmin = F.least(F.col(f"_ll{n}_min"), F.array_min(present))
+        cmax = F.greatest(F.col(f"_ll{n}_max"), F.array_max(present))
+        lcnt = F.col(f"_ll{n}_cnt")
+        ncnt = lcnt + ccnt
+        m2 = _merged(ccnt, cmean, cm2, lcnt, F.col(f"_ll{n}_sum") / lcnt, F.col(f"_ll{n}_m2"))
         out[f"{p}l{n}_cnt"] = ncnt.cast("bigint")
         out[f"{p}l{n}_sum"] = F.when(ncnt > 0, nz(F.col(f"_ll{n}_sum")) + csum)
-        out[f"{p}l{n}_sq"] = F.when(ncnt > 0, nz(F.col(f"_ll{n}_sq")) + csq)
-        out[f"{p}l{n}_min"] = F.least(F.col(f"_ll{n}_min"), cmin)
-        out[f"{p}l{n}_max"] = F.greatest(F.col(f"_ll{n}_max"), cmax)
-    return j.select(*df.columns, *[c.alias(name) for name, c in out.items()])
+        out[f"{p}l{n}_min"] = cmin
+        out[f"{p}l{n}_max"] = cmax
+        out[f"{p}l{n}_std"] = _std(ncnt, m2, cmin, cmax)
+    return j.select(*names, *[c.alias(name) for name, c in out.items()])
 
 
 def history_block(base: DataFrame, keys: list[str], features, *, ts: str = "TX_TS", tid: str = "TX_ID",
@@ -206,7 +253,7 @@ def prior_mean(p: str = "_h") -> Column:
 
 
 def prior_std(p: str = "_h") -> Column:
-    return _std_from_moments(F.col(f"{p}cnt"), F.col(f"{p}sum"), F.col(f"{p}sq"), F.col(f"{p}min"), F.col(f"{p}max"))
+    return F.col(f"{p}std")
 
 
 def lastn_mean(n: int, p: str = "_h") -> Column:
@@ -214,8 +261,7 @@ def lastn_mean(n: int, p: str = "_h") -> Column:
 
 
 def lastn_std(n: int, p: str = "_h") -> Column:
-    return _std_from_moments(F.col(f"{p}l{n}_cnt"), F.col(f"{p}l{n}_sum"), F.col(f"{p}l{n}_sq"),
-                             F.col(f"{p}l{n}_min"), F.col(f"{p}l{n}_max"))
+    return F.col(f"{p}l{n}_std")
 
 
 def seconds_since_prev(p: str = "_h") -> Column:

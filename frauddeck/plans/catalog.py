@@ -32,4 +32,4 @@ def query(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every module that registers queries."""
     from frauddeck.plans import (q_clean, q_encode, q_metrics, q_pipelines,  # noqa: F401
-                                 q_profile, q_scalars, q_windows)
+                                 q_profile, q_scalars, q_tables, q_windows)

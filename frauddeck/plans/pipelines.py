@@ -28,51 +28,84 @@ def p1_clean(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return out
 
 
+TX_ORDER = ["TX_TS", "CUSTOMER_ID", "TERMINAL_ID", "MERCHANT_ID", "TX_AMOUNT"]
+
+
+def one_row_per_tx(tx: DataFrame) -> DataFrame:
+    """B1 on ``TX_ID``: the earliest row of a repeated id, so that blocks joined on it stay one to one."""
+    return clean.dedup_keep_first(tx, ["TX_ID"], [c for c in TX_ORDER if c in tx.columns])
+
+
+# P2's feature list, label-coded and frequency-coded columns.
+P2_CODES = ["CARD_BRAND", "TRANSACTION_TYPE", "TRANSACTION_CURRENCY", "CARD_COUNTRY_CODE", "ACQUIRER_ID", "BUSINESS_TYPE", "MCC_CODE", "OUTLET_TYPE"]
+P2_FREQS = ["CUSTOMER_ID", "TERMINAL_ID", "MERCHANT_ID", "CARD_DATA", "MCC_CODE", "BUSINESS_TYPE", "ACQUIRER_ID", "CARD_COUNTRY_CODE"]
+P2_FEATURES = [
+    "tx_hour", "tx_dow", "tx_day", "tx_month", "months_to_expiry", "amount_log1p", "goods_ratio", "cashback_ratio",
+    "x_customer_id", "y_customer_id", "x_terminal_id", "y_terminal_id", "cust_term_dist",
+    "ANNUAL_TURNOVER_CARD_log1p", "AVERAGE_TICKET_SALE_AMOUNT_log1p",
+    "PAYMENT_PERCENTAGE_FACE_TO_FACE", "PAYMENT_PERCENTAGE_ECOM", "PAYMENT_PERCENTAGE_MOTO", "DEPOSIT_REQUIRED_PERCENTAGE", "DEPOSIT_PERCENTAGE",
+    "DELIVERY_SAME_DAYS_PERCENTAGE", "DELIVERY_WEEK_ONE_PERCENTAGE", "DELIVERY_WEEK_TWO_PERCENTAGE", "DELIVERY_OVER_TWO_WEEKS_PERCENTAGE",
+    "merchant_tax_exempt_int", "is_recurring_int",
+    "time_since_last_CUSTOMER_ID_sec", "count_24h_CUSTOMER_ID", "count_7d_CUSTOMER_ID",
+    "time_since_last_TERMINAL_ID_sec", "count_24h_TERMINAL_ID", "count_7d_TERMINAL_ID",
+    "z_amt_CUSTOMER_ID", "z_amt_TERMINAL_ID", "z_amt_MERCHANT_ID", "dist_prev_terminal", "velocity_customer",
+]
+
+
 def p2_feature_table_v1(tx: DataFrame, customers: DataFrame, terminals: DataFrame, merchants: DataFrame,
                         *, reference: DataFrame | None = None) -> DataFrame:
-    """Calendar, amounts, expiry months, distance, recency/24h/7d counts, prior z-scores, hop
-    distance, label codes and log-count encodings (C1,H2,H16,H17,H9,H13,I2,E11,E1,E12,E13,I6)."""
+    """The 37 numeric features, 8 label codes and 8 log-count encodings as doubles, with the id and label
+    (B1, C1, H2, H16, H17, H9, H13, E1, E11, E12, E13, I2, I6, B12).
+
+    Codes and counts come from ``reference`` (the training rows; default ``tx`` itself): codes of
+    unseen values are -1, counts 0. One history block for each entity key.
+    """
+    tx = one_row_per_tx(tx)
     d = tx
-    j0 = star.star_join(tx.select("TX_ID", "TX_TS", "CUSTOMER_ID", "TERMINAL_ID"), terminals=terminals)
-    blocks = []
-    for key in ("CUSTOMER_ID", "TERMINAL_ID"):
-        blocks.append(W.history_block(tx, [key], {f"time_since_last_{key}_sec": F.coalesce(
-            W.seconds_since_prev(f"_{key[0]}"), F.lit(1e9))}, value=None, p=f"_{key[0]}"))
-        blocks.append(W.add_time_window_counts(tx.select(key, "TX_ID", "TX_TS"), key).drop(key, "TX_TS"))
-    for i, key in enumerate(("CUSTOMER_ID", "TERMINAL_ID", "MERCHANT_ID")):
-        p = f"_z{i}"
-        m_, s_ = W.prior_mean(p), F.coalesce(W.prior_std(p), F.lit(0.0))
-        blocks.append(W.history_block(tx, [key], {f"mean_amt_{key}": m_, f"std_amt_{key}": s_,
-                                                  f"z_amt_{key}": (F.col("TX_AMOUNT") - F.coalesce(m_, F.lit(0.0))) / (s_ + 1e-6)},
-                                      p=p))
-    hop = W.history_block(j0, ["CUSTOMER_ID"], lambda h: {
-        "dist_prev_terminal": F.coalesce(F.sqrt(F.pow(F.col("x_terminal_id") - F.col("_hprev_x_terminal_id"), 2)
-                                                + F.pow(F.col("y_terminal_id") - F.col("_hprev_y_terminal_id"), 2)), F.lit(0.0)),
-        "_gap": F.coalesce(W.seconds_since_prev(), F.lit(1e9))}, value=None, lags=["x_terminal_id", "y_terminal_id"])
-    blocks.append(hop.select("TX_ID", "dist_prev_terminal",
-                             (F.col("dist_prev_terminal") / F.greatest(F.col("_gap"), F.lit(1.0))).alias("velocity_customer")))
+    placed = star.star_join(tx.select("TX_ID", "TX_TS", "CUSTOMER_ID", "TERMINAL_ID", "TX_AMOUNT"), terminals=terminals)
+
+    def entity(key, p, hop=False):
+        m_, s_ = F.coalesce(W.prior_mean(p), F.lit(0.0)), F.coalesce(W.prior_std(p), F.lit(0.0))
+        out = {f"z_amt_{key}": (F.col("TX_AMOUNT") - m_) / (s_ + 1e-6)}
+        if key != "MERCHANT_ID":
+            out[f"time_since_last_{key}_sec"] = F.coalesce(W.seconds_since_prev(p), F.lit(1e9))
+        if hop:
+            out["dist_prev_terminal"] = F.coalesce(S.distance("x_terminal_id", "y_terminal_id", f"{p}prev_x_terminal_id", f"{p}prev_y_terminal_id"), F.lit(0.0))
+        return out
+    blocks = [
+        W.history_block(placed, ["CUSTOMER_ID"], entity("CUSTOMER_ID", "_c", True), lags=["x_terminal_id", "y_terminal_id"], p="_c"),
+        W.history_block(tx, ["TERMINAL_ID"], entity("TERMINAL_ID", "_t"), p="_t"),
+        W.history_block(tx, ["MERCHANT_ID"], entity("MERCHANT_ID", "_m"), p="_m"),
+        *[W.add_time_window_counts(tx.select(key, "TX_ID", "TX_TS"), key).drop(key, "TX_TS") for key in ("CUSTOMER_ID", "TERMINAL_ID")],
+    ]
     for b in blocks:
         d = d.join(b, "TX_ID", "left")
     d = star.star_join(d, customers, terminals, merchants)
     m, y = S.expiry_month_year("CARD_EXPIRY_DATE")
-    h = F.hour("TX_TS")
+    amt = S.zero_floor("TX_AMOUNT")
+    total = F.coalesce(F.col("TX_AMOUNT"), F.lit(0.0))
     d = d.withColumns({
-        "hour": h, "dow": S.weekday("TX_TS"), "day": F.dayofmonth("TX_TS"), "month": F.month("TX_TS"),
-        "amount_log1p": S.log1p0("TX_AMOUNT"),
-        "cashback_ratio": S.ratio("TRANSACTION_CASHBACK_AMOUNT", "TX_AMOUNT", 1e-6),
-        "goods_ratio": S.ratio("TRANSACTION_GOODS_AND_SERVICES_AMOUNT", "TX_AMOUNT", 1e-6),
+        "tx_hour": F.hour("TX_TS"), "tx_dow": S.weekday("TX_TS"), "tx_day": F.dayofmonth("TX_TS"), "tx_month": F.month("TX_TS"),
+        "amount_log1p": F.log1p(amt),
+        "cashback_ratio": S.ratio(F.coalesce(F.col("TRANSACTION_CASHBACK_AMOUNT"), F.lit(0.0)), total, 1e-6),
+        "goods_ratio": S.ratio(F.coalesce(F.col("TRANSACTION_GOODS_AND_SERVICES_AMOUNT"), F.lit(0.0)), total, 1e-6),
         "months_to_expiry": S.months_between30("TX_TS", S.expiry_date28(m, y)),
-        "dist_customer_terminal": S.distance("x_customer_id", "y_customer_id", "x_terminal_id", "y_terminal_id"),
-        "annual_turnover_card_log1p": S.log1p0("ANNUAL_TURNOVER_CARD"),
-        "annual_turnover_log1p": S.log1p0("ANNUAL_TURNOVER"),
-        "avg_ticket_log1p": S.log1p0("AVERAGE_TICKET_SALE_AMOUNT"),
-        "is_recurring": S.bool_int(S.fuzzy_bool("IS_RECURRING_TRANSACTION")),
+        "cust_term_dist": S.distance("x_customer_id", "y_customer_id", "x_terminal_id", "y_terminal_id"),
+        "ANNUAL_TURNOVER_CARD_log1p": S.log1p0("ANNUAL_TURNOVER_CARD"),
+        "AVERAGE_TICKET_SALE_AMOUNT_log1p": S.log1p0("AVERAGE_TICKET_SALE_AMOUNT"),
+        "merchant_tax_exempt_int": S.bool_int(S.fuzzy_bool("TAX_EXCEMPT_INDICATOR")),
+        "is_recurring_int": S.bool_int(S.fuzzy_bool("IS_RECURRING_TRANSACTION")),
+        "velocity_customer": F.col("dist_prev_terminal") / F.greatest(F.col("time_since_last_CUSTOMER_ID_sec"), F.lit(1.0)),
     })
-    ref = reference if reference is not None else tx  # narrow base, not the featured frame
-    for c in ("CARD_BRAND", "TRANSACTION_TYPE", "TRANSACTION_CURRENCY", "ACQUIRER_ID"):
-        codes = encode.fit_codes(ref, c)
-        d = encode.apply_codes(d, c, codes, unseen="minus_one", out=f"{c.lower()}_code")
-    return encode.log_count_encode(d, ["CUSTOMER_ID", "TERMINAL_ID", "MERCHANT_ID"], reference=ref)
+    # fitted on the narrow training rows, not on the featured frame
+    ref = one_row_per_tx(reference) if reference is not None else tx
+    ref = star.star_join(ref.select("MERCHANT_ID", "CUSTOMER_ID", "TERMINAL_ID", "CARD_DATA", *[c for c in P2_CODES if c in ref.columns]),
+                         merchants=merchants.select("MERCHANT_ID", "MCC_CODE", "BUSINESS_TYPE", "OUTLET_TYPE"))
+    for c in P2_CODES:
+        d = encode.apply_codes(d, c, encode.fit_codes(ref, c), unseen="minus_one", out=f"{c}_code")
+    d = encode.log_count_encode(d, P2_FREQS, reference=ref)
+    keep = ["TX_ID"] + (["TX_FRAUD"] if "TX_FRAUD" in d.columns else [])
+    return clean.project_features(d, [*P2_FEATURES, *[f"{c}_code" for c in P2_CODES], *[f"freq_{c}" for c in P2_FREQS]], keep)
 
 
 def p3_unified_features(tx: DataFrame, customers: DataFrame, terminals: DataFrame, merchants: DataFrame, *,
@@ -80,9 +113,11 @@ def p3_unified_features(tx: DataFrame, customers: DataFrame, terminals: DataFram
                         bad_threshold: float = 1.0) -> DataFrame:
     """The unified ~100-feature table (D17, C1, E1-E6, E9, E10, E14, E17, H*, B1).
 
-    Shuffles of the big table: customer, (customer, merchant) pair and terminal history
-    (bucketed), merchant percentile (range partitioned), dims (AQE-sized joins).
+    A repeated ``TX_ID`` keeps its earliest row. The wide rows are exchanged once, by ``TX_ID``;
+    customer, (customer, merchant) and terminal history and the merchant percentile run on
+    narrow projections that meet them there; dimensions are AQE-sized joins.
     """
+    tx = one_row_per_tx(tx)
     src = label_source if label_source is not None else tx
     bad = profile.compromised_entities(src, "TERMINAL_ID", min_count=bad_min_count, threshold=bad_threshold)
     median = exact_quantile(tx, "TX_AMOUNT", 0.5).select(F.col("q_TX_AMOUNT").alias("_median"))
@@ -205,6 +240,8 @@ def p4_history_and_target_encoding(train: DataFrame, test: DataFrame, merchants:
                                    alpha: float = 10.0, shuffle_key=None) -> tuple[DataFrame, DataFrame]:
     """Historical stats, lags, last-n sums and smoothed out-of-fold target encodings
     (D17, C1, E3, E8, E9, E10, E14, D14, D15, I8, I9); test rows get train statistics (C7)."""
+    train, test = one_row_per_tx(train), one_row_per_tx(test)
+
     def hist(df):
         amt = F.col("TX_AMOUNT")
 
@@ -227,7 +264,7 @@ def p4_history_and_target_encoding(train: DataFrame, test: DataFrame, merchants:
 
     tr, te = hist(train), hist(test)
     for key in ("CUSTOMER_ID", "TERMINAL_ID", "MERCHANT_ID"):
-        prof = profile.entity_amount_profile(train, key, with_median=False).join(
+        prof = profile.entity_amount_profile(train, key).join(
             profile.entity_fraud_profile(train, key), key, "left")
         tr, te = tr.join(prof, key, "left"), te.join(prof, key, "left")
     tr = split.stratified_kfold(tr, k, shuffle_key=shuffle_key)
@@ -279,7 +316,11 @@ def p6_profiling_pack(df: DataFrame) -> dict[str, DataFrame]:
 
 
 def p7_customer_behaviour(tx: DataFrame) -> DataFrame:
-    """Customer-behaviour table (C1 done by caller; H2, E1, E2, E4, E5, E7, E17, E18, H11, B15, B16)."""
+    """Customer-behaviour features of star-joined rows.
+
+    Numeric features with nulls get their median, categoricals are text with a null token.
+    """
+    tx = one_row_per_tx(tx)
     median = exact_quantile(tx, "TX_AMOUNT", 0.5).select(F.col("q_TX_AMOUNT").alias("_median"))
     bc = W.history_block(tx, ["CUSTOMER_ID"], lambda h: {
         "_crn": F.col("_crn"), "_cprev__us": F.col("_cprev__us"), "_pm": W.prior_mean("_c"), "_ps": W.prior_std("_c"),
@@ -307,31 +348,47 @@ def p7_customer_behaviour(tx: DataFrame) -> DataFrame:
         cols[f"amount_mean_last_{n}"] = F.coalesce(F.col(f"_m{n}"), med)
         cols[f"tx_count_last_{n}"] = F.least(F.col("_crn") - 1, F.lit(n))
     d = d.withColumns(cols)
-    d = d.drop("_crn", "_cprev__us", "_pm", "_ps", "_cmax", "_mrn", "_mprev__us", "_median",
-               *[f"_m{n}" for n in (3, 5, 10)])
-    return clean.null_tokens(d, ["MCC_CODE", "CARD_BRAND", "TRANSACTION_CURRENCY"], "MISSING")
+    numeric = ["TX_AMOUNT", *cols, *[c for c in ("x_customer_id", "y_customer_id") if c in d.columns]]
+    cats = [c for c in P7_CATEGORICALS if c in d.columns]
+    d = clean.null_tokens(d.withColumns({c: F.col(c).cast("string") for c in cats}), cats, "MISSING")
+    gaps = d.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in numeric]).first()
+    d = d.select("TX_ID", *[c for c in ("TX_FRAUD",) if c in d.columns], *numeric, *cats)
+    with_gaps = [c for c in numeric if gaps[c]]
+    return clean.impute_median(d.withColumns({c: F.col(c).cast("double") for c in with_gaps}), with_gaps) if with_gaps else d
 
 
-def p12_small_booster_table(tx: DataFrame, customers: DataFrame, terminals: DataFrame,
-                            merchants: DataFrame) -> DataFrame:
-    """Small booster table."""
-    d = star.star_join(tx, customers, terminals, merchants)
-    d = W.add_time_since_last(d, ["CUSTOMER_ID"], "time_since_last", 0.0)
-    d = W.add_entity_stats(d, "CUSTOMER_ID", "TX_AMOUNT", {"_cust_mean": "mean"})
+# P7's categorical features; P12's label-coded columns and features.
+P7_CATEGORICALS = ["CUSTOMER_ID", "TERMINAL_ID", "CARD_BRAND", "TRANSACTION_TYPE", "TRANSACTION_STATUS", "TRANSACTION_CURRENCY", "CARD_COUNTRY_CODE",
+                   "MERCHANT_ID", "CARDHOLDER_AUTH_METHOD", "ACQUIRER_ID", "BUSINESS_TYPE", "OUTLET_TYPE", "MCC_CODE"]
+P12_CODES = ["CARD_BRAND", "TRANSACTION_TYPE", "TRANSACTION_STATUS", "CARDHOLDER_AUTH_METHOD", "BUSINESS_TYPE", "OUTLET_TYPE", "card_first_digits", "card_last_digits"]
+P12_FEATURES = ["TX_AMOUNT", "hour", "day_of_week", "day_of_month", "month", "time_since_last_tx", "amount_to_avg_ratio", "x_customer_id", "y_customer_id",
+                "MCC_CODE", "ANNUAL_TURNOVER", "AVERAGE_TICKET_SALE_AMOUNT", *P12_CODES, "card_expiry_year", "card_expiry_month"]
+
+
+def p12_small_booster_table(tx: DataFrame, customers: DataFrame, merchants: DataFrame) -> DataFrame:
+    """Small booster table (B1, C1, E1, E16, H2, H11, H24, I3): its feature list with the id and label.
+
+    Label codes are those of the sorted text values (a null is the text ``nan``).
+    """
+    tx = one_row_per_tx(tx)
+    block = W.history_block(tx, ["CUSTOMER_ID"], {"time_since_last_tx": F.coalesce(W.seconds_since_prev(), F.lit(0.0))}, value=None)
+    d = W.add_entity_stats(tx.join(block, "TX_ID", "left"), "CUSTOMER_ID", "TX_AMOUNT", {"_cust_mean": "mean"})
     pan = S.pan_parts("CARD_DATA")
-    d = d.withColumns({"hour": F.hour("TX_TS"), "dayofweek": S.weekday("TX_TS"), "day": F.dayofmonth("TX_TS"),
-                       "month": F.month("TX_TS"), "amount_to_cust_mean": F.col("TX_AMOUNT") / F.col("_cust_mean"),
-                       "exp_month": S.split_part("CARD_EXPIRY_DATE", "/", 0).try_cast("int"),
-                       "exp_year": S.split_part("CARD_EXPIRY_DATE", "/", 1).try_cast("int"),
-                       "card_first4": pan["card_bin4"], "card_last4": pan["card_last4"]}).drop("_cust_mean")
-    base = tx.select("MERCHANT_ID", "CARD_BRAND", "TRANSACTION_TYPE").join(
-        merchants.select("MERCHANT_ID", "MCC_CODE"), "MERCHANT_ID", "left")
-    for c in ("CARD_BRAND", "TRANSACTION_TYPE", "MCC_CODE"):
-        d = encode.apply_codes(d, c, encode.fit_codes(base, c), unseen="first", out=f"{c.lower()}_code")
-    return d
-
-
-def p8_train_score_submit(features: DataFrame, test: DataFrame, feature_cols: list[str], *, k: int = 3,
+    d = star.star_join(d, customers, None, merchants).withColumns({
+        "hour": F.hour("TX_TS"), "day_of_week": S.weekday("TX_TS"), "day_of_month": F.dayofmonth("TX_TS"), "month": F.month("TX_TS"),
+        "amount_to_avg_ratio": F.col("TX_AMOUNT") / F.col("_cust_mean"),
+        "card_expiry_month": S.split_part("CARD_EXPIRY_DATE", "/", 0).try_cast("int"),
+        "card_expiry_year": S.split_part("CARD_EXPIRY_DATE", "/", 1).try_cast("int"),
+        "card_first_digits": pan["card_bin4"], "card_last_digits": pan["card_last4"]})
+    base = star.star_join(tx.select("MERCHANT_ID", "CARD_BRAND", "TRANSACTION_TYPE", "TRANSACTION_STATUS", "CARDHOLDER_AUTH_METHOD",
+                                    pan["card_bin4"].alias("card_first_digits"), pan["card_last4"].alias("card_last_digits")),
+                          merchants=merchants.select("MERCHANT_ID", "BUSINESS_TYPE", "OUTLET_TYPE"))
+    for c in P12_CODES:
+        d = encode.apply_codes(d, c, encode.fit_codes(base, c, null_token="nan"), unseen="first", null_token="nan")
+    return d.select("TX_ID", *[c for c in ("TX_FRAUD",) if c in d.columns], *P12_FEATURES)
+
+
+def p8_train_score_submit(features: DataFrame, test: DataFrame, feature_cols: list[str], *, k: int = 5,
                           label: str = "TX_FRAUD", override_flag: str | None = "is_fraudulent_terminal",
                           max_iter: int = 20, shuffle_key=None) -> dict[str, DataFrame]:
     """Stratified folds, out-of-fold GBT scores, fold-mean test scores, rule override,
@@ -341,7 +398,9 @@ def p8_train_score_submit(features: DataFrame, test: DataFrame, feature_cols: li
     oof, test_scores = ml.kfold_oof(f, test, feature_cols, label, k=k,
                                     fit=lambda d: ml.fit_gbt(d, feature_cols, label, max_iter=max_iter, max_depth=5))
     ev = oof.join(features.select("TX_ID", F.col(label).alias("y")), "TX_ID")
-    if override_flag and override_flag in test.columns:
+    if override_flag:
+        if override_flag not in test.columns:
+            raise KeyError(f"{override_flag}: the rule override was asked for, but the test rows lack its flag")
         test_scores = ml.override_known_bad(test_scores.join(test.select("TX_ID", override_flag), "TX_ID"),
                                             override_flag).drop(override_flag)
     return {"oof": oof, "submission": test_scores,

@@ -152,13 +152,15 @@ gm AS (SELECT AVG(CAST(TX_FRAUD AS DOUBLE)) AS g FROM f),
 enc AS (SELECT f.MCC_CODE, COALESCE(CASE WHEN o.n > 0 THEN o.s / o.n END, g) AS te FROM f
         LEFT JOIN o ON f.MCC_CODE = o.MCC_CODE AND f.fold = o.fold, gm),
 per AS (SELECT MCC_CODE, AVG(te) AS te FROM enc GROUP BY 1)
-SELECT TX_ID, ROUND(COALESCE(per.te, (SELECT AVG(te) FROM enc)), 6) AS CARD_BRAND_te
-FROM te LEFT JOIN per ON te.CARD_BRAND = per.MCC_CODE""")
+SELECT TX_ID, ROUND(COALESCE(per.te, (SELECT AVG(CAST(TX_FRAUD AS DOUBLE)) FROM tr)), 6) AS CARD_BRAND_te
+FROM (SELECT TX_ID, CASE WHEN TX_ID % 7 = 0 THEN 'Brand new' WHEN TX_ID % 7 = 1 THEN NULL ELSE CARD_BRAND END AS brand FROM te) t
+LEFT JOIN per ON t.brand = per.MCC_CODE""")
 def i9_apply_target_encoding_to_test(spark, sf):
     tr, te = _train_test(spark, sf)
     f = J.stratified_kfold(tr.select("TX_ID", "TX_FRAUD", "CARD_BRAND"), 5, shuffle_key=_shuf())
     enc = E.out_of_fold_target_encode(f, "CARD_BRAND")
-    d = E.apply_target_encoding(te.select("TX_ID", "CARD_BRAND"), enc, "CARD_BRAND")
+    brand = F.when(F.col("TX_ID") % 7 == 0, "Brand new").when(F.col("TX_ID") % 7 != 1, F.col("CARD_BRAND"))  # unseen and null ones
+    d = E.apply_target_encoding(te.select("TX_ID", brand.alias("CARD_BRAND")), enc, "CARD_BRAND")
     return d.select("TX_ID", r("CARD_BRAND_te").alias("CARD_BRAND_te"))
 
 

@@ -28,31 +28,14 @@ NUM_FEATURES = ["TX_AMOUNT_log", "distance", "hour", "dayofweek", "time_since_la
 
 def _p3(spark, sf, fact="events"):
     v = views(spark, sf, fact)
-    return P.p3_unified_features(v["transactions"], v["customers"], v["terminals"], v["merchants"],
-                                 bad_threshold=0.5)
+    return P.p3_unified_features(v["transactions"], v["customers"], v["terminals"], v["merchants"])
 
 
 def _staged(spark, sf):
     """Feature table computed once and cut from its lineage before fold / seed / parameter loops."""
     from frauddeck.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
-    return _p3(spark, sf).select("TX_ID", "TX_TS", "TX_FRAUD", *NUM_FEATURES).checkpoint(eager=True)
-
-
-@query("p3_unified_features")
-def p3_unified_features(spark, sf):
-    return _p3(spark, sf).drop("TX_TS")
-
-
-@query("p3_unified_features_lineitem")
-def p3_unified_features_lineitem(spark, sf):
-    return _p3(spark, sf, "lineitem").drop("TX_TS")
-
-
-@query("p2_feature_table_v1")
-def p2_feature_table_v1(spark, sf):
-    v = views(spark, sf)
-    return P.p2_feature_table_v1(v["transactions"], v["customers"], v["terminals"], v["merchants"]).drop("TX_TS")
+    return _p3(spark, sf).select("TX_ID", "TX_TS", "TX_FRAUD", "is_fraudulent_terminal", *NUM_FEATURES).checkpoint(eager=True)
 
 
 @query("p4_history_target_encoding")
@@ -71,30 +54,25 @@ def p5_neural_net_matrix(spark, sf):
     return P.p5_neural_net_matrix(v["transactions"], v["customers"], v["terminals"], v["merchants"]).drop("TX_TS")
 
 
-@query("p7_customer_behaviour")
-def p7_customer_behaviour(spark, sf):
-    v = views(spark, sf)
-    j = star.star_join(v["transactions"], v["customers"], v["terminals"], v["merchants"])
-    return P.p7_customer_behaviour(j).drop("TX_TS", "FOUNDATION_DATE")
-
-
-@query("p12_small_booster_table")
-def p12_small_booster_table(spark, sf):
-    v = views(spark, sf)
-    return P.p12_small_booster_table(v["transactions"], v["customers"], v["terminals"], v["merchants"]) \
-            .drop("TX_TS", "FOUNDATION_DATE")
+def _p8(spark, sf):
+    feats = split.time_split(_staged(spark, sf)).checkpoint(eager=True)
+    return P.p8_train_score_submit(feats.filter("is_train = 1"), feats.filter("is_train = 0"), NUM_FEATURES, max_iter=10)
 
 
 @query("p8_k1_k5_k7_oof_gbt")
 def p8_k1_k5_k7_oof_gbt(spark, sf):
     """OOF GBT on the unified features (time split: first 80% train, rest test); returns OOF AUC/AP."""
-    feats = split.time_split(_staged(spark, sf)).checkpoint(eager=True)
-    train, test = feats.filter("is_train = 1"), feats.filter("is_train = 0")
-    out = P.p8_train_score_submit(train, test, NUM_FEATURES, k=3, max_iter=10)
+    out = _p8(spark, sf)
     return attach_row(out["auc"], out["ap"]).select(r("roc_auc", 3).alias("roc_auc"),
                                                  r("average_precision", 3).alias("average_precision"))
 
 
+@query("p8_submission")
+def p8_submission(spark, sf):
+    """The same run's submission: mean score of the five fold models, known-bad terminals overridden."""
+    return _p8(spark, sf)["submission"].select("TX_ID", "TX_FRAUD")
+
+
 @query("k1_k11_gbt_validation_scores")
 def k1_k11_gbt_validation_scores(spark, sf):
     feats = split.time_split(_staged(spark, sf))
@@ -112,7 +90,7 @@ def k3_k10_tree_importance(spark, sf):
 @query("k2_mlp_scores")
 def k2_mlp_scores(spark, sf):
     feats = split.time_split(_staged(spark, sf))
-    m = ml.fit_mlp(feats.filter("is_train = 1"), NUM_FEATURES, hidden=(16, 8), max_iter=30, oversample=3)
+    m = ml.fit_mlp(feats.filter("is_train = 1"), NUM_FEATURES, max_iter=30, oversample=3)
     return ml.score(m, feats.filter("is_train = 0"))
 
 
@@ -143,6 +121,16 @@ def p9_blend_and_compare(spark, sf):
     return L_grades_keep(out["agreement"])
 
 
+@query("p9_blends", """
+WITH j AS (SELECT TX_ID, LEAST(GREATEST(a.TX_FRAUD, 1e-8), 1 - 1e-8) AS p, LEAST(GREATEST(b.TX_FRAUD, 1e-8), 1 - 1e-8) AS q FROM scores_a a JOIN scores_b b USING (TX_ID))
+SELECT TX_ID, ROUND(0.6 * p + 0.4 * q, 6) AS weighted, ROUND(p ** 0.62 * q ** 0.38, 6) AS geometric FROM j""")
+def p9_blends(spark, sf):
+    """P9's blends of every aligned row (the entropy and logit ones are in m1_m14_blends)."""
+    t = tx(spark, sf)
+    out = P.p9_blend_and_compare(adapter.scores_a(t), adapter.scores_b(t))["blends"]
+    return out.select("TX_ID", r("weighted").alias("weighted"), r("geometric").alias("geometric"))
+
+
 @query("p11_score_report_top10")
 def p11_score_report_top10(spark, sf):
     t = tx(spark, sf)
@@ -154,16 +142,16 @@ def p11_score_report_top10(spark, sf):
 def k4_random_search_time_folds(spark, sf):
     """K4: seeded random parameter draws scored by mean AUC over expanding time folds."""
     feats = split.time_folds(_staged(spark, sf), 3).checkpoint(eager=True)
-    params = [dict(p, max_iter=5) for p in ml.random_param_sets(2, seed=1)]
+    params = [dict(p, max_iter=5) for p in ml.random_param_sets(10, seed=1)]
     return ml.search_time_folds(feats, NUM_FEATURES, k=3, params=params).select("param_id", r("mean_auc", 3).alias("mean_auc"))
 
 
 @query("k6_seed_bagging")
 def k6_seed_bagging(spark, sf):
-    """K6: mean validation score of boosters trained with three seeds."""
+    """K6: mean validation score of boosters trained with five seeds."""
     feats = split.time_split(_staged(spark, sf)).checkpoint(eager=True)
     return ml.seed_bagging(feats.filter("is_train = 1"), feats.filter("is_train = 0"), NUM_FEATURES,
-                           seeds=(0, 1, 2), max_iter=5, max_depth=4)
+                           max_iter=5, max_depth=4)
 
 
 @query("p6_profiling_pack_summary")

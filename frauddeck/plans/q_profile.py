@@ -370,22 +370,32 @@ def d27_fraud_amount_moments(spark, sf):
     return d.select(r("mu").alias("mu"), r("sigma", 4).alias("sigma"), "lo", "hi", "n")
 
 
-@query("f3_scores_sorted_top100", """
+@query("f3_scores_sorted", """
+SELECT TX_ID, ROUND(TX_FRAUD, 6) AS TX_FRAUD, row_number() OVER (ORDER BY TX_FRAUD DESC, TX_ID) AS place FROM scores_b""")
+def f3_scores_sorted(spark, sf):
+    """the whole score file in descending order, each row with its place (distributed ranks)."""
+    from frauddeck.operators.globalrank import row_number_within
+    s = adapter.scores_b(tx(spark, sf))
+    d = row_number_within(s, [], [F.col("TX_FRAUD").desc(), F.col("TX_ID")], out="place")
+    return d.orderBy("place").select("TX_ID", r("TX_FRAUD").alias("TX_FRAUD"), F.col("place").cast("bigint").alias("place"))
+
+
+@query("f4_top100_scores", """
 SELECT TX_ID, ROUND(TX_FRAUD, 6) AS TX_FRAUD FROM scores_b ORDER BY TX_FRAUD DESC, TX_ID LIMIT 100""")
-def f3_scores_sorted_top100(spark, sf):
+def f4_top100_scores(spark, sf):
+    """a top-n report."""
     s = adapter.scores_b(tx(spark, sf))
     return P.top_n(s, [F.col("TX_FRAUD").desc(), F.col("TX_ID")], 100).select("TX_ID", r("TX_FRAUD").alias("TX_FRAUD"))
 
 
 @query("f4_top_features_by_abs_corr", " UNION ALL ".join(
     f"""SELECT * FROM (SELECT '{f}' AS feature, ROUND(abs(corr(COALESCE(CAST({e} AS DOUBLE), 0), CAST(TX_FRAUD AS DOUBLE))), 6)
-      AS abs_correlation FROM {STAR.replace('tx ', 'ltx ', 1)})""" for f, e in CORR_FEATS.items())
-    .join(["SELECT * FROM (", ") WHERE abs_correlation > 0.001 ORDER BY abs_correlation DESC, feature LIMIT 5"]))
+      AS abs_correlation FROM {STAR})""" for f, e in CORR_FEATS.items())
+    .join(["SELECT * FROM (", ") ORDER BY abs_correlation DESC, feature LIMIT 10"]).join(["SELECT * FROM (", ") WHERE abs_correlation > 0.01"]))
 def f4_top_features_by_abs_corr(spark, sf):
-    d = P.label_correlations(joined(spark, sf, "lineitem"), list(CORR_FEATS), min_non_null=0)
-    d = d.filter(F.col("abs_correlation") > 0.001)
-    return P.top_n(d, [F.col("abs_correlation").desc(), F.col("feature")], 5).select(
-        "feature", r("abs_correlation").alias("abs_correlation"))
+    d = P.label_correlations(joined(spark, sf), list(CORR_FEATS), min_non_null=0)
+    best = P.top_n(d, [F.col("abs_correlation").desc(), F.col("feature")], 10)  # of the ten best, those above 0.01
+    return best.select("feature", r("abs_correlation").alias("abs_correlation")).filter("abs_correlation > 0.01")
 
 
 @query("g1_union_train_validation", """

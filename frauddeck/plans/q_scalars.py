@@ -15,7 +15,7 @@ STAR = ("tx LEFT JOIN merchants USING (MERCHANT_ID) LEFT JOIN customers USING (C
 @query("h1_h12_calendar_features", """
 SELECT TX_ID, CAST(hour(TX_TS) AS BIGINT) AS hour, CAST(isodow(TX_TS) - 1 AS BIGINT) AS dayofweek,
   CAST(day(TX_TS) AS BIGINT) AS day_of_month, CAST(month(TX_TS) AS BIGINT) AS month,
-  ROUND((hour(TX_TS) * 3600 + minute(TX_TS) * 60 + floor(second(TX_TS))) / 86400.0, 6) AS time_of_day,
+  ROUND((hour(TX_TS) * 3600 + minute(TX_TS) * 60 + floor(second(TX_TS))) / 86400.0, 9) AS time_of_day,
   CAST(isodow(TX_TS) - 1 IN (5, 6) AS INTEGER) AS is_weekend,
   CAST(hour(TX_TS) >= 22 OR hour(TX_TS) <= 6 AS INTEGER) AS is_night,
   CAST(hour(TX_TS) >= 9 AND hour(TX_TS) <= 17 AS INTEGER) AS is_business_hours,
@@ -36,7 +36,7 @@ def h1_h12_calendar_features(spark, sf):
     return t.select(
         "TX_ID", h.cast("bigint").alias("hour"), S.weekday("TX_TS").cast("bigint").alias("dayofweek"),
         F.dayofmonth("TX_TS").cast("bigint").alias("day_of_month"), F.month("TX_TS").cast("bigint").alias("month"),
-        r(S.time_of_day("TX_TS")).alias("time_of_day"), S.is_weekend("TX_TS").alias("is_weekend"),
+        r(S.time_of_day("TX_TS"), 9).alias("time_of_day"), S.is_weekend("TX_TS").alias("is_weekend"),
         S.is_night(h).alias("is_night"), S.is_business_hours(h).alias("is_business_hours"),
         *[c.alias(n) for n, c in bands.items()],
         S.hour_risk(h).alias("tx_hour_risk"), S.in_flag(h, S.HIGH_RISK_HOURS).alias("is_high_risk_hour"),

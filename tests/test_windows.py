@@ -1,9 +1,9 @@
-"""History windows: hand-made cases (FIXTURES 4) and a pandas parity check with a hot key."""
+"""History windows: hand-made cases (FIXTURES 4) and a plain loop with a hot key, null keys and a burst."""
 
 import datetime as dt
 import random
+import statistics
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,48 +49,84 @@ def test_constant_values_std_exactly_zero(spark):
     assert stds and all(s == 0.0 for s in stds)
 
 
-def _pandas_reference(pdf):
-    pdf = pdf.sort_values(["CUSTOMER_ID", "TX_TS", "TX_ID"])
-    g = pdf.groupby("CUSTOMER_ID")["TX_AMOUNT"]
-    out = pd.DataFrame({"TX_ID": pdf["TX_ID"]})
-    out["rn"] = pdf.groupby("CUSTOMER_ID").cumcount() + 1
-    out["pmean"] = g.transform(lambda x: x.expanding().mean().shift(1))
-    out["pstd"] = g.transform(lambda x: x.expanding().std().shift(1))
-    out["pmax"] = g.transform(lambda x: x.expanding().max().shift(1))
-    out["l3"] = g.transform(lambda x: x.shift().rolling(3, min_periods=1).mean())
-    out["prev"] = pdf.groupby("CUSTOMER_ID")["TX_TS"].diff().dt.total_seconds()
-    return out.set_index("TX_ID")
+def _plain(rows):
+    """The same history by a loop over each customer's sorted rows; null customers have none."""
+    by = {}
+    for tx, ts, cust, amt in rows:
+        by.setdefault(("solo", tx) if cust is None else cust, []).append((ts, tx, amt))
+    out = {}
+    for own in by.values():
+        own.sort(key=lambda r: (r[0], r[1]))
+        for i, (ts, tx, _) in enumerate(own):
+            before = [a for _, _, a in own[:i] if a is not None]
+            last3 = [a for _, _, a in own[max(i - 3, 0):i] if a is not None]
+            out[tx] = {"rn": i + 1, "pmean": statistics.fmean(before) if before else None, "pstd": statistics.stdev(before) if len(before) > 1 else None,
+                       "pmax": max(before, default=None), "l3": statistics.fmean(last3) if last3 else None,
+                       "l3std": statistics.stdev(last3) if len(last3) > 1 else None, "prev": (ts - own[i - 1][0]).total_seconds() if i else None}
+    return out
 
 
-def test_bucketed_history_matches_pandas_with_hot_key(spark):
+def _history(df, **kw):
+    h = W.prior_history(df, ["CUSTOMER_ID"], last_n=[3], **kw)
+    cols = {"rn": F.col("_hrn"), "pmean": W.prior_mean(), "pstd": W.prior_std(), "pmax": F.col("_hmax"), "l3": W.lastn_mean(3), "l3std": W.lastn_std(3), "prev": W.seconds_since_prev()}
+    return {r["TX_ID"]: r.asDict() for r in h.select("TX_ID", *[c.alias(k) for k, c in cols.items()]).collect()}
+
+
+def _same(got, want, rel=1e-9):
+    assert set(got) == set(want)
+    for tx, w in want.items():
+        for k, v in w.items():
+            assert got[tx][k] == (None if v is None else pytest.approx(v, rel=rel, abs=1e-9)), (tx, k)
+
+
+def _random_rows(offset=0.0):
     rnd = random.Random(7)
     rows, start = [], _ts("2024-01-01 00:00")
-    for i in range(1500):
-        cust = "HOT" if i % 3 else f"c{rnd.randint(0, 30)}"  # one key holds two thirds of the rows
+    for i in range(900):
+        cust = None if i % 50 == 0 else "HOT" if i % 3 else f"c{rnd.randint(0, 30)}"  # one key holds two thirds of the rows
         ts = start + dt.timedelta(hours=rnd.randint(0, 24 * 40))  # hourly ties across 40 daily buckets
-        amt = None if rnd.random() < 0.05 else round(rnd.uniform(0, 500), 2)
-        rows.append((i, ts, cust, amt))
-    df = spark.createDataFrame(rows, SCHEMA)
-    h = W.prior_history(df, ["CUSTOMER_ID"], last_n=[3], rows_per_bucket=40)  # HOT splits into ~25 buckets
-    got = h.select("TX_ID", "_hrn", W.prior_mean().alias("pmean"), W.prior_std().alias("pstd"),
-                   F.col("_hmax").alias("pmax"), W.lastn_mean(3).alias("l3"),
-                   W.seconds_since_prev().alias("prev")).toPandas().set_index("TX_ID")
-    ref = _pandas_reference(pd.DataFrame(rows, columns=["TX_ID", "TX_TS", "CUSTOMER_ID", "TX_AMOUNT"]))
-    assert (got["_hrn"] == ref["rn"].loc[got.index]).all()
-    for c in ["pmean", "pstd", "pmax", "l3", "prev"]:
-        a, b = got[c], ref[c].loc[got.index]
-        assert ((a - b).abs().fillna(0) < 1e-6).all() and (a.isna() == b.isna()).all(), c
-
-
-def test_hot_key_is_split_into_buckets(spark):
-    rows = [(i, _ts("2024-01-01 00:00") + dt.timedelta(minutes=7 * i), "HOT" if i % 3 else f"c{i % 5}", 1.0)
-            for i in range(3000)]
+        rows.append((i, ts, cust, None if rnd.random() < 0.05 else offset + round(rnd.uniform(0, 500), 2)))
+    # a burst: one row long before all others
+    rows.append((5000, _ts("1999-01-01 00:00"), "HOT", offset + 1.0))
+    return rows
+
+
+@pytest.mark.parametrize("rows_per_bucket", [1_000_000, 40])
+def test_history_matches_a_plain_loop_on_both_sides_of_the_threshold(spark, rows_per_bucket):
+    rows = _random_rows()
+    _same(_history(spark.createDataFrame(rows, SCHEMA), rows_per_bucket=rows_per_bucket), _plain(rows))
+
+
+@pytest.mark.parametrize("rows_per_bucket", [1_000_000, 40])
+def test_std_of_large_values_keeps_its_digits(spark, rows_per_bucket):
+    rows = [(i, _ts("2024-01-01 00:00") + dt.timedelta(hours=i), "A", 1e9 + 1 + 2 * i) for i in range(3)]
+    got = _history(spark.createDataFrame(rows + [(3, _ts("2024-02-01 00:00"), "A", 0.0)], SCHEMA), rows_per_bucket=rows_per_bucket)
+    assert got[2]["pstd"] == pytest.approx(2 ** 0.5) and got[3]["pstd"] == pytest.approx(2.0) and got[3]["l3std"] == pytest.approx(2.0)
+    big = _random_rows(1e9)
+    _same(_history(spark.createDataFrame(big, SCHEMA), rows_per_bucket=rows_per_bucket), _plain(big), rel=1e-6)
+
+
+def test_rows_with_a_null_key_stay(spark):
+    rows = [(i, _ts("2024-01-01 00:00") + dt.timedelta(hours=i), None if i % 2 else "A", 1.0) for i in range(8)]
+    out = W.add_time_since_last(spark.createDataFrame(rows, SCHEMA), ["CUSTOMER_ID"], "gap", -1.0)
+    got = dict(out.select("TX_ID", "gap").collect())
+    assert len(got) == 8 and all(got[i] == -1.0 for i in (1, 3, 5, 7)) and got[2] == 7200.0
+
+
+def test_hot_key_is_split_by_its_own_rows(spark):
+    rows = [(i, _ts("2024-01-01 00:00") + dt.timedelta(minutes=7 * i), "HOT" if i % 3 else f"c{i % 5}", 1.0) for i in range(3000)]
+    rows.append((9999, _ts("1990-01-01 00:00"), "HOT", 1.0))  # a burst after one early row
     df = spark.createDataFrame(rows, SCHEMA).withColumn("_us", F.unix_micros("TX_TS"))
-    b = W._adaptive_buckets(df, ["CUSTOMER_ID"], 250)  # HOT has 2000 rows, the c* keys 200 each
-    per = {r["CUSTOMER_ID"]: r["nb"] for r in b.groupBy("CUSTOMER_ID").agg(F.countDistinct("_b").alias("nb")).collect()}
-    assert per["HOT"] >= 6 and all(v == 1 for k, v in per.items() if k != "HOT")
-    biggest = b.filter("CUSTOMER_ID = 'HOT'").groupBy("_b").count().agg(F.max("count")).first()[0]
-    assert biggest <= 400  # no bucket is much larger than the target
+    assert W._hot_keys(df, ["CUSTOMER_ID"], 5000) is None
+    hot = W._hot_keys(df, ["CUSTOMER_ID"], 250)  # HOT has 2001 rows, the c* keys 200 each
+    assert [r[0] for r in hot.select("CUSTOMER_ID").collect()] == ["HOT"]
+    cut = df.join(hot, "CUSTOMER_ID").withColumn("b", F.size(F.filter("_cuts", lambda c: c < F.col("_us"))))
+    assert cut.groupBy("b").count().agg(F.max("count")).first()[0] <= 250
+
+
+def test_ordinary_keys_cost_one_exchange(spark, six):
+    plan = W.prior_history(six, ["CUSTOMER_ID"], last_n=[3, 10], lags=["TX_AMOUNT"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
 
 
 def test_history_window_is_partitioned(spark, six):
