@@ -22,10 +22,13 @@ is a document. An empty table has no pieces.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +40,25 @@ from frauddeck.llm import common as C
 
 SEQUENCE, END_ID, GROUP_TOKENS = 2048, 1, 1 << 21
 LINEAR, QUADRATIC = 1.0, 1.0 / SEQUENCE
-KEPT_PIECES, KEPT_LENGTH = 400_000, 48
+KEPT_PIECES, KEPT_LENGTH = 500_000, 48
 
 RESULT = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
+#: A space or line break, letters, and signs that never join a word. Not the apostrophe.
+_WORD = re.compile(r"([ \n])([A-Za-zÀ-ÖØ-öø-ÿ]{1,40})([!-&(-/:-@\[-`{-~]{0,8})")
+
+
+def _shown() -> dict[int, str]:
+    """How a byte-level vocabulary shows each byte: itself if it prints, else a sign from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_SHOWN = _shown()
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(130)]  # no word of 41 letters has more ids than bytes
+
 
 class Encoder:
     """Token ids of texts as bytes (unsigned little-endian 32-bit)."""
@@ -51,38 +68,70 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kept: dict[str, bytes] = {}
+        self.kept: dict[str, bytes] = {}  # ids of recent pieces,
+        self.older: dict[str, bytes] = {}  # of those before them,
+        self.tails: dict[str, bytes] = {}  # and of the signs after words
         self.line, = self._ids("\n").tolist()
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _learn(self, pieces: list[str]) -> None:
-        """Encodes all pieces as one text, parted by line breaks, each of which is one id."""
-        odd = [x for x in pieces if "\n" in x[1:]]
-        pieces = [x for x in pieces if "\n" not in x[1:]] if odd else pieces
-        self.kept.update((x, self._ids(x).tobytes()) for x in odd)
-        ids = self._ids("".join([x if x[0] == "\n" else "\n" + x for x in pieces]))
-        at = np.flatnonzero(ids == self.line)
-        raw = ids.tobytes()
-        for x, s, e in zip(pieces, (4 * at).tolist(), (4 * np.append(at[1:], len(ids))).tolist()):
-            self.kept[x] = raw[s if x[0] == "\n" else s + 4:e]
+        """Encodes pieces: a word of letters by the model itself, with signs after it apart (the
+        tokenizer's rule parts them there); all others as one text, parted by line breaks, each
+        of which is one id."""
+        kept, other, line, tokenize = self.kept, [], _PACK[1](self.line), self.tokenizer.model.tokenize
+        for x in pieces:
+            if not (m := _WORD.fullmatch(x)):
+                other.append(x)
+                continue
+            before, core, tail = m.groups()
+            word = core if before == "\n" else " " + core
+            known = ("Ġ" + core if word is not core else core) if core.isascii() else word.encode().decode("latin-1").translate(_SHOWN)
+            found = tokenize(known)
+            ids = _PACK[len(found)](*[t.id for t in found])
+            if tail and tail not in self.tails:
+                self.tails[tail] = self._ids(tail).tobytes()
+            kept[x] = (line if before == "\n" else b"") + ids + (self.tails[tail] if tail else b"")
+        odd = [x for x in other if "\n" in x[1:]]
+        other = [x for x in other if "\n" not in x[1:]] if odd else other
+        kept.update((x, self._ids(x).tobytes()) for x in odd)
+        if other:
+            ids = self._ids("".join([x if x[0] == "\n" else "\n" + x for x in other]))
+            at = np.flatnonzero(ids == self.line)
+            raw = ids.tobytes()
+            for x, s, e in zip(other, (4 * at).tolist(), (4 * np.append(at[1:], len(ids))).tolist()):
+                kept[x] = raw[s if x[0] == "\n" else s + 4:e]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        gc.disable()  # millions of strings, none of them in a cycle
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         parts = [_CUT.split(x) for x in texts]
-        kept = self.kept
-        if len(kept) > KEPT_PIECES:
-            kept.clear()
+        if len(self.kept) > KEPT_PIECES:
+            self.older, self.kept, self.tails = self.kept, {}, {}
+        kept, older = self.kept, self.older
         new = {y for x in parts for y in x[1:]}.difference(kept)
-        if new:
-            self._learn(list(new))
+        again = new.intersection(older)
+        kept.update((x, older[x]) for x in again)
+        if new := list(new - again):
+            self._learn(new)
         out = [self._ids(x[0]).tobytes() + b"".join([kept[y] for y in x[1:]]) if x[0] else b"" for x in parts]
-        for x in new:
-            if len(x) > KEPT_LENGTH:
-                del kept[x]
+        for x in [x for x in new if len(x) > KEPT_LENGTH]:
+            del kept[x]
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """A worker's encoder: tasks that it runs one after another share the pieces it has seen."""
+    return Encoder(path)
+
+
 def pack(lengths: np.ndarray, sequence: int = SEQUENCE) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence number, offset) of every piece; all tokens are placed."""
     out, number = [], 0
@@ -118,7 +167,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, sequence: int = SEQU
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType)] + T.StructType.fromDDL(RESULT).fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = Encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
         base, number = TaskContext.get().partitionId() << 33, 0
         ids, texts, size = [], [], 0
 
