@@ -236,66 +236,124 @@ def p3_unified_features(tx: DataFrame, customers: DataFrame, terminals: DataFram
     return d.select(*dict.fromkeys(keep))
 
 
-def p4_history_and_target_encoding(train: DataFrame, test: DataFrame, merchants: DataFrame, *, k: int = 5,
-                                   alpha: float = 10.0, shuffle_key=None) -> tuple[DataFrame, DataFrame]:
-    """Historical stats, lags, last-n sums and smoothed out-of-fold target encodings
-    (D17, C1, E3, E8, E9, E10, E14, D14, D15, I8, I9); test rows get train statistics (C7)."""
-    train, test = one_row_per_tx(train), one_row_per_tx(test)
+# P4's target-encoded categoricals and P5's one-hot ones.
+P4_TARGET_CODED = ["CARD_BRAND", "TRANSACTION_TYPE", "TRANSACTION_STATUS", "TRANSACTION_CURRENCY", "CARD_COUNTRY_CODE", "IS_RECURRING_TRANSACTION", "BUSINESS_TYPE", "OUTLET_TYPE"]
+P5_ONE_HOT = ["TRANSACTION_TYPE", "TRANSACTION_STATUS", "FAILURE_CODE", "ACQUIRER_ID", "CARD_BRAND", "CARD_COUNTRY_CODE", "TRANSACTION_CURRENCY",
+              "CARDHOLDER_AUTH_METHOD", "BUSINESS_TYPE", "OUTLET_TYPE"]
+
+
+def _p4_rows(df: DataFrame, bad: DataFrame, customers: DataFrame, terminals: DataFrame, merchants: DataFrame) -> DataFrame:
+    """P4's row features and the customer's and terminal's own history within ``df``."""
+    unix_s = S.epoch_s("TX_TS")
+
+    def feats(p, who):
+        out = {f"{who}_prev_tx_time": F.coalesce((unix_s - F.floor(F.col(f"{p}prev__us") / 1e6)).cast("double"), F.lit(0.0)), f"_{who}_rn": F.col(f"{p}rn")}
+        for n in (3, 5, 10):
+            total = F.coalesce(F.col(f"{p}l{n - 1}_sum"), F.lit(0.0)) + F.col("TX_AMOUNT")
+            out[f"{who}_last{n}_tx_sum"] = total
+            if who == "cust":
+                out[f"{who}_last{n}_tx_mean"] = total / (F.col(f"{p}l{n - 1}_cnt") + 1)
+        return out
+    blocks = [W.history_block(df, ["CUSTOMER_ID"], feats("_c", "cust"), last_n=[2, 4, 9], p="_c"),
+              W.history_block(df, ["TERMINAL_ID"], feats("_t", "term"), last_n=[2, 4, 9], p="_t"),
+              with_avg_rank_pct(df.select("TX_ID", "MERCHANT_ID", "TX_AMOUNT"), "TX_AMOUNT", "amount_percentile_merchant", keys=["MERCHANT_ID"])
+              .select("TX_ID", "amount_percentile_merchant")]
+    d = star.membership_flag(df, bad, "TERMINAL_ID", "is_fraudulent_terminal")
+    for b in blocks:
+        d = d.join(b, "TX_ID", "left")
+    d = star.star_join(d, customers, terminals, merchants)
+    d = encode.frequency_encode(d, "MCC_CODE", "mcc_frequency",
+                                reference=df.select("MERCHANT_ID").join(merchants.select("MERCHANT_ID", "MCC_CODE"), "MERCHANT_ID", "left"))
+    h, amt = F.hour("TX_TS"), F.col("TX_AMOUNT")
+    dist = S.distance("x_customer_id", "y_customer_id", "x_terminal_id", "y_terminal_id")
+    d = d.withColumns({
+        "hour": h, "day_of_week": S.weekday("TX_TS"), "is_weekend": S.is_weekend("TX_TS"), "is_night": S.is_night(h), "time_of_day": S.time_of_day("TX_TS"),
+        "is_business_hours": S.is_business_hours(h), "tx_hour_risk": S.hour_risk(h), "distance": dist, "distance_tx": dist * amt,
+        "cashback_ratio": S.ratio("TRANSACTION_CASHBACK_AMOUNT", amt), "goods_ratio": S.ratio("TRANSACTION_GOODS_AND_SERVICES_AMOUNT", amt),
+        **{f"{c}_log": F.log1p(c) for c in ("TX_AMOUNT", "TRANSACTION_GOODS_AND_SERVICES_AMOUNT", "TRANSACTION_CASHBACK_AMOUNT")},
+        "tax_exempt": S.bool_int(S.fuzzy_bool("TAX_EXCEMPT_INDICATOR")), "annual_turnover_log": S.log1p0("ANNUAL_TURNOVER"), "avg_ticket_log": S.log1p0("AVERAGE_TICKET_SALE_AMOUNT"),
+        "is_recurring": S.bool_int(S.fuzzy_bool("IS_RECURRING_TRANSACTION")), "tx_to_turnover_ratio": S.ratio(amt, "ANNUAL_TURNOVER_CARD"),
+        "is_fraud_amount_range": S.amount_bands(amt)["is_fraud_amount_range"], "is_ron_currency": S.eq_flag("TRANSACTION_CURRENCY", "RON"), "is_ro_country": S.eq_flag("CARD_COUNTRY_CODE", "RO"),
+        "cust_tx_velocity_1h": F.least(F.col("_cust_rn"), F.lit(10)) - 1, "cust_tx_velocity_24h": F.least(F.col("_cust_rn"), F.lit(50)) - 1,
+        "term_tx_velocity_1h": F.least(F.col("_term_rn"), F.lit(10)) - 1, "cust_amount_rolling_mean": F.col("cust_last10_tx_mean"),
+        "cust_amount_deviation": F.abs(amt - F.col("cust_last10_tx_mean")) / (F.col("cust_last10_tx_mean") + 1e-8),
+        "card_age_days": S.days_to_expiry("CARD_EXPIRY_DATE", "TX_TS"), "merchant_age_days": S.merchant_age_days("TX_TS", "FOUNDATION_DATE"),
+        "amount_vs_merchant_avg": S.ratio(amt, "AVERAGE_TICKET_SALE_AMOUNT"), "TX_TS_unix": unix_s,
+    })
+    ron = F.col("is_ron_currency") * F.col("is_ro_country")
+    return d.withColumns({"ron_ro_combined": ron, "high_risk_combo": ron * F.col("is_fraud_amount_range"), "card_near_expiry": (F.col("card_age_days") <= 90).cast("int"),
+                          "merchant_young": (F.col("merchant_age_days") <= 365).cast("int")})
 
-    def hist(df):
-        amt = F.col("TX_AMOUNT")
-
-        def feats(p, who):
-            def f(h):
-                out = {}
-                for n in (3, 5, 10):
-                    ssum = F.coalesce(F.col(f"{p}l{n - 1}_sum"), F.lit(0.0)) + amt
-                    out[f"{who}_last{n}_tx_sum"] = ssum
-                    if who == "cust":
-                        out[f"{who}_last{n}_tx_mean"] = ssum / (F.col(f"{p}l{n - 1}_cnt") + 1)
-                unix_s = S.epoch_s("TX_TS")
-                out[f"{who}_prev_tx_time"] = F.coalesce((unix_s - F.floor(F.col(f"{p}prev__us") / 1e6)).cast("double"),
-                                                        F.lit(0.0))
-                return out
-            return f
-        bc = W.history_block(df, ["CUSTOMER_ID"], feats("_c", "cust"), last_n=[2, 4, 9], p="_c")
-        bt = W.history_block(df, ["TERMINAL_ID"], feats("_t", "term"), last_n=[2, 4, 9], p="_t")
-        return df.join(bc, "TX_ID", "left").join(bt, "TX_ID", "left")
-
-    tr, te = hist(train), hist(test)
-    for key in ("CUSTOMER_ID", "TERMINAL_ID", "MERCHANT_ID"):
-        prof = profile.entity_amount_profile(train, key).join(
-            profile.entity_fraud_profile(train, key), key, "left")
-        tr, te = tr.join(prof, key, "left"), te.join(prof, key, "left")
-    tr = split.stratified_kfold(tr, k, shuffle_key=shuffle_key)
-    for c in ("MERCHANT_ID", "TERMINAL_ID", "CARD_BRAND"):
-        tr = encode.out_of_fold_target_encode(tr, c, alpha=alpha)
-        te = encode.apply_target_encoding(te, tr, c)
-    return tr, te
 
+def p4_history_and_target_encoding(train: DataFrame, test: DataFrame, customers: DataFrame, terminals: DataFrame, merchants: DataFrame, *, k: int = 5,
+                                   alpha: float = 10.0, shuffle_key=None) -> tuple[DataFrame, DataFrame]:
+    """Row features, whole-period entity statistics of the training rows, lags, last-n sums and smoothed
+    out-of-fold target encodings (B1, D17, C1, H*, E3, E8-E10, E14, D14, D15, C7, I5, J3, I8, I9).
 
-def p5_neural_net_matrix(tx: DataFrame, customers: DataFrame, terminals: DataFrame, merchants: DataFrame) -> DataFrame:
-    """P5: scalar features, MCC frequency, one-hot categoricals, stratified split and
-    train-fitted standard scaling (C1, H*, I5, I1, J1, I10)."""
+    Nulls are 0 (text ``0``) before the target encoding. Returns ``(train, test)``, each with the id,
+    the label and the features; test rows get training statistics.
+    """
+    train, test = one_row_per_tx(train), one_row_per_tx(test)
+    bad = profile.compromised_entities(train, "TERMINAL_ID")
+    tr, te = (_p4_rows(x, bad, customers, terminals, merchants) for x in (train, test))
+    rows = [c for c in tr.columns if c not in train.columns and c not in customers.columns and c not in terminals.columns and c not in merchants.columns and c[0] != "_"]
+    stats = []
+    for key, who in (("CUSTOMER_ID", "cust"), ("TERMINAL_ID", "term"), ("MERCHANT_ID", "merch")):
+        old = key.split("_")[0].lower()
+        prof = profile.entity_amount_profile(train, key).join(profile.entity_fraud_profile(train, key), key, "left")
+        names = {f"{old}_amt_{x}": f"{who}_tx_{x}" for x in ("count", "mean", "std", "median")} | {f"{old}_fraud_{x}": f"{who}_fraud_{x}" for x in ("rate", "count")}
+        if who != "merch":
+            names |= {f"{old}_amt_min": f"{old}_min_tx", f"{old}_amt_max": f"{old}_max_tx"}
+        prof = prof.select(key, *[F.col(a).alias(b) for a, b in names.items()])
+        tr, te = tr.join(prof, key, "left"), te.join(prof, key, "left")
+        stats += names.values()
+    numbers = ["TX_AMOUNT", *rows, *stats]
+    zero = lambda d: d.select("TX_ID", "TX_FRAUD", *[F.coalesce(F.col(c), F.lit(0).cast(d.schema[c].dataType)).alias(c) for c in numbers],
+                              *[S.null_token(c, "0").alias(c) for c in P4_TARGET_CODED])
+    tr, te = zero(tr), zero(te)
+    # folds and encodings come from the narrow training rows, cut from their lineage; what is
+    # joined to the wide rows is a few rows for each category and fold
+    from frauddeck.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(train.sparkSession)
+    narrow = star.star_join(train.select("TX_ID", "TX_FRAUD", "MERCHANT_ID", *[c for c in P4_TARGET_CODED if c in train.columns]),
+                            merchants=merchants.select("MERCHANT_ID", *[c for c in P4_TARGET_CODED if c in merchants.columns]))
+    narrow = narrow.select("TX_ID", "TX_FRAUD", *[S.null_token(c, "0").alias(c) for c in P4_TARGET_CODED])
+    narrow = split.stratified_kfold(narrow, k, shuffle_key=shuffle_key).checkpoint()
+    g = float(narrow.agg(F.avg("TX_FRAUD")).first()[0] or 0.0)
+    tr = tr.join(narrow.select("TX_ID", "fold"), "TX_ID")
+    for c in P4_TARGET_CODED:
+        enc = encode.out_of_fold_target_encode(narrow.select("TX_ID", "TX_FRAUD", "fold", c), c, alpha=alpha)
+        table = enc.groupBy(c, "fold").agg(F.first(f"{c}_te").alias(f"{c}_te"), F.count(F.lit(1)).alias("_n")).checkpoint()
+        tr = tr.join(table.drop("_n"), [c, "fold"], "left")
+        mean = table.groupBy(c).agg((F.sum(F.col(f"{c}_te") * F.col("_n")) / F.sum("_n")).alias(f"{c}_te"))
+        te = te.join(mean, c, "left").withColumn(f"{c}_te", F.coalesce(F.col(f"{c}_te"), F.lit(g)))
+    return tr.drop("fold"), te
+
+
+def p5_neural_net_matrix(tx: DataFrame, customers: DataFrame, terminals: DataFrame, merchants: DataFrame, *, shuffle_key=None) -> DataFrame:
+    """P5: the numeric matrix with ``TX_ID``, label and ``is_train`` (B1, C1, H*, I5, I1, J1, I10): weekday and
+    categorical one-hots, time of day, engineered features, and raw amounts and coordinates that are
+    standardised by the training rows."""
+    tx = one_row_per_tx(tx)
     d = star.star_join(tx, customers, terminals, merchants)
     h = F.hour("TX_TS")
-    d = d.withColumns({
-        "amount_log": F.log1p("TX_AMOUNT"), "cashback_ratio": S.ratio("TRANSACTION_CASHBACK_AMOUNT", "TX_AMOUNT"),
-        "goods_ratio": S.ratio("TRANSACTION_GOODS_AND_SERVICES_AMOUNT", "TX_AMOUNT"),
-        "is_weekend": S.is_weekend("TX_TS"), "is_night": S.is_night(h),
-        "distance": S.distance("x_customer_id", "y_customer_id", "x_terminal_id", "y_terminal_id"),
-        "tax_exempt": S.bool_int(S.fuzzy_bool("TAX_EXCEMPT_INDICATOR")),
-        "annual_turnover_log": S.log1p0("ANNUAL_TURNOVER"), "avg_ticket_log": S.log1p0("AVERAGE_TICKET_SALE_AMOUNT"),
-        "recurring": S.bool_int(S.fuzzy_bool("IS_RECURRING_TRANSACTION"))})
-    d = encode.frequency_encode(d, "MCC_CODE", "mcc_frequency")
-    cats = ["TRANSACTION_TYPE", "TRANSACTION_STATUS", "FAILURE_CODE", "ACQUIRER_ID", "CARD_BRAND", "CARD_COUNTRY_CODE",
-            "TRANSACTION_CURRENCY", "CARDHOLDER_AUTH_METHOD", "BUSINESS_TYPE", "OUTLET_TYPE"]
-    d = d.withColumn("weekday", S.weekday("TX_TS").cast("string"))
-    d = encode.one_hot(d, cats + ["weekday"])
-    d = split.stratified_split(d)
-    num = ["amount_log", "cashback_ratio", "goods_ratio", "distance", "annual_turnover_log", "avg_ticket_log",
-           "mcc_frequency"]
-    return encode.standard_scale(d, num, fit_on=d.filter(F.col("is_train") == 1))
+    d = encode.frequency_encode(d, "MCC_CODE", "mcc_frequency",
+                                reference=tx.select("MERCHANT_ID").join(merchants.select("MERCHANT_ID", "MCC_CODE"), "MERCHANT_ID", "left"))
+    engineered = {
+        "time_of_day": S.time_of_day("TX_TS"), "amount_log": F.log1p("TX_AMOUNT"), "cashback_ratio": S.ratio("TRANSACTION_CASHBACK_AMOUNT", "TX_AMOUNT"),
+        "goods_ratio": S.ratio("TRANSACTION_GOODS_AND_SERVICES_AMOUNT", "TX_AMOUNT"), "is_weekend": S.is_weekend("TX_TS"), "is_night": S.is_night(h),
+        "distance": S.distance("x_customer_id", "y_customer_id", "x_terminal_id", "y_terminal_id"), "tax_exempt": S.bool_int(S.fuzzy_bool("TAX_EXCEMPT_INDICATOR")),
+        "annual_turnover_log": S.log1p0("ANNUAL_TURNOVER"), "avg_ticket_log": S.log1p0("AVERAGE_TICKET_SALE_AMOUNT"), "mcc_frequency": F.col("mcc_frequency"),
+        "is_recurring": S.bool_int(S.fuzzy_bool("IS_RECURRING_TRANSACTION"))}
+    raw = ["TX_AMOUNT", "TRANSACTION_GOODS_AND_SERVICES_AMOUNT", "TRANSACTION_CASHBACK_AMOUNT", "x_customer_id", "y_customer_id", "x_terminal_id", "y_terminal_id"]
+    # levels come from the narrow columns, all in one job
+    narrow = star.star_join(tx.select("MERCHANT_ID", S.weekday("TX_TS").cast("string").alias("dow"), *[c for c in P5_ONE_HOT if c in tx.columns]),
+                            merchants=merchants.select("MERCHANT_ID", *[c for c in P5_ONE_HOT if c in merchants.columns]))
+    hot = [c for c in P5_ONE_HOT if c in narrow.columns]
+    d = d.select("TX_ID", "TX_FRAUD", *raw, *hot, S.weekday("TX_TS").cast("string").alias("dow"), *[c.cast("double").alias(n) for n, c in engineered.items()])
+    d = encode.one_hot(d, ["dow", *hot], levels_from=narrow)
+    d = split.stratified_split(d, shuffle_key=shuffle_key)
+    return encode.standard_scale(d, raw, fit_on=d.filter(F.col("is_train") == 1))
 
 
 def p6_profiling_pack(df: DataFrame) -> dict[str, DataFrame]:

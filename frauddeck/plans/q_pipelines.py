@@ -38,22 +38,6 @@ def _staged(spark, sf):
     return _p3(spark, sf).select("TX_ID", "TX_TS", "TX_FRAUD", "is_fraudulent_terminal", *NUM_FEATURES).checkpoint(eager=True)
 
 
-@query("p4_history_target_encoding")
-def p4_history_target_encoding(spark, sf):
-    v = views(spark, sf)
-    t = v["transactions"]
-    cut = F.lit("2024-01-20 00:00:00").cast("timestamp")
-    tr, te = P.p4_history_and_target_encoding(t.filter(F.col("TX_TS") < cut), t.filter(F.col("TX_TS") >= cut),
-                                              v["merchants"])
-    return te.drop("TX_TS")
-
-
-@query("p5_neural_net_matrix")
-def p5_neural_net_matrix(spark, sf):
-    v = views(spark, sf)
-    return P.p5_neural_net_matrix(v["transactions"], v["customers"], v["terminals"], v["merchants"]).drop("TX_TS")
-
-
 def _p8(spark, sf):
     feats = split.time_split(_staged(spark, sf)).checkpoint(eager=True)
     return P.p8_train_score_submit(feats.filter("is_train = 1"), feats.filter("is_train = 0"), NUM_FEATURES, max_iter=10)
