@@ -1,9 +1,11 @@
-"""Pipelines are registered rows-only; check their columns against the oracle-checked queries."""
+"""Pipelines against the oracle-checked queries, on repeated ids, and their arguments."""
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from frauddeck.plans import pipelines as P
+from frauddeck.plans.common import views
 from frauddeck.sources import adapter
 
 SF = "/root/testdata/sf0.01"
@@ -44,3 +46,59 @@ def test_p3_one_row_per_transaction(spark):
     n, d = p3.agg(F.count(F.lit(1)), F.countDistinct("TX_ID")).first()
     assert n == d == v["transactions"].count()
     assert len(p3.columns) > 100
+
+
+def test_a_repeated_tx_id_yields_one_row(spark):
+    """P2, P3 and P7 join their blocks on TX_ID; repeated ids must not multiply."""
+    v = views(spark, SF)
+    t = v["transactions"].filter("TX_ID < 60")
+    twice = t.unionByName(t.filter("TX_ID = 7")).unionByName(t.filter("TX_ID = 7").withColumn("TX_AMOUNT", F.col("TX_AMOUNT") + 1))
+    n = t.count()
+    for d in (P.p3_unified_features(twice, v["customers"], v["terminals"], v["merchants"]),
+              P.p2_feature_table_v1(twice, v["customers"], v["terminals"], v["merchants"]), P.p7_customer_behaviour(twice)):
+        got = d.select("TX_ID").collect()
+        assert len(got) == n == len({r[0] for r in got})
+
+
+def test_override_needs_its_flag(spark):
+    d = spark.createDataFrame([(i, i % 2, float(i)) for i in range(20)], "TX_ID long, TX_FRAUD int, x double")
+    with pytest.raises(KeyError):
+        P.p8_train_score_submit(d, d, ["x"], k=2, max_iter=1)
+
+
+def test_seed_bagging_uses_the_given_subsample(spark, monkeypatch):
+    from frauddeck.operators import ml
+    seen = []
+    real = ml.fit_gbt
+    monkeypatch.setattr(ml, "fit_gbt", lambda *a, **k: seen.append(k) or real(*a, **k))
+    d = spark.createDataFrame([(i, i % 2, float(i)) for i in range(20)], "TX_ID long, TX_FRAUD int, x double")
+    out = ml.seed_bagging(d, d, ["x"], seeds=(0, 1), subsample=0.5, max_iter=1, max_depth=2)
+    assert [k["subsample"] for k in seen] == [0.5, 0.5] and out.count() == 20
+    weighted = ml.fit_gbt(d.withColumn("w", F.lit(2.0)).withColumn("v", F.col("TX_ID") % 4 == 0), ["x"], weight_col="w", validation_col="v", max_iter=3)
+    assert ml.score(weighted, d).count() == 20
+
+
+def test_one_hot_vector_of_any_cardinality(spark):
+    from frauddeck.operators import encode
+    d = spark.createDataFrame([(i, f"v{i}" if i % 7 else None) for i in range(1500)], "TX_ID long, c string")
+    out = encode.one_hot_vector(d, ["c"])
+    assert out.count() == 1500 and out.first()["c_vec"].size == 1500 - 215 + 1
+
+
+def test_checkpoint_folder_must_be_set_on_a_cluster():
+    from frauddeck import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+    with pytest.raises(RuntimeError):
+        session.ensure_checkpoint_dir(Session())
