@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,7 @@ SECOND_PERSON = frozenset(
 LOOKS_LIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 
 _WORD = re.compile(r"[^\W_]+(?:[@$!*'._-]+[^\W_]+)*")
+_SPACE = re.compile(r"\s")
 _MIXED = re.compile(r"[0-9@$!*._]")
 _STRETCHED = re.compile(r"(.)\1\1")
 N_FEATURES = 17
@@ -52,6 +54,16 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def pieces(text: str, size: int = 1 << 20) -> Iterator[str]:
+    """The text in stretches that end between words, so that a long one needs little memory."""
+    a = 0
+    while a < len(text):
+        end = _SPACE.search(text, a + size)
+        b = end.start() if end else len(text)
+        yield text[a:b]
+        a = b
+
+
 def entries(word: str) -> list[str]:
     """The word and its beginnings as lexicon entries (beginnings end in a star)."""
     return [word] + [word[:k] + "*" for k in BEGINNINGS if len(word) >= k]
@@ -90,34 +102,36 @@ def _word_hash(word: str) -> int:
 
 def text_features(text: str | None, lexicon: dict[str, float]) -> list[float]:
     text = text or ""
-    ws = words(text)
-    n = len(ws)
-    hit_at, weight, whole, begun, hidden, seen, mixed, stretched = [], 0.0, 0, 0, 0, set(), 0, 0
-    second = [i for i, w in enumerate(ws) if w in SECOND_PERSON]
-    for i, w in enumerate(ws):
-        e = w if w in lexicon else w[:5] + "*" if w[:5] + "*" in lexicon else w[:4] + "*" if w[:4] + "*" in lexicon else None
-        if not w.isalpha():
-            if _MIXED.search(w) and not w.isdigit():
-                mixed += 1
-                if e is None:
-                    bare = re.sub(r"[*._-]", "", w.translate(LOOKS_LIKE))
-                    if bare in lexicon:
-                        e, hidden = bare, hidden + 1
-        if e is not None:
-            hit_at.append(i)
-            seen.add(e)
-            weight += lexicon[e]
-            whole += e[-1] != "*"
-            begun += e[-1] == "*"
-        elif len(w) > 2 and _STRETCHED.search(w):
-            stretched += 1
+    n, weight, whole, begun, hidden, mixed, stretched = 0, 0.0, 0, 0, 0, 0, 0
+    hit_at, second, seen = [], [], set()
+    for piece in pieces(text):
+        for i, w in enumerate(words(piece), n):
+            n = i + 1
+            if w in SECOND_PERSON:
+                second.append(i)
+            e = w if w in lexicon else w[:5] + "*" if w[:5] + "*" in lexicon else w[:4] + "*" if w[:4] + "*" in lexicon else None
+            if not w.isalpha():
+                if _MIXED.search(w) and not w.isdigit():
+                    mixed += 1
+                    if e is None:
+                        bare = re.sub(r"[*._-]", "", w.translate(LOOKS_LIKE))
+                        if bare in lexicon:
+                            e, hidden = bare, hidden + 1
+            if e is not None:
+                hit_at.append(i)
+                seen.add(e)
+                weight += lexicon[e]
+                whole += e[-1] != "*"
+                begun += e[-1] == "*"
+            elif len(w) > 2 and _STRETCHED.search(w):
+                stretched += 1
     near = 0
     if hit_at and second:
         s, h = np.array(second), np.array(hit_at)
         near = int((np.searchsorted(s, h + NEAR, "right") > np.searchsorted(s, h - NEAR)).sum())
     hits, chars = len(hit_at), len(text)
     per = max(n, 1)
-    big = sum(map(str.isupper, text)) if chars < 64 else _capitals(text)
+    big = _capitals(text)
     loud = text.count("!")
     return [hits / per, math.log1p(hits), whole / per, math.log1p(whole), begun / per, math.log1p(begun), math.log1p(len(seen)), weight / max(hits, 1),
             weight / per, len(second) / per, near / max(hits, 1), big / max(chars, 1), loud / per, _punctuation(text) / max(chars, 1), mixed / per + hidden,
