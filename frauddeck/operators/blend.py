@@ -145,28 +145,28 @@ def search_blend_weights(df: DataFrame, a: str = "p_a", b: str = "p_b", label: s
                          grid: list | None = None) -> DataFrame:
     """Average precision of the tuned blend for every grid point; returns all points ranked.
 
-    Work is |grid| x rows: the grid (small, literal) is broadcast and crossed with the rows,
-    then AP per grid id uses per-(grid, score) counts and distributed running sums.
+    Work is |grid| x distinct pairs of scores: equal pairs collapse to counts, a literal array of
+    the parameter points is exploded for each, and AP per grid id uses per-(grid, score) counts
+    and distributed running sums. Meant for the validation subset (A10), as the fit it is.
     """
     grid = grid or default_grid()
     spark = df.sparkSession
     g = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(grid)],
                               "gid int, w1 double, w2 double, w3 double, t1 double, t2 double")
-    # every row is scored under every parameter point (the objective's definition): a literal
-    # array of the |grid| parameter structs is exploded per row
     params = F.array(*[F.struct(F.lit(i).alias("gid"), *[F.lit(float(v)).alias(n) for n, v in
                                                         zip(["w1", "w2", "w3", "t1", "t2"], p)])
                        for i, p in enumerate(grid)])
-    j = df.select(F.col(a).alias("_a"), F.col(b).alias("_b"), F.col(label).cast("double").alias("_y"),
-                  F.explode(params).alias("_g")).select("_a", "_b", "_y", "_g.*")
+    # equal pairs of scores are one row with counts before the grid multiplies them
+    pairs = df.groupBy(F.col(a).alias("_a"), F.col(b).alias("_b")).agg(F.sum(F.col(label).cast("double")).alias("_y"), F.count(F.lit(1)).alias("_w"))
+    j = pairs.select("_a", "_b", "_y", "_w", F.explode(params).alias("_g")).select("_a", "_b", "_y", "_w", "_g.*")
     tot = F.col("w1") + F.col("w2") + F.col("w3")
     w1, w2, w3 = F.col("w1") / tot, F.col("w2") / tot, F.col("w3") / tot
     sa = 1.0 / (1.0 + F.exp(-safe_logit("_a") / F.col("t1")))
     sb = 1.0 / (1.0 + F.exp(-safe_logit("_b") / F.col("t2")))
     ens = w1 * (w1 * sa + w2 * sb) + w2 * (F.pow(sa, w1) * F.pow(sb, w2)) + w3 * (1.0 / (w1 / sa + w2 / sb + EPS))
-    scored = j.select("gid", ens.alias("_s"), "_y")
+    scored = j.select("gid", ens.alias("_s"), "_y", "_w")
     r = globalrank.value_counts_ranked(scored, "_s", keys=["gid"], descending=True,
-                                       extra_sums={"_pos": F.sum("_y")})
+                                       extra_sums={"_pos": F.sum("_y")}, weight=F.col("_w"))
     ap = r.groupBy("gid").agg(
         F.sum(F.col("_pos") / F.col("_grp_pos") * F.col("_cum__pos") / F.col("_cum__n")).alias("average_precision"))
     return ap.join(F.broadcast(g), "gid")

@@ -53,14 +53,16 @@ def prefix_sums(df: DataFrame, order: list, sums: list[str], *, n_parts: int | N
 
 
 def value_counts_ranked(df: DataFrame, value: str, *, keys: list[str] = (), descending: bool = False,
-                        extra_sums: dict[str, Column] | None = None) -> DataFrame:
+                        extra_sums: dict[str, Column] | None = None, weight: Column | None = None) -> DataFrame:
     """Distinct ``(keys, value)`` with ``_n`` rows each plus running counts inside ``keys``.
 
+    ``weight`` (default 1) is the number of rows that a row stands for.
+
     Output columns: keys, value, ``_n``, extra sums, ``_cum__n`` (rows up to and including this
     value inside its key group), ``_grp_n`` (rows in the key group) and ``_cum_<extra>``.
     """
     keys = list(keys)
-    aggs = [F.count(F.lit(1)).alias("_n")] + [c.alias(k) for k, c in (extra_sums or {}).items()]
+    aggs = [(F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_n")] + [c.alias(k) for k, c in (extra_sums or {}).items()]
     d = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(*aggs)
     vord = F.col(value).desc() if descending else F.col(value).asc()
     sums = ["_n"] + list((extra_sums or {}).keys())
@@ -116,13 +118,26 @@ def row_number_within(df: DataFrame, keys: list[str], order: list, out: str = "_
     """1-based row number inside ``keys`` groups in ``order`` (a total order), skew-safe.
 
     Same result as ``row_number() over (partition by keys order by order)`` but a hot group is
-    spread over several range partitions instead of one task.
+    spread over several range partitions instead of one task. Rows are shuffled once: the place
+    within a sorted range comes from the low 33 bits of ``monotonically_increasing_id``, the
+    rows before it from the ranges' counts. With ``keys``, ``{out}_n`` is the group's size; null
+    keys are a group.
     """
     keys = list(keys)
-    d = df.withColumn("_one", F.lit(1))
-    ranked = prefix_sums(d, [*[F.col(k) for k in keys], *order], ["_one"])
+    ensure_checkpoint_dir(df.sparkSession)
+    place = [*[F.col(k) for k in keys], *order]
+    ranged = (df.repartitionByRange(_default_parts(df), *place).sortWithinPartitions(*place)
+                .withColumn("_m", F.monotonically_increasing_id()).checkpoint(eager=True))
+    ranged = ranged.withColumn("_pid", F.shiftright("_m", 33)).withColumn("_at", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_m")
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))  # one row for each range
+                     .select("_pid", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off")))
+    ranked = ranged.join(F.broadcast(offsets), "_pid").withColumn(out, F.col("_off") + F.col("_at")).drop("_pid", "_off", "_at")
     if not keys:
-        return ranked.withColumnRenamed("_cum__one", out).drop("_one")
-    start = ranked.groupBy(*keys).agg(F.min("_cum__one").alias("_start"), F.count(F.lit(1)).alias(f"{out}_n"))
-    return (ranked.join(start, keys).withColumn(out, F.col("_cum__one") - F.col("_start") + 1)
-                  .drop("_cum__one", "_start", "_one"))
+        return ranked
+    start = ranked.groupBy(*keys).agg((F.min(out) - 1).alias("_start"), F.count(F.lit(1)).alias(f"{out}_n"))
+    start = start.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_start", f"{out}_n")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return ranked.join(start, same).withColumn(out, F.col(out) - F.col("_start")).drop("_start", *[f"_k{i}" for i in range(len(keys))])
