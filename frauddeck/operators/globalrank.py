@@ -90,28 +90,28 @@ def with_avg_rank_pct(df: DataFrame, value: str, out: str, *, keys: list[str] =
     return df.join(r, [*keys, value], "left")
 
 
-def exact_quantile(df: DataFrame, value: str, q: float, *, keys: list[str] = ()) -> DataFrame:
-    """Exact linear-interpolated quantile (pandas / DuckDB ``quantile_cont``) per key group.
+def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], *, keys: list[str] = ()) -> DataFrame:
+    """Exact linear-interpolated quantiles (pandas / DuckDB ``quantile_cont``) per key group.
 
-    Works on value counts and running counts, so no group is ever collected into one task.
-    Returns ``keys + [q_<value>]`` (one row, or one row per group).
+    Works on value counts and running counts, once for all quantiles, so no group is ever
+    collected into one task. Returns ``keys`` and one column for each name in ``quantiles``.
     """
     keys = list(keys)
     r = value_counts_ranked(df, value, keys=keys)
-    # position h = (n-1)*q (0-based); need the values at floor(h) and floor(h)+1
-    h = (F.col("_grp_n") - 1) * F.lit(q)
-    lo_pos, hi_pos = F.floor(h), F.ceil(h)
     first_pos = F.col("_cum__n") - F.col("_n")  # 0-based position of the first copy
     last_pos = F.col("_cum__n") - 1
+    at = {name: (F.col("_grp_n") - 1) * F.lit(float(q)) for name, q in quantiles.items()}
     covers = lambda p: (first_pos <= p) & (p <= last_pos)
-    picked = r.filter(covers(lo_pos) | covers(hi_pos)).select(
-        *keys, value, h.alias("_h"), covers(lo_pos).alias("_is_lo"), covers(hi_pos).alias("_is_hi"))
-    agg = picked.groupBy(*keys).agg(
-        F.max(F.when(F.col("_is_lo"), F.col(value))).alias("_lo"),
-        F.max(F.when(F.col("_is_hi"), F.col(value))).alias("_hi"),
-        F.first("_h").alias("_h"))
-    frac = F.col("_h") - F.floor(F.col("_h"))
-    return agg.select(*keys, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac).alias(f"q_{value}"))
+    picked = [x for name, h in at.items() for x in (F.max(F.when(covers(F.floor(h)), F.col(value))).alias(f"_lo_{name}"),
+                                                    F.max(F.when(covers(F.ceil(h)), F.col(value))).alias(f"_hi_{name}"))]
+    agg = r.groupBy(*keys).agg(F.first("_grp_n").alias("_grp_n"), *picked)
+    part = lambda name: at[name] - F.floor(at[name])
+    return agg.select(*keys, *[(F.col(f"_lo_{x}") + (F.col(f"_hi_{x}") - F.col(f"_lo_{x}")) * part(x)).alias(x) for x in quantiles])
+
+
+def exact_quantile(df: DataFrame, value: str, q: float, *, keys: list[str] = ()) -> DataFrame:
+    """One exact quantile: ``keys + [q_<value>]`` (one row, or one row per group)."""
+    return exact_quantiles(df, value, {f"q_{value}": q}, keys=keys)
 
 
 def row_number_within(df: DataFrame, keys: list[str], order: list, out: str = "_rn") -> DataFrame:

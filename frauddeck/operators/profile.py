@@ -127,9 +127,10 @@ def dataset_summary(df: DataFrame, amount: str = "TX_AMOUNT", label: str = "TX_F
         F.count(F.lit(1)).alias("n_tx"), F.sum(label).cast("bigint").alias("n_fraud"),
         F.avg(label).alias("fraud_rate"), F.avg(a).alias("mean_amount"),
         F.avg(F.when(y == 1, a)).alias("mean_fraud_amount"), F.avg(F.when(y == 0, a)).alias("mean_legit_amount"),
-        F.countDistinct("CUSTOMER_ID").alias("n_customers"), F.countDistinct("TERMINAL_ID").alias("n_terminals"),
-        F.countDistinct("MERCHANT_ID").alias("n_merchants"),
         F.min("TX_TS").alias("first_ts"), F.max("TX_TS").alias("last_ts"))
+    # one distinct count at a time: together they would expand every row fourfold
+    for key, name in (("CUSTOMER_ID", "n_customers"), ("TERMINAL_ID", "n_terminals"), ("MERCHANT_ID", "n_merchants")):
+        main = attach_row(main, df.agg(F.count_distinct(key).alias(name)))
     return attach_row(main, med)
 
 
@@ -207,14 +208,12 @@ def spatial_cells(df: DataFrame, x: str, y: str, label: str = "TX_FRAUD", *, min
 
 
 def conditional_rates(df: DataFrame, flags: list[str], label: str = "TX_FRAUD") -> DataFrame:
-    """Fraud rate when each flag is 1 and when it is 0, in one scan (stack + group)."""
-    stacked = df.select(F.explode(F.array(*[
-        F.struct(F.lit(f).alias("flag"), F.col(f).cast("int").alias("v"), F.col(label).alias("y")) for f in flags
-    ])).alias("s")).select("s.flag", "s.v", "s.y")
-    return stacked.groupBy("flag").agg(
-        F.avg(F.when(F.col("v") == 1, F.col("y"))).alias("rate_when_1"),
-        F.avg(F.when(F.col("v") == 0, F.col("y"))).alias("rate_when_0"),
-        F.sum(F.when(F.col("v") == 1, 1).otherwise(0)).cast("bigint").alias("n_when_1"))
+    """Fraud rate when each flag is 1 and when it is 0: one aggregation for all flags."""
+    y = F.col(label)
+    wide = df.agg(*[F.struct(F.lit(f).alias("flag"), F.avg(F.when(F.col(f).cast("int") == 1, y)).alias("rate_when_1"),
+                             F.avg(F.when(F.col(f).cast("int") == 0, y)).alias("rate_when_0"),
+                             F.count_if(F.col(f).cast("int") == 1).alias("n_when_1")).alias(f"s{i}") for i, f in enumerate(flags)])
+    return wide.select(F.inline(F.array(*[f"s{i}" for i in range(len(flags))])))
 
 
 def label_correlations(df: DataFrame, features: list[str], label: str = "TX_FRAUD",
@@ -249,10 +248,7 @@ def describe(df: DataFrame, value: str) -> DataFrame:
     """Count, mean, std, min, quartiles (exact, linear), max."""
     base = df.agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
                   F.min(value).alias("min"), F.max(value).alias("max"))
-    out = base
-    for q, name in [(0.25, "p25"), (0.5, "p50"), (0.75, "p75")]:
-        out = attach_row(out, globalrank.exact_quantile(df, value, q).select(F.col(f"q_{value}").alias(name)))
-    return out
+    return attach_row(base, globalrank.exact_quantiles(df, value, {"p25": 0.25, "p50": 0.5, "p75": 0.75}))
 
 
 def mean_by(df: DataFrame, dim, value: str, out: str = "mean_score") -> DataFrame:

@@ -33,10 +33,6 @@ US = 1_000_000
 DAY = 86_400
 
 
-def _bucket(us: Column, seconds: int) -> Column:
-    return F.floor(us / F.lit(seconds * US)).cast("bigint")
-
-
 def _hot_keys(d: DataFrame, keys: list[str], rows_per_bucket: int, max_hot: int = 100_000) -> DataFrame | None:
     """``(keys, _cuts)`` of the keys with more rows than a bucket should hold; None without any.
 
@@ -303,32 +299,25 @@ def add_time_window_counts(df: DataFrame, key: str, windows: dict[str, int] | No
                            ts: str = "TX_TS", tid: str = "TX_ID") -> DataFrame:
     """Rows of the same entity in ``(t - w, t]`` before this row (pandas tie rule).
 
-    Among rows with the same timestamp only those earlier in id order count. Columns are
-    named ``count_<label>_<key>``. Each window uses halo rows: a row lands in its own bucket
-    (width = w) and, as a halo, in the next one, so each ``(key, bucket)`` is self-contained.
+    Among rows with the same timestamp only those earlier in id order count; a null key counts
+    none. Columns are named ``count_<label>_<key>``. A row lands in its own bucket (as wide as the
+    widest window) and, as a halo, in the next one, so each ``(key, bucket)`` is self-contained
+    for every window: one exchange and one sort of narrow rows for all of them, and one join back
+    on ``tid`` (which must be unique). Limit: a key's rows inside two buckets share a task.
     """
     windows = windows or {"24h": DAY, "7d": 7 * DAY}
-    base = df.select(key, tid, epoch_us(ts).alias("_us"))
-    counts = None
-    for label, secs in windows.items():
-        w_us = secs * US
-        b = base.withColumn("_own", _bucket(F.col("_us"), secs))
-        own = b.select(key, tid, "_us", F.col("_own").alias("_tb"), F.lit(True).alias("_is_own"))
-        halo = b.select(key, tid, "_us", (F.col("_own") + 1).alias("_tb"), F.lit(False).alias("_is_own"))
-        u = own.unionByName(halo)
-        # rows before this one in (ts, id) order, minus those at or before t - w: exactly the
-        # earlier rows inside (t - w, t], equal timestamps counted only when earlier by id.
-        # Both windows share one sort on (key, bucket, ts, id).
-        before = F.row_number().over(Window.partitionBy(key, "_tb").orderBy("_us", tid)) - 1
-        too_old = F.count(F.lit(1)).over(Window.partitionBy(key, "_tb").orderBy("_us")
-                                         .rangeBetween(Window.unboundedPreceding, -w_us))
-        cnt = before - too_old
-        c = (u.select(tid, "_is_own", cnt.alias("_c"))
-              .filter("_is_own")
-              .select(tid, F.greatest(F.col("_c"), F.lit(0)).cast("bigint").alias(f"count_{label}_{key}")))
-        counts = c if counts is None else counts.join(c, tid)
-    # narrow count frames meet the wide frame once, on the row id
-    return df.join(counts, tid, "left")
+    names = {label: f"count_{label}_{key}" for label in windows}
+    own = F.floor(F.col("_us") / F.lit(max(windows.values()) * US)).cast("bigint")
+    copies = F.array(F.struct(own.alias("_tb"), F.lit(True).alias("_is_own")), F.struct((own + 1).alias("_tb"), F.lit(False).alias("_is_own")))
+    u = (df.select(key, tid, epoch_us(ts).alias("_us")).filter(F.col(key).isNotNull())
+           .select(key, tid, "_us", F.inline(copies)))
+    part = Window.partitionBy(key, "_tb")
+    # rows before this one in (ts, id) order, minus those at or before t - w: exactly the
+    # earlier rows inside (t - w, t], equal timestamps counted only when earlier by id
+    before = F.row_number().over(part.orderBy("_us", tid)) - 1
+    too_old = {label: F.count(F.lit(1)).over(part.orderBy("_us").rangeBetween(Window.unboundedPreceding, -secs * US)) for label, secs in windows.items()}
+    counts = u.select(tid, "_is_own", *[F.greatest(before - too_old[x], F.lit(0)).cast("bigint").alias(n) for x, n in names.items()]).filter("_is_own").drop("_is_own")
+    return df.join(counts, tid, "left").fillna(0, subset=list(names.values()))
 
 
 def add_prev_location(df: DataFrame, key: str, x: str, y: str, *, gap_col: str | None = None,
