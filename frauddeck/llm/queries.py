@@ -19,6 +19,23 @@ def query(name: str):
     return register
 
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + ", '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+ORACLE["op4_decontamination"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+bw AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(list_slice(w, i, i + least(len(w), 10) - 1), ' ') AS win
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+ns AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT doc_id, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS win
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, ns WHERE len(w) >= n)),
+hit AS (SELECT doc_id, i, n, item FROM dw JOIN bw USING (n, win)),
+hw AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY 1),
+it AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS s FROM hit GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN it USING (doc_id)"""
+
+
 @query("op4_decontamination")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from frauddeck.llm.decontaminate import decontaminate
@@ -63,13 +80,40 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.score(docs, model).selectExpr("doc_id", "coalesce(crc32(cast(doc_id as string)) % 5 = 0, false) as held_out", "score", "predicted")
 
 
+def _op7_sql() -> str:
+    """Matches lie between the parts that they split a text into, rule by rule."""
+    from frauddeck.llm import secrets as S
+    found = []
+    for i, r in enumerate(S.RULES):
+        regex = "'" + r.regex.replace("'", "''") + "'"
+        found.append(f"""SELECT doc_id, {i} AS kind, e - len(m) AS s, e, len(g) >= {r.least} AS ok FROM (
+  SELECT doc_id, ms[j] AS m, gs[j] AS g, sum(len(parts[j]) + len(ms[j])) OVER (PARTITION BY doc_id ORDER BY j) AS e
+  FROM (SELECT doc_id, parts, ms, gs, unnest(range(1, len(ms) + 1)) AS j
+        FROM (SELECT doc_id, string_split_regex(t, {regex}) AS parts, regexp_extract_all(t, {regex}) AS ms, regexp_extract_all(t, {regex}, {r.group}) AS gs FROM d)))""")
+    kinds = "['" + "', '".join(r.kind for r in S.RULES) + "']"
+    told = "string_agg({}, ',' ORDER BY s, kind)"
+    span = f"{kinds}[kind + 1] || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT)"
+    counts = ", ".join(f"count(*) FILTER (kind = {i}) AS n_{r.kind}" for i, r in enumerate(S.BASE))
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS (SELECT * FROM ({' UNION ALL '.join(found)}) WHERE ok),
+a AS (SELECT doc_id, {counts}, {told.format(span)} FILTER (kind < {len(S.BASE)}) AS base, {told.format(span)} AS spans FROM f GROUP BY doc_id)
+SELECT doc_id, {', '.join(f'coalesce(n_{r.kind}, 0) AS n_{r.kind}' for r in S.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (doc_id)"""
+
+
+ORACLE["op7_secret_scans"] = _op7_sql()
+
+
 @query("op7_secret_scans")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     from frauddeck.llm import secrets as S
     found = S.scan(C.read(spark, sf_dir, "documents"))
-    n = [F.size(F.filter("spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(S.BASE)]
+
+    def of(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    n = [of(i).alias(f"n_{r.kind}") for i, r in enumerate(S.BASE)]
     base = F.filter("spans", lambda s: s["kind"] < len(S.BASE))
     return found.select("doc_id", *n, F.sha2(S.written(base), 256).alias("base_sha256"), S.written(F.col("spans")).alias("spans"))
 
@@ -86,6 +130,21 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(C.read(spark, sf_dir, "documents"))
 
 
+# bytes are pairs of hexadecimal digits here
+ORACLE["op6_suffix_dedup"] = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS k FROM (SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2 - 99, 0))) AS i FROM d)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY md5(k) ORDER BY doc_id, i) AS n FROM w) WHERE n > 1),
+g AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM r),
+s AS (SELECT doc_id, i, sum(CASE WHEN p IS NULL OR i > p + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM g),
+sp AS (SELECT doc_id, span, min(i) AS a, max(i) + 100 AS b FROM s GROUP BY 1, 2),
+cut AS (SELECT doc_id, span, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY span), 0) AS before FROM sp),
+kept AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY span) || substr(max(h), 2 * max(b) + 1) AS k
+  FROM cut JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)"""
+
+
 @query("op6_suffix_dedup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from frauddeck.llm.suffix_dedup import dedup
