@@ -6,9 +6,10 @@ by expectation-maximisation without labels: the rows needed are the distinct vot
 their counts (3**rules at most, whatever the input). A text's posterior probability of being
 good replaces the demand that it pass every rule.
 
-Every step of the estimation is one aggregate over the pattern table. Weak priors (``PRIOR``
-pseudo-counts) say only that a bad vote is likelier for a bad text; steps stop when no estimate
-moves by over ``SETTLED``, or after ``ROUNDS``.
+Texts that fail the base rule anyway take no part. Every step of the estimation is one aggregate
+over the pattern table. Weak priors (``PRIOR`` pseudo-counts) say that a bad vote is rare, and much
+likelier for a bad text than for a good one, of which a rule finds some only; steps stop when no
+estimate moves by over ``SETTLED``, or after ``ROUNDS``.
 
 Defined results: null and empty texts have no words, so every count is 0 and the base rule
 fails them. Ids may be null or repeat; each row is judged by itself. An empty table estimates
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from frauddeck.session import ensure_checkpoint_dir
 
 SPACES = r"\x20\x09-\x0D"
-ROUNDS, SETTLED, PRIOR, KEEP = 25, 1e-4, 20.0, 0.5
-BAD_WHEN_BAD, BAD_WHEN_GOOD, BAD_SHARE = 0.5, 0.02, 0.1
+ROUNDS, SETTLED, PRIOR, KEEP = 25, 1e-4, 4.0, 0.5
+BAD_WHEN_BAD, BAD_WHEN_GOOD, BAD_SHARE = 0.2, 0.005, 0.1
 MIN_WORDS, MAX_REPEAT = 50, 50
 
 
@@ -132,15 +133,16 @@ def estimate(voted: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = RO
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: float = KEEP) -> DataFrame:
-    """``doc_id``, the base counts, ``base_failed``, ``kept`` and ``quality`` of each document.
+    """``doc_id``, the base counts, ``base_failed``, ``kept`` and ``good_probability`` of each document.
 
-    ``quality`` is the posterior probability of a good text; ``kept`` is false where
+    ``good_probability`` is the posterior probability of a good text; ``kept`` is false where
     ``base_failed`` is true (under 50 words, or over half of them repeated), else it tells
-    whether ``quality`` reaches ``keep``.
+    whether that probability reaches ``keep``.
     """
     ensure_checkpoint_dir(docs.sparkSession)
     voted = votes(counts(docs), rules).checkpoint()  # numbers only; read by the estimation and the result
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
-    rows = voted.withColumn("quality", posterior(estimate(voted, rules))).withColumn("base_failed", failed)
+    model = estimate(voted.where(~failed), rules)  # of the texts that the verdict is for
+    rows = voted.withColumn("good_probability", posterior(model)).withColumn("base_failed", failed)
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-                       (~F.col("base_failed") & (F.col("quality") >= keep)).alias("kept"), "quality")
+                       (~F.col("base_failed") & (F.col("good_probability") >= keep)).alias("kept"), "good_probability")

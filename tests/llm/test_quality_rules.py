@@ -40,7 +40,7 @@ def test_tables(spark, sf_dir):
     for r in got:
         n, chars, symbols, dup, again = plain(texts[r["doc_id"]])
         assert tuple(r)[1:6] == (n, chars, symbols, dup, again)
-        assert r["base_failed"] == (n < 50 or 100 * again > 50 * n) and r["kept"] == (not r["base_failed"] and r["quality"] >= 0.5)
+        assert r["base_failed"] == (n < 50 or 100 * again > 50 * n) and r["kept"] == (not r["base_failed"] and r["good_probability"] >= 0.5)
     fair = [r for r in got if not r["base_failed"] and r["doc_id"] in labels]
     good = [r for r in fair if labels[r["doc_id"]]]
     bad = [r for r in fair if not labels[r["doc_id"]]]
