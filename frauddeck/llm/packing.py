@@ -40,7 +40,7 @@ from frauddeck.llm import common as C
 
 SEQUENCE, END_ID, GROUP_TOKENS = 2048, 1, 1 << 21
 LINEAR, QUADRATIC = 1.0, 1.0 / SEQUENCE
-KEPT_PIECES, KEPT_LENGTH = 500_000, 48
+KEPT_PIECES, KEPT_LENGTH = 250_000, 48
 
 RESULT = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")

@@ -9,7 +9,7 @@ from frauddeck.llm import secrets as S
 
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 PLAIN = [("assign", ASSIGN, 2, 12), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 18), ("hex", re.compile("[0-9a-f]+"), 0, 16)]
-PLAIN += [(r.kind, re.compile(r.regex), r.group, r.least) for r in S.ADDED]
+PLAIN += [(r.kind, re.compile(r.regex, re.ASCII), r.group, r.least) for r in S.ADDED]
 
 
 def plain(text, rules=PLAIN):
@@ -35,7 +35,7 @@ def test_queries_hold_for_every_match():
     for r in S.RULES:
         q = S.trigram_query(r.regex)
         for t in filter(None, TEXTS):
-            for m in re.finditer(r.regex, t):
+            for m in re.finditer(r.regex, t, re.ASCII):  # Java's letters of either case are ASCII
                 assert any(all(g in m[0].lower() for g in clause) for clause in q), (r.kind, m[0])
     assert S.trigram_query("[0-9a-f]+") == {frozenset()} and S.trigram_query("ab") == {frozenset()}
     assert S.trigram_query("abc(de|f)?") == {frozenset(["abc"])}
