@@ -78,22 +78,21 @@ def _runs(data: np.ndarray, off: np.ndarray, match: int, gram: int):
     return row[first], start[first], m - s, count, h[m], whole
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], match: int):
+def _pieces(batches: Iterator[pa.RecordBatch], match: int, block: int = C.SLICE_BYTES):
     """Texts of some bytes at most: document numbers, bytes, offsets, each text's place in its document."""
-    block = C.SLICE_BYTES
     for batch in batches:
-        for a, b in C.slices(batch.column(1)):
+        for a, b in C.slices(batch.column(1), block):
             number = np.asarray(batch.column(0)[a:b])
             data, off = C.utf8(batch.column(1)[a:b])
             if len(data) <= block:
                 yield number, data, off, np.zeros(b - a, np.int64)
                 continue
-            for s in range(0, max(len(data) - match + 1, 1), block - match):  # one long text, by blocks of windows
+            for s in range(0, max(len(data) - match + 1, 1), block - match + 1):  # one long text, by blocks of windows: none is in two
                 part = data[s:s + block]
                 yield number, part, np.array([0, len(part)]), np.array([s])
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch], match: int, gram: int, removed: bool) -> Iterator[pa.RecordBatch]:
+def _occurrences(batches: Iterator[pa.RecordBatch], match: int, gram: int, removed: bool, block: int) -> Iterator[pa.RecordBatch]:
     """Runs: the earliest of each kind in a task's stretch of documents, or (``removed``) all others."""
     held, n = [], 0
 
@@ -109,7 +108,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch], match: int, gram: int, remov
             return pa.record_batch([pa.array(d[keep]), pa.array(at[keep])], ["d", "at"])
         return pa.record_batch([pa.array(h[new].view(np.int64)), pa.array(whole[new].view(np.int64)), pa.array(d[new]), pa.array(at[new])], ["h", "whole", "d", "at"])
 
-    for number, data, off, base in _pieces(batches, match):
+    for number, data, off, base in _pieces(batches, match, block):
         row, start, anchor, count, h, whole = _runs(data, off, match, gram)
         if len(row):
             held.append((number[row], (start + base[row]) << _START | anchor << _ANCHOR | (count - 1), h, whole))
@@ -187,7 +186,7 @@ def _shard(batches: Iterator[pa.RecordBatch], match: int, memory: int) -> Iterat
 
         for batch in batches:
             for r in zip(*(x.to_pylist() for x in batch.columns)):
-                if last is not None and r[:3] == last[0][:3]:
+                if last is not None and r[:4] == last[0][:4]:
                     continue  # a repeated row
                 with_before = last is not None and r[0] == last[0][0]
                 if with_before and not last[1]:
@@ -256,17 +255,17 @@ def numbered(docs: DataFrame) -> DataFrame:
     return rows.join(told, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("of") == F.col("hash"))).select("doc_id", "text", "d")
 
 
-def dedup(docs: DataFrame, match: int = MATCH, gram: int = GRAM, memory: int = MEMORY) -> DataFrame:
+def dedup(docs: DataFrame, match: int = MATCH, gram: int = GRAM, memory: int = MEMORY, block: int = C.SLICE_BYTES) -> DataFrame:
     """``doc_id`` and ``RESULT``, one row per document."""
-    assert 0 < gram < match and match - gram < 127 and match < 255
+    assert 0 < gram < match and match - gram < 127 and match < 255 and match <= block <= C.SLICE_BYTES
     rows = numbered(docs)
     texts = rows.select("d", "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    met = (texts.mapInArrow(lambda b: _occurrences(b, match, gram, False), "h long, whole long, d long, at long")
+    met = (texts.mapInArrow(lambda b: _occurrences(b, match, gram, False, block), "h long, whole long, d long, at long")
            .repartition(parts, "h").sortWithinPartitions("h", "whole", "d", "at").mapInArrow(_kinds, "d long, at long, sort boolean"))
     met = C.written(met)
-    copies = texts.mapInArrow(lambda b: _occurrences(b, match, gram, True), "d long, at long").union(met.where("not sort").select("d", "at"))
+    copies = texts.mapInArrow(lambda b: _occurrences(b, match, gram, True, block), "d long, at long").union(met.where("not sort").select("d", "at"))
 
     runs = met.where("sort").groupBy("d").agg(F.collect_list("at").alias("runs"))  # fewer than the document has bytes
     cut = texts.join(runs, "d").select("d", "text", "runs").mapInArrow(lambda b: _parts(b, match, gram), "key long, d long, start long, n long, part binary")

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from frauddeck.llm import induced_sort as I
@@ -88,6 +89,19 @@ def test_small_blocks_and_memory(spark, monkeypatch):
     assert sorted((tuple(r) for r in S.dedup(df, match=30, gram=12).collect()), key=str) == plain(docs, 30)
 
 
+def test_texts_longer_than_a_block(spark):
+    """No window is in two blocks, and repeats across block borders are found."""
+    docs = rows()[:8] + [(90, rows()[6][1][:2500])]
+    raw = docs[6][1].encode()
+    batch = pa.record_batch([pa.array([1]), pa.array([raw.decode()])], ["d", "text"])
+    starts = [int(b[0]) + k for _, part, _, b in S._pieces([batch], 100, 300) for k in range(len(part) - 99)]
+    assert starts == list(range(len(raw) - 99))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted((tuple(r) for r in S.dedup(df, block=300).collect()), key=str) == plain(docs)
+    unique = spark.createDataFrame([(1, docs[6][1])], "doc_id long, text string")
+    assert S.dedup(unique, block=300).first()["n_removed"] == 0
+
+
 def test_tables(spark, sf_dir):
     from frauddeck.llm.queries import QUERIES
     docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
