@@ -92,8 +92,9 @@ def _pieces(batches: Iterator[pa.RecordBatch], match: int, block: int = C.SLICE_
                 yield number, part, np.array([0, len(part)]), np.array([s])
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch], match: int, gram: int, removed: bool, block: int) -> Iterator[pa.RecordBatch]:
-    """Runs: the earliest of each kind in a task's stretch of documents, or (``removed``) all others."""
+def _occurrences(batches: Iterator[pa.RecordBatch], match: int, gram: int, block: int) -> Iterator[pa.RecordBatch]:
+    """Runs: the earliest of each kind in a task's stretch of documents (``lead``), and all others.
+    Both come of one pass, as another one might cut the rows into other stretches."""
     held, n = [], 0
 
     def flush():
@@ -102,11 +103,10 @@ def _occurrences(batches: Iterator[pa.RecordBatch], match: int, gram: int, remov
         d, at, h, whole = d[order], at[order], h[order], whole[order]
         new = np.ones(len(d), bool)
         new[1:] = (h[1:] != h[:-1]) | (whole[1:] != whole[:-1])
-        if removed:
-            lead = np.maximum.accumulate(np.where(new, np.arange(len(d)), 0))
-            keep = (d != d[lead]) | (at != at[lead])  # a repeated row is not earlier than itself
-            return pa.record_batch([pa.array(d[keep]), pa.array(at[keep])], ["d", "at"])
-        return pa.record_batch([pa.array(h[new].view(np.int64)), pa.array(whole[new].view(np.int64)), pa.array(d[new]), pa.array(at[new])], ["h", "whole", "d", "at"])
+        lead = np.maximum.accumulate(np.where(new, np.arange(len(d)), 0))
+        keep = new | (d != d[lead]) | (at != at[lead])  # a repeated row is not earlier than itself
+        d, at, h, whole, new = d[keep], at[keep], h[keep].view(np.int64), whole[keep].view(np.int64), new[keep]
+        return pa.record_batch([pa.array(h, mask=~new), pa.array(whole, mask=~new), pa.array(d), pa.array(at), pa.array(new)], ["h", "whole", "d", "at", "lead"])
 
     for number, data, off, base in _pieces(batches, match, block):
         row, start, anchor, count, h, whole = _runs(data, off, match, gram)
@@ -262,10 +262,12 @@ def dedup(docs: DataFrame, match: int = MATCH, gram: int = GRAM, memory: int = M
     texts = rows.select("d", "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    met = (texts.mapInArrow(lambda b: _occurrences(b, match, gram, False, block), "h long, whole long, d long, at long")
+    met = C.written(texts.mapInArrow(lambda b: _occurrences(b, match, gram, block), "h long, whole long, d long, at long, lead boolean"))
+    others = met.where("not lead").select("d", "at")
+    met = (met.where("lead").select("h", "whole", "d", "at")
            .repartition(parts, "h").sortWithinPartitions("h", "whole", "d", "at").mapInArrow(_kinds, "d long, at long, sort boolean"))
     met = C.written(met)
-    copies = texts.mapInArrow(lambda b: _occurrences(b, match, gram, True, block), "d long, at long").union(met.where("not sort").select("d", "at"))
+    copies = others.union(met.where("not sort").select("d", "at"))
 
     runs = met.where("sort").groupBy("d").agg(F.collect_list("at").alias("runs"))  # fewer than the document has bytes
     cut = texts.join(runs, "d").select("d", "text", "runs").mapInArrow(lambda b: _parts(b, match, gram), "key long, d long, start long, n long, part binary")

@@ -102,6 +102,31 @@ def test_texts_longer_than_a_block(spark):
     assert S.dedup(unique, block=300).first()["n_removed"] == 0
 
 
+def test_copies_where_jobs_cut_the_table_differently(spark, tmp_path, monkeypatch):
+    """Scan partitions that change from job to job lose no copies."""
+    docs = [(i, rows()[0][1]) for i in range(8)]
+    for i, row in enumerate(docs):
+        spark.createDataFrame([row], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/t/part={i}")
+    written, conf = S.C.written, {"spark.sql.files.minPartitionNum": "1", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+
+    def between(df):
+        out = written(df)
+        spark.conf.set("spark.sql.files.minPartitionNum", "8")
+        spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 27))
+        return out
+
+    monkeypatch.setattr(S.C, "written", between)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = spark.read.parquet(f"{tmp_path}/t").select("doc_id", "text")
+        assert sorted((tuple(r) for r in S.dedup(df).collect()), key=str) == plain(docs)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_tables(spark, sf_dir):
     from frauddeck.llm.queries import QUERIES
     docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
