@@ -9,8 +9,8 @@ What each step has yet to visit waits in a priority queue by first symbol, which
 entries of a symbol in the order they came (induction finds them sorted). An entry is a tuple of
 the suffix and its common prefix with the entry before it. Queues hold at most ``memory`` rows;
 beyond that, their entries go to an unnamed scratch file of the task, as a sort's spill does,
-which no other process reads. The text itself may be memory-mapped. So a shard may be far larger
-than memory. The text of names is sorted by doubling once it fits the same bound, else by
+which no other process reads. The text itself may be memory-mapped. In memory are the lists of S*
+suffixes, about ten arrays of 8 bytes for each: callers keep a shard's text small enough for that. The text of names is sorted by doubling once it fits the same bound, else by
 the same induction.
 
 Common prefixes are carried along: two neighbours induced from x and y share one symbol more

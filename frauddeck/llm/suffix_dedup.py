@@ -14,6 +14,9 @@ places that have to be sorted together, and collapses copies:
 3. Where an anchor string has runs of different bytes, the earliest of each kind may still share
    windows. Their texts are cut in two by the anchor's place, so that all windows of a part
    share about 70 bytes, and dealt by those bytes to shards.
+   A hot anchor (over ``HOT_KINDS`` kinds, as at the end of a passage that a large share of the
+   documents has) would bring one shard all of them. Its windows are told one by one, by a
+   128-bit hash of their bytes; like runs, they are first collapsed by the task.
 4. A shard writes its texts to a memory-mapped scratch file, in order of document and start, and
    sorts its suffixes externally: of all suffixes with a common prefix of ``MATCH`` bytes, all
    but the first in that order are removed.
@@ -29,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +44,7 @@ from frauddeck.llm import common as C
 from frauddeck.llm import induced_sort as I
 
 MATCH, GRAM, COLLAPSE_RUNS, MEMORY = 100, 32, 1 << 20, 1 << 21
+HOT_KINDS, HOT_ANCHORS = 1 << 14, 1_000_000  # an anchor of more kinds is hot; at most so many (by raising the bound)
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 # a run in one long: first window's start, the anchor's place after it, windows less one
 _START, _ANCHOR = 14, 7
@@ -93,8 +98,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], match: int, block: int = C.SLICE_
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch], match: int, gram: int, block: int) -> Iterator[pa.RecordBatch]:
-    """Runs: the earliest of each kind in a task's stretch of documents (``lead``), and all others.
-    Both come of one pass, as another one might cut the rows into other stretches."""
+    """Runs: the earliest of each kind in a task's stretch of documents (``lead``), and all others,
+    keyed by their place. Both come of one pass, as another one might cut the rows into other stretches."""
     held, n = [], 0
 
     def flush():
@@ -105,8 +110,9 @@ def _occurrences(batches: Iterator[pa.RecordBatch], match: int, gram: int, block
         new[1:] = (h[1:] != h[:-1]) | (whole[1:] != whole[:-1])
         lead = np.maximum.accumulate(np.where(new, np.arange(len(d)), 0))
         keep = new | (d != d[lead]) | (at != at[lead])  # a repeated row is not earlier than itself
-        d, at, h, whole, new = d[keep], at[keep], h[keep].view(np.int64), whole[keep].view(np.int64), new[keep]
-        return pa.record_batch([pa.array(h, mask=~new), pa.array(whole, mask=~new), pa.array(d), pa.array(at), pa.array(new)], ["h", "whole", "d", "at", "lead"])
+        d, at, new = d[keep], at[keep], new[keep]
+        h = np.where(new, h[keep], C.mix(d.astype(np.uint64) ^ at.astype(np.uint64))).view(np.int64)
+        return pa.record_batch([pa.array(h), pa.array(np.where(new, whole[keep].view(np.int64), 0)), pa.array(d), pa.array(at), pa.array(new)], ["h", "whole", "d", "at", "lead"])
 
     for number, data, off, base in _pieces(batches, match, block):
         row, start, anchor, count, h, whole = _runs(data, off, match, gram)
@@ -120,13 +126,19 @@ def _occurrences(batches: Iterator[pa.RecordBatch], match: int, gram: int, block
         yield flush()
 
 
-def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of runs sorted by anchor, bytes, document: the copies (``sort`` false), and the earliest of
-    each kind where an anchor has several kinds (``sort`` true)."""
+def _kinds(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Of runs sorted by lead, anchor, bytes, document: the copies (``sort`` false), and the earliest
+    of each kind where an anchor has several kinds (``sort`` true). An anchor with over ``most`` kinds
+    also gives rows with its hash in ``hot``, and in ``at`` that number and its doubles as far as it has more."""
+    kinds = 0  # of the anchor that the last batch ended in
     head = None  # h, whole, d, at of the earliest run of the kind that the last batch ended in
     waits = False  # whether that run is its anchor's only kind so far
     for batch in batches:
-        h, whole, d, at = (np.asarray(batch.column(k)) for k in range(4))
+        lead = batch.column(4).to_numpy(zero_copy_only=False)
+        if not lead.all():
+            rest = batch.filter(pa.array(~lead))
+            yield pa.record_batch([rest.column(2), rest.column(3), pa.array(np.zeros(len(rest), bool)), pa.nulls(len(rest), pa.int64())], ["d", "at", "sort", "hot"])
+        h, whole, d, at = (np.asarray(batch.column(k))[lead] for k in range(4))
         if not len(h):
             continue
         new_h, new = np.ones(len(h), bool), np.ones(len(h), bool)
@@ -141,8 +153,13 @@ def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         copies = ~new & ((d != first_d) | (at != first_at))
         k = np.flatnonzero(new)
         out_d, out_at = [d[copies]], [at[copies]]
-        more_d, more_at = [], []
+        more_d, more_at, hot, level = [], [], np.zeros(0, np.int64), np.zeros(0, np.int64)
         if len(k):
+            begins = np.maximum.accumulate(np.where(new_h[k], np.arange(len(k)), -1))
+            nth = np.where(begins >= 0, np.arange(len(k)) - begins, kinds + np.arange(len(k))) + 1
+            times = (nth - 1) // most
+            reached = (times > 0) & ((nth - 1) % most == 0) & (times & (times - 1) == 0)
+            hot, level, kinds = h[k[reached]], nth[reached] - 1, int(nth[-1])
             alone = new_h[k]  # begins its anchor's rows
             follows = np.append(~alone[1:], False)  # another kind of the same anchor comes in this batch
             chosen = ~alone | follows
@@ -151,41 +168,99 @@ def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 more_d.append(np.array([head[2]]))
                 more_at.append(np.array([head[3]]))
             head, waits = (h[k[-1]], whole[k[-1]], d[k[-1]], at[k[-1]]), bool(alone[-1])
-        sort = np.concatenate([np.zeros(len(out_d[0]), bool), np.ones(sum(map(len, more_d)), bool)])
-        yield pa.record_batch([pa.array(np.concatenate(out_d + more_d)), pa.array(np.concatenate(out_at + more_at)), pa.array(sort)], ["d", "at", "sort"])
-
-
-def _parts(batches: Iterator[pa.RecordBatch], match: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """The runs' texts, cut by the anchor's place and keyed by what all windows of a part share."""
+        n, m = len(out_d[0]), sum(map(len, more_d))
+        sort, marks = np.arange(n + m + len(hot)) >= n, np.arange(n + m + len(hot)) >= n + m
+        yield pa.record_batch([pa.array(np.concatenate([*out_d, *more_d, hot]), mask=marks), pa.array(np.concatenate([*out_at, *more_at, level])),
+                               pa.array(sort, mask=marks), pa.array(np.concatenate([np.zeros(n + m, np.int64), hot]), mask=~marks)], ["d", "at", "sort", "hot"])
+
+
+def _anchors(grams: list[bytes], gram: int) -> np.ndarray:
+    """The hashes that ``_runs`` gives these anchors."""
+    data = np.frombuffer(b"".join(grams), np.uint8).reshape(-1, gram).astype(np.uint64) + np.uint64(1)
+    return C.mix((data * C._powers()[0][:gram]).sum(axis=1, dtype=np.uint64)).view(np.int64)
+
+
+def _one_by_one(digests: list[bytes], d: list[int], start: list[int]):
+    """Rows for windows of hot anchors: the first of each kind here (``n`` 0, the hash in ``key`` and
+    ``part``), and stretches of all others, which are removed (``n`` less than 0)."""
+    h = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+    d, start = np.array(d, np.int64), np.array(start, np.int64)
+    order = np.lexsort((start, d, h[:, 1], h[:, 0]))
+    h, d, start = h[order], d[order], start[order]
+    new = np.ones(len(d), bool)
+    new[1:] = (h[1:] != h[:-1]).any(axis=1)
+    lead = np.maximum.accumulate(np.where(new, np.arange(len(d)), 0))
+    gone = np.flatnonzero((d != d[lead]) | (start != start[lead]))  # a repeated row is not earlier than itself
+    rows = [(int(x), int(y), int(z), 0, w.tobytes()) for x, w, y, z in zip(h[new, 0], h[new, 1], d[new], start[new])]
+    if len(gone):
+        gone = gone[np.lexsort((start[gone], d[gone]))]
+        d, start = d[gone], start[gone]
+        first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (start[1:] != start[:-1] + 1)]))
+        count = np.diff(np.append(first, len(d)))
+        spread = C.mix((d[first].astype(np.uint64) << np.uint64(20)) + start[first].astype(np.uint64)).view(np.int64)
+        rows += [(x, y, z, -n, b"") for x, y, z, n in zip(spread.tolist(), d[first].tolist(), start[first].tolist(), count.tolist())]
+    return rows
+
+
+def _parts(batches: Iterator[pa.RecordBatch], match: int, gram: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The runs' texts, cut by the anchor's place and keyed by what all windows of a part share;
+    rows of ``_one_by_one`` for runs with a ``hot`` anchor (hashes, ascending)."""
     half = (match - gram) // 2
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    table = lambda out: pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 5, kinds)], ["key", "d", "start", "n", "part"])
+    windows = ([], [], [])  # of hot anchors: hash, document, start
     for batch in batches:
         out = []
         for d, text, runs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
             raw = text.as_py().encode()
-            for run in sorted(set(runs)):
-                s, m, n = run >> _START, run >> _ANCHOR & (1 << _START - _ANCHOR) - 1, (run & (1 << _ANCHOR) - 1) + 1
+            runs = sorted(set(runs))
+            places = [(run >> _START, run >> _ANCHOR & (1 << _START - _ANCHOR) - 1, (run & (1 << _ANCHOR) - 1) + 1) for run in runs]
+            met = np.isin(_anchors([raw[s + m:s + m + gram] for s, m, _ in places], gram), hot) if len(hot) else np.zeros(len(places), bool)
+            for (s, m, n), many in zip(places, met.tolist()):
+                if many:
+                    windows[0].extend(hashlib.blake2b(raw[x:x + match], digest_size=16).digest() for x in range(s, s + n))
+                    windows[1].extend([d] * n)
+                    windows[2].extend(range(s, s + n))
+                    if len(windows[0]) >= COLLAPSE_RUNS // 4:
+                        yield table(_one_by_one(*windows))
+                        windows = ([], [], [])
+                    continue
                 near = max(min(m - half, n), 0)  # windows that begin over `half` bytes before the anchor
                 for side, a, b, share in ((0, 0, near, raw[s + m - half - 1:s + m + gram]), (1, near, n, raw[s + m:s + m + match - half])):
                     if a < b:
                         key = int.from_bytes(hashlib.blake2b(share, digest_size=8, salt=bytes([side])).digest(), "little", signed=True)
                         out.append((key, d, s + a, b - a, raw[s + a:s + b + match - 1]))
-        yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["key", "d", "start", "n", "part"])
+        yield table(out)
+    if windows[0]:
+        yield table(_one_by_one(*windows))
 
 
 def _shard(batches: Iterator[pa.RecordBatch], match: int, memory: int) -> Iterator[pa.RecordBatch]:
     """Windows of a shard's parts (sorted by key, document, start) that also begin earlier."""
     with tempfile.TemporaryFile() as file:
-        size, rows, last = 0, [], None
+        size, last, rows = 0, None, tuple(array("q") for _ in range(4))
+        one, firsts = None, {}  # the key of windows that are told one by one, and the first of each
 
         def add(r):
             nonlocal size
             text = np.frombuffer(r[4], np.uint8).astype("<u2") + np.uint16(2)
             file.write(text.tobytes() + b"\1\0")  # 1: a part's end
-            rows.append((size, r[1], r[2], r[3]))
+            for to, x in zip(rows, (size, r[1], r[2], r[3])):
+                to.append(x)
             size += len(text) + 1
 
         for batch in batches:
+            gone = []
             for r in zip(*(x.to_pylist() for x in batch.columns)):
+                if r[3] < 0:
+                    gone.append((r[1], r[2], -r[3]))
+                    continue
+                if r[3] == 0:
+                    if one != r[0]:
+                        one, firsts = r[0], {}
+                    if firsts.setdefault(r[4], r[1:3]) != r[1:3]:
+                        gone.append((r[1], r[2], 1))
+                    continue
                 if last is not None and r[:4] == last[0][:4]:
                     continue  # a repeated row
                 with_before = last is not None and r[0] == last[0][0]
@@ -194,12 +269,14 @@ def _shard(batches: Iterator[pa.RecordBatch], match: int, memory: int) -> Iterat
                 if with_before:
                     add(r)
                 last = (r, with_before)  # a part alone with its key needs no sorting
-        if not rows:
+            if gone:
+                yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*gone)], ["d", "start", "n"])
+        if not rows[0]:
             return
         file.write(b"\0\0")
         file.flush()
         text = np.memmap(file, "<u2", "r", shape=(size + 1,))
-        at, d, start, n = (np.array(x, np.int64) for x in zip(*rows))
+        at, d, start, n = (np.array(x, np.int64) for x in rows)
         for found in I.repeats(text, match, memory):
             k = np.searchsorted(at, found, side="right") - 1
             inside = found - at[k] < n[k]
@@ -252,25 +329,28 @@ def numbered(docs: DataFrame) -> DataFrame:
     pairs = rows.select("doc_id", "of").distinct().orderBy(F.asc_nulls_last("doc_id"), "of")
     spark = docs.sparkSession
     told = spark.createDataFrame(pairs.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), pairs.schema.add("d", "long")).toDF("id", "hash", "d")
-    return rows.join(told, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("of") == F.col("hash"))).select("doc_id", "text", "d")
+    # sorted, so that a task that runs again cuts its rows as before
+    return rows.join(told, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("of") == F.col("hash"))).select("doc_id", "text", "d").sortWithinPartitions("d")
 
 
-def dedup(docs: DataFrame, match: int = MATCH, gram: int = GRAM, memory: int = MEMORY, block: int = C.SLICE_BYTES) -> DataFrame:
+def dedup(docs: DataFrame, match: int = MATCH, gram: int = GRAM, memory: int = MEMORY, block: int = C.SLICE_BYTES,
+          hot_kinds: int = HOT_KINDS) -> DataFrame:
     """``doc_id`` and ``RESULT``, one row per document."""
     assert 0 < gram < match and match - gram < 127 and match < 255 and match <= block <= C.SLICE_BYTES
     rows = numbered(docs)
     texts = rows.select("d", "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    met = C.written(texts.mapInArrow(lambda b: _occurrences(b, match, gram, block), "h long, whole long, d long, at long, lead boolean"))
-    others = met.where("not lead").select("d", "at")
-    met = (met.where("lead").select("h", "whole", "d", "at")
-           .repartition(parts, "h").sortWithinPartitions("h", "whole", "d", "at").mapInArrow(_kinds, "d long, at long, sort boolean"))
+    met = (texts.mapInArrow(lambda b: _occurrences(b, match, gram, block), "h long, whole long, d long, at long, lead boolean")
+           .repartition(parts, "h").sortWithinPartitions("lead", "h", "whole", "d", "at").mapInArrow(lambda b: _kinds(b, hot_kinds), "d long, at long, sort boolean, hot long"))
     met = C.written(met)
-    copies = others.union(met.where("not sort").select("d", "at"))
+    copies = met.where("not sort").select("d", "at")
+    levels = [r[0] for r in met.where("hot is not null").groupBy("at").count().where(F.col("count") <= HOT_ANCHORS).select("at").collect()]
+    hot = [r[0] for r in met.where(F.col("hot").isNotNull() & (F.col("at") == min(levels))).select("hot").collect()] if levels else []
+    hot = np.sort(np.array(hot, np.int64))
 
     runs = met.where("sort").groupBy("d").agg(F.collect_list("at").alias("runs"))  # fewer than the document has bytes
-    cut = texts.join(runs, "d").select("d", "text", "runs").mapInArrow(lambda b: _parts(b, match, gram), "key long, d long, start long, n long, part binary")
+    cut = texts.join(runs, "d").select("d", "text", "runs").mapInArrow(lambda b: _parts(b, match, gram, hot), "key long, d long, start long, n long, part binary")
     sorted_parts = cut.repartition(parts, "key").sortWithinPartitions("key", "d", "start")
     found = sorted_parts.mapInArrow(lambda b: _shard(b, match, memory), "d long, start long, n long")
 

@@ -127,6 +127,31 @@ def test_copies_where_jobs_cut_the_table_differently(spark, tmp_path, monkeypatc
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def test_hot_anchors_are_dealt_by_window(spark):
+    """A passage that many documents share: no shard gets all their parts, results stay."""
+    docs = rows()
+    df = spark.createDataFrame(docs + docs[:2], "doc_id long, text string").repartition(5)
+    for hot_kinds in (1, 5):
+        assert sorted((tuple(r) for r in S.dedup(df, hot_kinds=hot_kinds).collect()), key=str) == plain(docs + docs[:2])
+    raw = docs[20][1].encode()  # one of thirty texts around one line
+    row, start, anchor, count, h, _ = S._runs(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), 100, 32)
+    assert S._anchors([raw[s + m:s + m + 32] for s, m in zip(start, anchor)], 32).tolist() == h.view(np.int64).tolist()
+    runs = (start << S._START | anchor << S._ANCHOR | (count - 1)).tolist()
+    batch = pa.record_batch([pa.array([1]), pa.array([docs[20][1]]), pa.array([runs])], ["d", "text", "runs"])
+    dealt = [r for b in S._parts([batch], 100, 32, np.sort(h.view(np.int64))) for r in b.to_pylist()]
+    assert len({r["key"] for r in dealt}) == len(dealt) == len(raw) - 99 and {r["n"] for r in dealt} == {0}
+
+
+def test_kinds_tell_hot_anchors_across_batches():
+    h = [1] * 3 + [2] * 7 + [3] * 4
+    cols = [h, list(range(14)), list(range(14)), [0] * 14, [True] * 14]
+    for size in (1, 2, 5, 14):
+        batches = [pa.record_batch([pa.array(x[a:a + size]) for x in cols], ["h", "whole", "d", "at", "lead"]) for a in range(0, 14, size)]
+        got = [r for b in S._kinds(batches, 3) for r in b.to_pylist()]
+        assert [(r["hot"], r["at"]) for r in got if r["hot"] is not None] == [(2, 3), (2, 6), (3, 3)]
+        assert sorted(r["d"] for r in got if r["sort"]) == list(range(14))
+
+
 def test_tables(spark, sf_dir):
     from frauddeck.llm.queries import QUERIES
     docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
