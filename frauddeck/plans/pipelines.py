@@ -454,7 +454,8 @@ def p8_train_score_submit(features: DataFrame, test: DataFrame, feature_cols: li
     from frauddeck.operators import metrics, ml
     f = split.stratified_kfold(features, k, shuffle_key=shuffle_key)
     oof, test_scores = ml.kfold_oof(f, test, feature_cols, label, k=k,
-                                    fit=lambda d: ml.fit_gbt(d, feature_cols, label, max_iter=max_iter, max_depth=5))
+                                    fit=lambda d: ml.fit_gbt(split.with_class_weight_col(d, label, "_weight"), feature_cols, label,
+                                                             weight_col="_weight", max_iter=max_iter, max_depth=5))
     ev = oof.join(features.select("TX_ID", F.col(label).alias("y")), "TX_ID")
     if override_flag:
         if override_flag not in test.columns:

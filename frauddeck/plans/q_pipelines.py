@@ -35,12 +35,24 @@ def _staged(spark, sf):
     """Feature table computed once and cut from its lineage before fold / seed / parameter loops."""
     from frauddeck.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
-    return _p3(spark, sf).select("TX_ID", "TX_TS", "TX_FRAUD", "is_fraudulent_terminal", *NUM_FEATURES).checkpoint(eager=True)
+    d = _p3(spark, sf)
+    cols = _features(d)  # the trainers take no NaN: what is missing is 0
+    return d.select("TX_ID", "TX_TS", "TX_FRAUD", "is_fraudulent_terminal", *cols).na.fill(0, cols).checkpoint(eager=True)
+
+
+def _features(d):
+    """Every numeric column of P3 but ids, the label and the terminal flag, which is made of labels."""
+    out = ("TX_ID", "CUSTOMER_ID", "MERCHANT_ID", "TERMINAL_ID", "TX_FRAUD", "is_fraudulent_terminal")
+    return [c for c, kind in d.dtypes if kind in ("int", "bigint", "double") and c not in out]
 
 
 def _p8(spark, sf):
     feats = split.time_split(_staged(spark, sf)).checkpoint(eager=True)
-    return P.p8_train_score_submit(feats.filter("is_train = 1"), feats.filter("is_train = 0"), NUM_FEATURES, max_iter=10)
+    return P.p8_train_score_submit(feats.filter("is_train = 1"), feats.filter("is_train = 0"), _trained(feats))
+
+
+def _trained(feats):
+    return [c for c in _features(feats) if c not in ("is_train", "fold")]
 
 
 @query("p8_k1_k5_k7_oof_gbt")
@@ -59,9 +71,10 @@ def p8_submission(spark, sf):
 
 @query("k1_k11_gbt_validation_scores")
 def k1_k11_gbt_validation_scores(spark, sf):
-    feats = split.time_split(_staged(spark, sf))
-    m = ml.fit_gbt(feats.filter("is_train = 1"), NUM_FEATURES, max_iter=15, max_depth=4)
-    return ml.score(m, feats.filter("is_train = 0"), threshold=0.5)
+    feats = split.time_split(_staged(spark, sf)).checkpoint(eager=True)
+    valid = feats.filter("is_train = 0")
+    m = ml.fit_gbt(ml.with_validation(feats.filter("is_train = 1"), valid), _trained(feats), weight_col="_weight", validation_col="_valid")
+    return ml.score(m, valid, threshold=0.5)
 
 
 @query("k3_k10_tree_importance")
@@ -73,8 +86,8 @@ def k3_k10_tree_importance(spark, sf):
 
 @query("k2_mlp_scores")
 def k2_mlp_scores(spark, sf):
-    feats = split.time_split(_staged(spark, sf))
-    m = ml.fit_mlp(feats.filter("is_train = 1"), NUM_FEATURES, max_iter=30, oversample=3)
+    feats = split.time_split(_staged(spark, sf)).checkpoint(eager=True)
+    m = ml.fit_mlp(feats.filter("is_train = 1"), _trained(feats), oversample=3)
     return ml.score(m, feats.filter("is_train = 0"))
 
 
@@ -125,17 +138,17 @@ def p11_score_report_top10(spark, sf):
 @query("k4_random_search_time_folds")
 def k4_random_search_time_folds(spark, sf):
     """K4: seeded random parameter draws scored by mean AUC over expanding time folds."""
-    feats = split.time_folds(_staged(spark, sf), 3).checkpoint(eager=True)
-    params = [dict(p, max_iter=5) for p in ml.random_param_sets(10, seed=1)]
-    return ml.search_time_folds(feats, NUM_FEATURES, k=3, params=params).select("param_id", r("mean_auc", 3).alias("mean_auc"))
+    feats = split.time_folds(_staged(spark, sf)).checkpoint(eager=True)
+    return ml.search_time_folds(feats, _trained(feats), params=ml.random_param_sets(10, seed=1)).select("param_id", r("mean_auc", 3).alias("mean_auc"))
 
 
 @query("k6_seed_bagging")
 def k6_seed_bagging(spark, sf):
     """K6: mean validation score of boosters trained with five seeds."""
     feats = split.time_split(_staged(spark, sf)).checkpoint(eager=True)
-    return ml.seed_bagging(feats.filter("is_train = 1"), feats.filter("is_train = 0"), NUM_FEATURES,
-                           max_iter=5, max_depth=4)
+    valid = feats.filter("is_train = 0")
+    return ml.seed_bagging(ml.with_validation(feats.filter("is_train = 1"), valid), valid, _trained(feats),
+                           weight_col="_weight", validation_col="_valid")
 
 
 @query("p6_profiling_pack_summary")

@@ -102,3 +102,33 @@ def test_checkpoint_folder_must_be_set_on_a_cluster():
         conf = {}
     with pytest.raises(RuntimeError):
         session.ensure_checkpoint_dir(Session())
+
+
+def test_model_queries_train_with_the_operators_settings(spark, monkeypatch):
+    """Drawn rounds, five folds, class weights, early stop and all of P3's numeric columns reach the trainer."""
+    import os
+
+    from frauddeck.operators import ml
+    from frauddeck.plans import q_pipelines as Q
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    real, staged, seen, kept = ml.fit_gbt, Q._staged(spark, sf), [], []
+
+    def fit(train, features, label="TX_FRAUD", **k):
+        seen.append((len(features), k, train))
+        if not kept:
+            kept.append(real(train, features, label, **{**k, "max_iter": 1, "max_depth": 2}))
+        return kept[0]
+
+    monkeypatch.setattr(Q, "_staged", lambda *a: staged)
+    monkeypatch.setattr(ml, "fit_gbt", fit)
+    Q.k4_random_search_time_folds(spark, sf)
+    assert len(seen) == 10 * 4 and [k["max_iter"] for _, k, _ in seen[::4]] == [p["max_iter"] for p in ml.random_param_sets(10, seed=1)]
+    Q.k1_k11_gbt_validation_scores(spark, sf)
+    Q.k6_seed_bagging(spark, sf)
+    assert len(seen) == 46 and all({"max_iter", "max_depth"}.isdisjoint(k) for _, k, _ in seen[40:])
+    assert all(n > 90 and k["weight_col"] == "_weight" and k["validation_col"] == "_valid" for n, k, _ in seen)
+    assert seen[0][2].groupBy("_valid").count().count() == 2
+    Q.p8_submission(spark, sf)
+    assert len(seen) == 51 and all(n > 90 and k["weight_col"] == "_weight" and k["max_iter"] == 20 for n, k, _ in seen[46:])
