@@ -158,3 +158,35 @@ def p6_profiling_pack_summary(spark, sf):
     j = star.star_join(v["transactions"], v["customers"], v["terminals"], v["merchants"])
     pack = P.p6_profiling_pack(j)
     return pack["summary"].drop("first_ts", "last_ts")
+
+
+def _p10(spark, sf):
+    v = views(spark, sf, "lineitem")
+    return P.p10_spatial_risk(v["transactions"], v["customers"], v["terminals"])
+
+
+@query("p10_rows")
+def p10_rows(spark, sf):
+    """P10: each row's area risks by both surfaces."""
+    return _p10(spark, sf)["rows"].select("TX_ID", *[r(c).alias(c) for c in ("customer_area_risk", "terminal_area_risk", "combined_area_risk")])
+
+
+def _register(pipeline, reports, frame):
+    for report in reports:
+        query(f"{pipeline}_{report}")(lambda spark, sf, name=report: frame(spark, sf)[name])
+
+
+def _p6(spark, sf):
+    v = views(spark, sf)
+    return P.p6_profiling_pack(star.star_join(v["transactions"], v["customers"], v["terminals"], v["merchants"]))
+
+
+def _p11(spark, sf):
+    t = tx(spark, sf)
+    return P.p11_score_report(adapter.scores_a(t).join(t.select("TX_ID", "TX_TS", "TRANSACTION_TYPE", "CARD_BRAND"), "TX_ID"))
+
+
+_register("p10", ("customer_cells", "terminal_cells"), _p10)
+_register("p6", ("overall", "by_hour", "by_weekday", "by_brand", "by_mcc_top20", "by_terminal_top20", "amount_bands", "amount_buckets",
+                 "histogram"), _p6)
+_register("p11", ("histogram", "describe", "top5pct", "by_hour", "by_type", "by_brand", "summary", "moments"), _p11)

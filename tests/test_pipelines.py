@@ -132,3 +132,18 @@ def test_model_queries_train_with_the_operators_settings(spark, monkeypatch):
     assert seen[0][2].groupBy("_valid").count().count() == 2
     Q.p8_submission(spark, sf)
     assert len(seen) == 51 and all(n > 90 and k["weight_col"] == "_weight" and k["max_iter"] == 20 for n, k, _ in seen[46:])
+
+
+def test_every_report_of_p6_p10_and_p11_is_a_query(spark):
+    import os
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    q = E.queries()
+    assert sum(n.startswith("p6_") for n in q) == 10 and sum(n.startswith("p11_") for n in q) == 9 and sum(n.startswith("p10_") for n in q) == 4
+    for n in q:
+        if n.startswith(("p6_", "p11_")):
+            assert q[n](spark, sf).count() or n.endswith("top20"), n  # those have a least count
+    rows = q["p10_rows"](spark, sf)
+    assert rows.count() == spark.read.parquet(f"{sf}/lineitem.parquet").count() and not rows.where("combined_area_risk is null").count()
+    assert q["p10_customer_cells"](spark, sf).count() and q["p10_terminal_cells"](spark, sf).count()
