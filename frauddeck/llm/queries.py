@@ -149,3 +149,30 @@ FROM d LEFT JOIN kept USING (doc_id)"""
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from frauddeck.llm.suffix_dedup import dedup
     return dedup(C.read(spark, sf_dir, "documents"))
+
+
+def _op11_sql() -> str:
+    """The walk over the jumps, unrolled; checksums by the table of the polynomial 0xEDB88320."""
+    table = list(range(256))
+    for _ in range(8):
+        table = [c >> 1 ^ 0xEDB88320 if c & 1 else c >> 1 for c in table]
+    walk = ", ".join(f"""
+w{i + 1} AS (SELECT doc_id, size, text_crc32, CASE WHEN j < 8 THEN j ELSE a END AS a, CASE WHEN j < 9 THEN j ELSE b END AS b, s AS state,
+  CASE WHEN j >= 9 THEN j ELSE CAST(floor((j + 1) * (2147483648.0::DOUBLE / ((s // 8589934592) + 1)::DOUBLE)) AS BIGINT) END AS j
+  FROM (SELECT *, (state * 2862933555777941757::HUGEINT + 1) % 18446744073709551616::HUGEINT AS s FROM w{i}))""" for i in range(9))
+    return f"""
+WITH d AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS u FROM documents),
+w0 AS (SELECT doc_id, CAST(len(u) + 1 AS BIGINT) AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, u),
+    lambda c, x: xor(c >> 8, list_extract({table}::BIGINT[], (xor(c, x) & 255) + 1))), 4294967295::BIGINT) AS text_crc32,
+  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 16) AS HUGEINT) AS state, 0::BIGINT AS j, 0::BIGINT AS a, 0::BIGINT AS b FROM d),{walk}
+SELECT doc_id, size, text_crc32, 'key' AS law, CAST(a AS INTEGER) AS shard,
+  row_number() OVER (PARTITION BY a ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, CAST(b AS INTEGER) AS grown_shard FROM w9"""
+
+
+ORACLE["op11_sharding"] = _op11_sql()
+
+
+@query("op11_sharding")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from frauddeck.llm.sharding import LAW, shard_documents
+    return shard_documents(C.read(spark, sf_dir, "documents"), 8).selectExpr("doc_id", "size", "text_crc32", f"'{LAW}' as law", "shard", "slot", "grown_shard")
