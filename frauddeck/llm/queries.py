@@ -176,3 +176,34 @@ ORACLE["op11_sharding"] = _op11_sql()
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     from frauddeck.llm.sharding import LAW, shard_documents
     return shard_documents(C.read(spark, sf_dir, "documents"), 8).selectExpr("doc_id", "size", "text_crc32", f"'{LAW}' as law", "shard", "slot", "grown_shard")
+
+
+@query("op12_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from frauddeck.llm import whitening as W
+    rows = C.read(spark, sf_dir, "embeddings")
+    return W.transform(rows, W.fit(rows, "embedding"), "vec_id", "embedding")
+
+
+ORACLE["op13_hard_negatives"] = """
+WITH e AS (SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.rid AS arid, a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+    CAST(list_sum(list_transform(list_zip(a.x, b.x), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.rid <> b.rid WHERE a.vec_id % 100 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY arid ORDER BY score DESC, id) AS pr FROM s WHERE same QUALIFY pr <= 5),
+n AS (SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.arid, p.pr ORDER BY s.score DESC, s.id) AS rank
+  FROM p JOIN s ON s.arid = p.arid AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10"""
+
+
+@query("op13_hard_negatives")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from frauddeck.llm import hard_negatives as H
+    rows = C.read(spark, sf_dir, "embeddings").selectExpr("vec_id", "embedding", "case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label")
+    return H.mine(H.build(rows), spark, F.col("id") % 100 == 0)
