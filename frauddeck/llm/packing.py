@@ -12,9 +12,13 @@ nothing is shuffled, and padding is under one sequence for each group. In a grou
 
 Sequences are numbered by partition and order in it: a retried task numbers them alike.
 
-Texts are cut before a space or line break between two characters that aren't white space,
-where the tokenizer's own rule begins a new word; the pieces' ids are kept in a bounded table
-of recent pieces. Special-token strings in a text are ordinary text.
+Texts are cut where the tokenizer's own rule surely begins a new word: before a space or line break
+between two characters that aren't white space, behind such a line break, and where letters,
+digits and signs meet (not behind an apostrophe, which may take letters along). Pieces are byte
+ranges of a slice of a batch; a table of hashes, kept by the worker, tells those whose ids are known
+(their bytes are compared, too), and only the others reach the tokenizer. Ids are gathered in
+numpy. A text that holds the string of one of the tokenizer's added tokens is encoded by it whole,
+as it finds them in the text.
 
 Defined results: a null or empty text has the end id only. Ids may be null or repeat; each row
 is a document. An empty table has no pieces.
@@ -22,13 +26,12 @@ is a document. An empty table has no pieces.
 
 from __future__ import annotations
 
-import gc
 import os
 import re
-import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,90 +43,179 @@ from frauddeck.llm import common as C
 
 SEQUENCE, END_ID, GROUP_TOKENS = 2048, 1, 1 << 21
 LINEAR, QUADRATIC = 1.0, 1.0 / SEQUENCE
-KEPT_PIECES, KEPT_LENGTH = 250_000, 48
+#: Places for known pieces (half of them are filled before the table starts anew), and the longest piece kept.
+PLACES, KEPT_LENGTH = 1 << 21, 48
 
 RESULT = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
-#: A space or line break, letters, and signs that never join a word. Not the apostrophe.
-_WORD = re.compile(r"([ \n])([A-Za-zÀ-ÖØ-öø-ÿ]{1,40})([!-&(-/:-@\[-`{-~]{0,8})")
+#: A word of letters of one or two bytes, and a space before it.
+_WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]){1,40}")
+#: First bytes of characters some of which are white space, and all other bytes of characters that are.
+_MAYBE_SPACE = C.byte_table([(0, 32), (127, 127), (0xC2, 0xC2), (0xE1, 0xE3)])
+#: Letters, digits and signs among the bytes of one-byte characters.
+_KIND = C.byte_table([(65, 90), (97, 122)]) + 2 * C.byte_table([(48, 57)]) + 3 * C.byte_table([(33, 47), (58, 64), (91, 96), (123, 126)])
 
 
-def _shown() -> dict[int, str]:
+def _shown() -> list[str]:
     """How a byte-level vocabulary shows each byte: itself if it prints, else a sign from 256 on."""
-    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in prints]
-    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in prints else chr(next(rest)) for b in range(256)]
 
 
-_SHOWN = _shown()
-_PACK = [struct.Struct(f"<{n}I").pack for n in range(130)]  # no word of 41 letters has more ids than bytes
+_SHOWN = dict(enumerate(_shown()))
+
+
+def begins(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Where pieces begin: the first bytes of texts, and the places told in the module's text."""
+    out = np.zeros(len(data) + 1, bool)
+    kind = _KIND[data]
+    left, right = kind[:-1], kind[1:]
+    out[1:-1] = (left != right) & (left > 0) & (right > 0) & ~((data[:-1] == 39) & (right == 1))
+    at = np.flatnonzero((data == 32) | (data == 10))
+    at = at[(at > 0) & (at < len(data) - 1)]
+    at = at[_MAYBE_SPACE[data[at + 1]] == 0]
+    # the first byte of the character before: one to four bytes back
+    first = data[at - 1]
+    for k in (2, 3, 4):
+        inside = (first & 0xC0) == 0x80
+        first = np.where(inside, data[np.maximum(at - k, 0)], first)
+    at = at[_MAYBE_SPACE[first] == 0]
+    out[at] = True
+    out[at[data[at] == 10] + 1] = True
+    out[off] = True
+    return np.flatnonzero(out[:-1])
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The indices of all ranges, one after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+class Kept:
+    """Byte strings or ids of known pieces, one after another in one array that doubles when full."""
+
+    def __init__(self, kind: str):
+        self.data, self.n = np.zeros(1 << 16, kind), 0
+
+    def add(self, new: np.ndarray) -> int:
+        at, self.n = self.n, self.n + len(new)
+        if self.n > len(self.data):
+            self.data = np.concatenate([self.data[:at], np.zeros(max(at, len(new)) + len(new), self.data.dtype)])
+        self.data[at:self.n] = new
+        return at
 
 
 class Encoder:
-    """Token ids of texts as bytes (unsigned little-endian 32-bit)."""
+    """Token ids of the texts in a UTF-8 buffer."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.kept: dict[str, bytes] = {}  # ids of recent pieces,
-        self.older: dict[str, bytes] = {}  # of those before them,
-        self.tails: dict[str, bytes] = {}  # and of the signs after words
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.line, = self._ids("\n").tolist()
+        self._clear()
+
+    def _clear(self) -> None:
+        self.hashes = np.zeros(PLACES, np.uint64)
+        self.at = np.zeros((PLACES, 4), np.int32)  # bytes: start, size; ids: start, size
+        self.bytes, self.ids, self.filled = Kept("u1"), Kept("<u4"), 0
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encodes pieces: a word of letters by the model itself, with signs after it apart (the
-        tokenizer's rule parts them there); all others as one text, parted by line breaks, each
-        of which is one id."""
-        kept, other, line, tokenize = self.kept, [], _PACK[1](self.line), self.tokenizer.model.tokenize
-        for x in pieces:
-            if not (m := _WORD.fullmatch(x)):
-                other.append(x)
-                continue
-            before, core, tail = m.groups()
-            word = core if before == "\n" else " " + core
-            known = ("Ġ" + core if word is not core else core) if core.isascii() else word.encode().decode("latin-1").translate(_SHOWN)
-            found = tokenize(known)
-            ids = _PACK[len(found)](*[t.id for t in found])
-            if tail and tail not in self.tails:
-                self.tails[tail] = self._ids(tail).tobytes()
-            kept[x] = (line if before == "\n" else b"") + ids + (self.tails[tail] if tail else b"")
-        odd = [x for x in other if "\n" in x[1:]]
-        other = [x for x in other if "\n" not in x[1:]] if odd else other
-        kept.update((x, self._ids(x).tobytes()) for x in odd)
-        if other:
-            ids = self._ids("".join([x if x[0] == "\n" else "\n" + x for x in other]))
-            at = np.flatnonzero(ids == self.line)
-            raw = ids.tobytes()
-            for x, s, e in zip(other, (4 * at).tolist(), (4 * np.append(at[1:], len(ids))).tolist()):
-                kept[x] = raw[s if x[0] == "\n" else s + 4:e]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        gc.disable()  # millions of strings, none of them in a cycle
-        try:
-            return self._encode(texts)
-        finally:
-            gc.enable()
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        parts = [_CUT.split(x) for x in texts]
-        if len(self.kept) > KEPT_PIECES:
-            self.older, self.kept, self.tails = self.kept, {}, {}
-        kept, older = self.kept, self.older
-        new = {y for x in parts for y in x[1:]}.difference(kept)
-        again = new.intersection(older)
-        kept.update((x, older[x]) for x in again)
-        if new := list(new - again):
-            self._learn(new)
-        out = [self._ids(x[0]).tobytes() + b"".join([kept[y] for y in x[1:]]) if x[0] else b"" for x in parts]
-        for x in [x for x in new if len(x) > KEPT_LENGTH]:
-            del kept[x]
-        return out
+    def _learn(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, one after another, and their numbers: a word of letters by the model
+        itself; all others as one text, parted by line breaks, each of which is one id."""
+        found: list = [None] * len(pieces)
+        together, tokenize = [], self.tokenizer.model.tokenize
+        for i, x in enumerate(pieces):
+            word = x[1:] if x[0] == 32 else x
+            if word.isalpha():  # one-byte letters
+                found[i] = [t.id for t in tokenize(("Ġ" if x[0] == 32 else "") + word.decode())]
+            elif _WORD.fullmatch(x):
+                found[i] = [t.id for t in tokenize(x.decode("latin-1").translate(_SHOWN))]
+            else:
+                text = x.decode()
+                word = text[text[0] in " \n":]
+                if word.split() == [word]:  # no white space inside or behind
+                    together.append((i, text))
+                else:
+                    found[i] = self._ids(text)
+        if together:
+            ids = self._ids("".join([x if x[0] == "\n" else "\n" + x for _, x in together]))
+            at = np.append(np.flatnonzero(ids == self.line), len(ids))
+            for (i, x), s, e in zip(together, at[:-1].tolist(), at[1:].tolist()):
+                found[i] = ids[s if x[0] == "\n" else s + 1:e]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), "<u4", int(sizes.sum())), sizes
+
+    def __call__(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and where those of each text begin (one entry more than texts)."""
+        n = len(off) - 1
+        if not len(data):
+            return np.zeros(0, "<u4"), np.zeros(n + 1, np.int64)
+        starts = begins(data, off)
+        text = np.searchsorted(off, starts, side="right") - 1
+        apart = None
+        if self._holds_added(data):  # a text of added tokens is one piece
+            whole = np.array([any(x in data[off[i]:off[i + 1]].tobytes() for x in self.added) for i in range(n)])
+            keep = ~whole[text] | (starts == off[text])
+            starts, text = starts[keep], text[keep]
+            apart = whole[text]
+        ends = np.append(starts[1:], len(data))
+        ids, sizes = self._of_pieces(data, starts, ends, apart)
+        counts = np.bincount(text, sizes, n).astype(np.int64)
+        return ids, np.concatenate([[0], np.cumsum(counts)])
+
+    def _holds_added(self, data: np.ndarray) -> bool:
+        raw = data.tobytes()
+        return any(x in raw for x in self.added)
+
+    def _of_pieces(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, apart: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        size = ends - starts
+        h = C.run_hashes(data, starts, ends)
+        place = (h & np.uint64(PLACES - 1)).astype(np.int64)
+        at = self.at[place]
+        known = (self.hashes[place] == h) & (at[:, 1] == size) & (size <= KEPT_LENGTH)
+        if apart is not None:
+            known &= ~apart
+        k = np.flatnonzero(known)
+        same = self.bytes.data[spread(at[k, 0].astype(np.int64), size[k])] == data[spread(starts[k], size[k])]
+        if not same.all():  # equal hashes of different bytes
+            begin = np.cumsum(size[k]) - size[k]
+            known[k[~np.logical_and.reduceat(same, begin)]] = False
+            k = np.flatnonzero(known)
+        new = np.flatnonzero(~known)
+        id_at, id_size = at[:, 2].astype(np.int64), at[:, 3].astype(np.int64)
+        if len(new):
+            raw = data.tobytes()
+            pieces = [raw[s:e] for s, e in zip(starts[new].tolist(), ends[new].tolist())]
+            number: dict[bytes, int] = {}
+            which = np.fromiter((number.setdefault(x, len(number)) for x in pieces), np.int64, len(pieces))
+            learnt, sizes = self._learn(list(number))
+            begin, base = np.cumsum(sizes) - sizes, self.ids.n
+            id_at[new], id_size[new] = base + begin[which], sizes[which]
+            self.ids.add(learnt)
+        out = self.ids.data[spread(id_at, id_size)]
+        if len(new):
+            self.ids.n = base  # of all that was learnt, short pieces whose places are free stay
+            if self.filled > PLACES // 2:
+                self._clear()
+            first = np.zeros(len(number), np.int64)
+            first[which[::-1]] = new[::-1]
+            short = np.flatnonzero((size[first] <= KEPT_LENGTH) & (self.at[place[first], 1] == 0))
+            if apart is not None:
+                short = short[~apart[first[short]]]
+            self.filled += len(short)
+            first, sizes, begin = first[short], sizes[short], begin[short]
+            i = self.ids.add(learnt[spread(begin, sizes)])
+            b = self.bytes.add(data[spread(starts[first], size[first])])
+            self.hashes[place[first]] = h[first]
+            self.at[place[first]] = np.stack([b + np.cumsum(size[first]) - size[first], size[first], i + np.cumsum(sizes) - sizes, sizes], axis=1)
+        return out, id_size
 
 
 @lru_cache(maxsize=1)
@@ -167,31 +259,33 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, sequence: int = SEQU
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType)] + T.StructType.fromDDL(RESULT).fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        encode = encoder(tokenizer_path)
         base, number = TaskContext.get().partitionId() << 33, 0
-        ids, texts, size = [], [], 0
+        ids, counts, texts, size = [], [], [], 0
 
         def group() -> pa.RecordBatch:
             nonlocal number
-            lengths = np.array([len(x) // 4 for x in texts], np.int64)
+            lengths = np.concatenate(counts)
+            begin, tokens = np.cumsum(lengths) - lengths, np.concatenate(texts)
             rows = pack(lengths, sequence)
             d, start, length, seq, offset = (np.array(x, np.int64) for x in zip(*rows))
-            crc = [zlib.crc32(texts[i][4 * s:4 * (s + n)]) for i, s, n, _, _ in rows]
+            raw = memoryview(tokens).cast("B")
+            crc = [zlib.crc32(raw[4 * s:4 * (s + n)]) for s, n in zip((begin[d] + start).tolist(), length.tolist())]
             first, number = base + number, number + int(seq.max()) + 1
-            return pa.record_batch([pa.array([ids[i] for i in d.tolist()], kind), pa.array(start), pa.array(length), pa.array(crc, pa.int64()),
+            return pa.record_batch([pa.concat_arrays(ids).take(pa.array(d)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()),
                                     pa.array(lengths[d]), pa.array(seq + first), pa.array(offset)], schema.names)
 
-        kind = None
         for batch in batches:
-            kind = batch.schema.field(0).type
             for a, b in C.slices(batch.column(1)):
-                new = [x + end for x in encode([x or "" for x in batch.column(1)[a:b].to_pylist()])]
-                ids += batch.column(0)[a:b].to_pylist()
-                texts += new
-                size += sum(map(len, new)) // 4
+                data, off = C.utf8(batch.column(1).slice(a, b - a))
+                tokens, at = encode(data, off)
+                ids.append(batch.column(0).slice(a, b - a))
+                texts.append(np.insert(tokens, at[1:], end_id).astype("<u4"))  # the end id after each text's ids
+                counts.append(np.diff(at) + 1)
+                size += len(texts[-1])
                 if size >= group_tokens:
                     yield group()
-                    ids, texts, size = [], [], 0
+                    ids, counts, texts, size = [], [], [], 0
         if texts:
             yield group()
 

@@ -3,8 +3,11 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from frauddeck.llm import common as C
+from frauddeck.llm import packing
 from frauddeck.llm.packing import Encoder, pack, pack_documents
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -14,7 +17,6 @@ PATH = P.path("byte_bpe_50k.json")
 
 def plain(text):
     t = tokenizers.Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids + [1]
 
 
@@ -45,9 +47,29 @@ def check(rows, docs, most=2048):
 def test_encoder_cuts_where_words_begin():
     texts = ["", " x", "x ", "a  b\n c \t d", "\n\n a", "don't stop 12 34 é  ñ b c　 d", "\x1c a \x1db c", "<|endoftext|> a <|endoftext|>", "hi\r\n there", "١٢ क्ष a",
              "foo.\nBar \nx y\n", "a\nb\n\nc d \n\n e f\n g", "a\n'll\n b 's", "w" * 5000 + " " + "w" * 60 + " w"]
-    got = Encoder(PATH)(texts)
-    for t, ids in zip(texts, got):
-        assert np.frombuffer(ids, "<u4").tolist() == (plain(t)[:-1] if t else []), t
+    texts += ["x " + s + "y" for s in ("\u00a0", "\u2003", "\u3000", "\u0085", "\u1680", "\u200b")] + ["a\u00a0 b", "é\u2009 c 漢 字\n漢", "😀 😀 a", "<|endof text|> b", "x<|endoftext|>", "\x1c\x1f \x7f a", "it's 's' '.a ''s 1st 2.5x x2 a1b2 a.b,c;d'll we've ''ve x'1 9's", "\n\na\n\n b\n c", "é's é.b é1 ñ,", "a\n", "\na", "don\u2019t \u201ca\u201d b", "Ġ a", "a\tb \tc\n\td"]
+    encode = Encoder(PATH)
+    for _ in range(2):  # the second time most pieces are known
+        ids, at = encode(*C.utf8(pa.array(texts)))
+        for i, t in enumerate(texts):
+            assert ids[at[i]:at[i + 1]].tolist() == (plain(t)[:-1] if t else []), t
+
+
+def test_encoder_keeps_little_and_tells_equal_hashes(monkeypatch):
+    """A few places: pieces come and go. One hash for all: bytes decide."""
+    texts = pa.array([" ".join(f"w{i * k % 97}" for i in range(200)) for k in range(1, 20)])
+    want = [plain(t)[:-1] for t in texts.to_pylist()]
+
+    def check():
+        encode = Encoder(PATH)
+        for _ in range(2):
+            ids, at = encode(*C.utf8(texts))
+            assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == want
+    monkeypatch.setattr(packing, "PLACES", 4)
+    check()
+    monkeypatch.undo()
+    monkeypatch.setattr(C, "run_hashes", lambda data, s, e: np.zeros(len(s), np.uint64) + np.uint64(5))
+    check()
 
 
 def test_tables(spark, sf_dir):
