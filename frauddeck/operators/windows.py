@@ -4,9 +4,9 @@ Every history feature is "what happened before this row for the same entity, in
 (timestamp, id) order". For ordinary entities that is one plain window per entity key: one
 exchange and one sort. It breaks when one customer / terminal / merchant holds a third of the
 rows, so :func:`prior_history` first asks whether any key has more than ``rows_per_bucket``
-rows (a count, and only for larger inputs a count per key). If so, it splits the timeline of
-every such *hot* entity into contiguous time ranges of about equal row counts and works in two
-levels:
+rows (a count, and only for larger inputs a count per key). If so, the rows of every such *hot* entity
+are numbered in (entity, timestamp, id) order, a distributed row number, and cut into buckets of
+equal numbers of rows, be they spread over years or all in one second; then it works in two levels:
 
 * local windows over ``(entity, bucket)``;
 * a per-bucket summary (rows, sums, mean and squared deviations, max/min, last row, last ``n``
@@ -19,6 +19,9 @@ row with a null key has no history: it is an entity of its own and keeps its pla
 
 Trailing time-window counts (E11) use "halo" rows: each row is copied into the next bucket of
 width = the window length, so a RANGE frame inside ``(entity, bucket)`` sees everything it needs.
+Entities with more than ``rows_per_bucket`` rows in two such buckets are counted by ranks instead:
+rows and, for each window, a probe at ``t - w`` are merged in one range-partitioned order, and the
+count is the difference of two running counts, wherever a range ends.
 """
 
 from __future__ import annotations
@@ -33,25 +36,18 @@ US = 1_000_000
 DAY = 86_400
 
 
-def _hot_keys(d: DataFrame, keys: list[str], rows_per_bucket: int, max_hot: int = 100_000) -> DataFrame | None:
-    """``(keys, _cuts)`` of the keys with more rows than a bucket should hold; None without any.
+def _hot_keys(d: DataFrame, keys: list[str], rows_per_bucket: int, max_hot: int = 100_000, n: int | None = None) -> tuple[DataFrame | None, int]:
+    """The keys with more rows than a bucket should hold (None without any), and that number.
 
-    ``thr = max(rows_per_bucket, ceil(N / max_hot))``, so there are at most ``max_hot`` such keys.
-    ``_cuts`` are timestamps that split a key's rows into buckets of about ``thr / 2`` rows, from
-    approximate quantiles of its own rows, so that bursts are split too. (Rows sharing one
-    timestamp cannot be separated and stay in one bucket.)
+    It is ``max(rows_per_bucket, ceil(N / max_hot))``, so there are at most ``max_hot`` such keys.
+    ``n`` is the number of rows, if the caller knows it.
     """
-    n = d.count()
-    if n <= rows_per_bucket:
-        return None
+    n = d.count() if n is None else n
     thr = max(rows_per_bucket, -(-n // max_hot))
-    hot = d.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_kn")).filter(F.col("_kn") > thr)
-    largest = hot.agg(F.max("_kn")).first()[0]
-    if largest is None:
-        return None
-    parts = min(-(-2 * largest // thr), 10_000)
-    cuts = F.percentile_approx("_us", [i / parts for i in range(1, parts)], 10 * parts)
-    return d.join(F.broadcast(hot.select(*keys)), keys, "left_semi").groupBy(*keys).agg(F.array_distinct(cuts).alias("_cuts"))
+    if n <= rows_per_bucket:
+        return None, thr
+    hot = d.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_kn")).filter(F.col("_kn") > thr).select(*keys)
+    return (hot.withColumn("_hot", F.lit(True)) if hot.head(1) else None), thr
 
 
 def _std(n: Column, m2: Column, mn: Column, mx: Column) -> Column:
@@ -82,43 +78,65 @@ def _plain_history(d: DataFrame, keys: list[str], tid: str, lags: list[str], las
 
 def prior_history(df: DataFrame, keys: list[str], *, ts: str = "TX_TS", tid: str = "TX_ID",
                   value: str | None = "TX_AMOUNT", lags: list[str] = (), last_n: list[int] = (),
-                  rows_per_bucket: int = 1_000_000, p: str = "_h") -> DataFrame:
+                  rows_per_bucket: int = 1_000_000, p: str = "_h", n_rows: int | None = None,
+                  finer: list[str] = (), finer_p: str = "_f") -> DataFrame:
     """Add helper columns describing each row's prior history inside ``keys``.
 
-    ``rows_per_bucket`` only chooses the plan (see the module's text), never the values.
+    ``rows_per_bucket`` only chooses the plan (see the module's text), never the values; ``n_rows``,
+    the number of rows if it is known, saves counting them.
 
     Added columns (``p`` = prefix):
       ``{p}rn``        1-based row number in (ts, tid) order
       ``{p}cnt``       prior non-null values            ``{p}sum / {p}std / {p}max / {p}min``
       ``{p}prev_<c>``  previous row's ``c`` for each ``c`` in ``lags`` (``_us`` = time in us)
       ``{p}l<n>_cnt / _sum / _std / _min / _max``  over the previous ``n`` rows (rows -n..-1)
+    With ``finer``, also ``{finer_p}rn`` and ``{finer_p}prev__us`` within ``keys`` and those columns
+    together; for ordinary keys that takes a sort, but no exchange of its own.
     """
-    keys = list(keys)
+    keys, finer = list(keys), list(finer)
     lags = list(dict.fromkeys(["_us", *lags]))
     last_n = sorted(set(last_n))
     d = df.withColumn("_us", epoch_us(ts)).withColumn("_v", F.col(value).cast("double") if value else F.lit(None).cast("double"))
     missing = F.lit(False)
     for k in keys:
         missing = missing | F.col(k).isNull()
-    d = d.withColumn("_solo", F.when(missing, F.col(tid).cast("string")))
-    hot = _hot_keys(d, keys, rows_per_bucket)
     names = df.columns
+    hot, thr = _hot_keys(d, keys, rows_per_bucket, n=n_rows)
 
     def plain(rows: DataFrame) -> DataFrame:
-        cols = _plain_history(rows, [*keys, "_solo"], tid, lags, last_n, p)
+        # a mark for each key, so that rows dealt out by the first keys need not move for more keys
+        solo = {f"_solo_{k}": F.when(F.col(k).isNull(), F.col(tid).cast("string")) for k in [*keys, *finer]}
+        rows = rows.withColumns(solo)
+        marked = lambda ks: [x for k in ks for x in (k, f"_solo_{k}")]
+        cols = _plain_history(rows, marked(keys), tid, lags, last_n, p)
+        if finer:
+            within = _plain_history(rows, marked([*keys, *finer]), tid, ["_us"], [], finer_p)
+            cols |= {x: within[x] for x in (f"{finer_p}rn", f"{finer_p}prev__us")}
         return rows.select(*names, *[c.alias(x) for x, c in cols.items()])
 
     if hot is None:
         return plain(d)
-    bucketed = _bucket_history(d.filter(~missing), names, keys, hot, tid, lags, last_n, p)
-    return bucketed.unionByName(plain(d.filter(missing)))
+    rest, finer = finer, []
+    out = _bucket_history(d.filter(~missing), names, keys, hot, thr, tid, lags, last_n, p).unionByName(plain(d.filter(missing)))
+    if rest:
+        within = prior_history(out, [*keys, *rest], ts=ts, tid=tid, value=None, rows_per_bucket=rows_per_bucket, p=finer_p, n_rows=n_rows)
+        out = within.select(*out.columns, f"{finer_p}rn", f"{finer_p}prev__us")
+    return out
+
+
+def _with_buckets(d: DataFrame, keys: list[str], hot: DataFrame, thr: int, tid: str) -> DataFrame:
+    """``_b``: 0 for ordinary keys; the rows of hot ones, in (key, time, id) order, in buckets of at
+    most half of ``thr`` rows."""
+    d = d.join(F.broadcast(hot), keys, "left")  # bounded by _hot_keys
+    many = globalrank.row_number_within(d.filter("_hot"), [], [*[F.col(k) for k in keys], F.col("_us"), F.col(tid)], out="_b")
+    many = many.withColumn("_b", F.floor((F.col("_b") - 1) / max(thr // 2, 1)).cast("bigint"))
+    return many.drop("_hot").unionByName(d.filter(F.col("_hot").isNull()).drop("_hot").withColumn("_b", F.lit(0).cast("bigint")))
 
 
-def _bucket_history(d: DataFrame, names: list[str], keys: list[str], hot: DataFrame, tid: str, lags: list[str], last_n: list[int], p: str) -> DataFrame:
+def _bucket_history(d: DataFrame, names: list[str], keys: list[str], hot: DataFrame, thr: int, tid: str, lags: list[str], last_n: list[int], p: str) -> DataFrame:
     """The helper columns by local windows and offsets of the buckets before (keys not null)."""
     tail_n = max(last_n) if last_n else 0
-    d = d.join(F.broadcast(hot), keys, "left")  # bounded by _hot_keys
-    d = d.withColumn("_b", F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda c: c < F.col("_us")))).cast("bigint")).drop("_cuts")
+    d = _with_buckets(d, keys, hot, thr, tid)
     wl = Window.partitionBy(*keys, "_b").orderBy("_us", tid)
     prior = wl.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys, "_b")
@@ -225,7 +243,7 @@ def _bucket_history(d: DataFrame, names: list[str], keys: list[str], hot: DataFr
 
 def history_block(base: DataFrame, keys: list[str], features, *, ts: str = "TX_TS", tid: str = "TX_ID",
                   value: str | None = "TX_AMOUNT", lags: list[str] = (), last_n: list[int] = (),
-                  extra: list[str] = (), p: str = "_h", rows_per_bucket: int = 1_000_000) -> DataFrame:
+                  extra: list[str] = (), p: str = "_h", rows_per_bucket: int = 1_000_000, n_rows: int | None = None) -> DataFrame:
     """History features of one entity key computed on a narrow projection: ``(tid, features...)``.
 
     ``features`` maps output names to Columns over the :func:`prior_history` helper columns
@@ -235,7 +253,7 @@ def history_block(base: DataFrame, keys: list[str], features, *, ts: str = "TX_T
     """
     cols = list(dict.fromkeys([*keys, ts, tid, *([value] if value else []), *lags, *extra]))
     h = prior_history(base.select(*cols), keys, ts=ts, tid=tid, value=value, lags=lags, last_n=last_n,
-                      rows_per_bucket=rows_per_bucket, p=p)
+                      rows_per_bucket=rows_per_bucket, p=p, n_rows=n_rows)
     feats = features(h) if callable(features) else features
     return h.select(tid, *[c.alias(n) for n, c in feats.items()])
 
@@ -296,28 +314,55 @@ def add_recent_row_count(df: DataFrame, keys: list[str], out: str, n: int, *,
 
 
 def add_time_window_counts(df: DataFrame, key: str, windows: dict[str, int] | None = None, *,
-                           ts: str = "TX_TS", tid: str = "TX_ID") -> DataFrame:
+                           ts: str = "TX_TS", tid: str = "TX_ID", rows_per_bucket: int = 1_000_000) -> DataFrame:
     """Rows of the same entity in ``(t - w, t]`` before this row (pandas tie rule).
 
     Among rows with the same timestamp only those earlier in id order count; a null key counts
-    none. Columns are named ``count_<label>_<key>``. A row lands in its own bucket (as wide as the
-    widest window) and, as a halo, in the next one, so each ``(key, bucket)`` is self-contained
-    for every window: one exchange and one sort of narrow rows for all of them, and one join back
-    on ``tid`` (which must be unique). Limit: a key's rows inside two buckets share a task.
+    none. Columns are named ``count_<label>_<key>``; ``tid`` must be unique. Ordinary entities take one
+    exchange of halo rows, those with over ``rows_per_bucket`` rows within two windows are counted by
+    ranks (see the module's text); that choice never changes a value.
     """
     windows = windows or {"24h": DAY, "7d": 7 * DAY}
     names = {label: f"count_{label}_{key}" for label in windows}
-    own = F.floor(F.col("_us") / F.lit(max(windows.values()) * US)).cast("bigint")
+    d = df.select(key, tid, epoch_us(ts).alias("_us")).filter(F.col(key).isNotNull())
+    width = max(windows.values()) * US
+    hot, n = None, d.count()
+    if n > rows_per_bucket:
+        least = max(rows_per_bucket, -(-n // 100_000)) // 2
+        hot = d.groupBy(key, F.floor(F.col("_us") / width).alias("_tb")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > least)
+        hot = hot.select(key).distinct()  # at most 200,000 keys
+        hot = hot if hot.head(1) else None
+    if hot is None:
+        counts = _halo_counts(d, key, windows, names, tid, width)
+    else:
+        hot = F.broadcast(hot)
+        counts = _halo_counts(d.join(hot, key, "left_anti"), key, windows, names, tid, width).unionByName(_rank_counts(d.join(hot, key, "left_semi"), key, windows, names, tid))
+    return df.join(counts, tid, "left").fillna(0, subset=list(names.values()))
+
+
+def _halo_counts(d: DataFrame, key: str, windows: dict[str, int], names: dict[str, str], tid: str, width: int) -> DataFrame:
+    """A row lands in its own bucket (as wide as the widest window) and, as a halo, in the next one, so
+    each ``(key, bucket)`` is self-contained for every window: one exchange and one sort."""
+    own = F.floor(F.col("_us") / F.lit(width)).cast("bigint")
     copies = F.array(F.struct(own.alias("_tb"), F.lit(True).alias("_is_own")), F.struct((own + 1).alias("_tb"), F.lit(False).alias("_is_own")))
-    u = (df.select(key, tid, epoch_us(ts).alias("_us")).filter(F.col(key).isNotNull())
-           .select(key, tid, "_us", F.inline(copies)))
+    u = d.select(key, tid, "_us", F.inline(copies))
     part = Window.partitionBy(key, "_tb")
     # rows before this one in (ts, id) order, minus those at or before t - w: exactly the
     # earlier rows inside (t - w, t], equal timestamps counted only when earlier by id
     before = F.row_number().over(part.orderBy("_us", tid)) - 1
     too_old = {label: F.count(F.lit(1)).over(part.orderBy("_us").rangeBetween(Window.unboundedPreceding, -secs * US)) for label, secs in windows.items()}
-    counts = u.select(tid, "_is_own", *[F.greatest(before - too_old[x], F.lit(0)).cast("bigint").alias(n) for x, n in names.items()]).filter("_is_own").drop("_is_own")
-    return df.join(counts, tid, "left").fillna(0, subset=list(names.values()))
+    return u.select(tid, "_is_own", *[F.greatest(before - too_old[x], F.lit(0)).cast("bigint").alias(n) for x, n in names.items()]).filter("_is_own").drop("_is_own")
+
+
+def _rank_counts(d: DataFrame, key: str, windows: dict[str, int], names: dict[str, str], tid: str) -> DataFrame:
+    """Running counts over rows (kind 0) and probes (kind 1, at ``t - w``, after the rows of that time)
+    in one order; a row's count less its probe's, less itself, is what lies between."""
+    probes = [F.struct((F.col("_us") - secs * US).alias("_at"), F.lit(i + 1).alias("_kind"), F.lit(0).alias("_one")) for i, secs in enumerate(windows.values())]
+    own = F.struct(F.col("_us").alias("_at"), F.lit(0).alias("_kind"), F.lit(1).alias("_one"))
+    u = d.select(key, tid, F.inline(F.array(own, *probes)))
+    ranked = globalrank.prefix_sums(u, [F.col(key), F.col("_at"), F.col("_kind"), F.col(tid)], ["_one"])
+    at = {i: F.max(F.when(F.col("_kind") == i, F.col("_cum__one"))) for i in range(len(windows) + 1)}
+    return ranked.groupBy(tid).agg(*[F.greatest(at[0] - 1 - at[i + 1], F.lit(0)).cast("bigint").alias(n) for i, n in enumerate(names.values())])
 
 
 def add_prev_location(df: DataFrame, key: str, x: str, y: str, *, gap_col: str | None = None,
@@ -343,6 +388,19 @@ def add_entity_stats(df: DataFrame, key: str, value: str, stats: dict[str, str])
     return df.join(agg, key, "left")
 
 
-def add_rank_pct(df: DataFrame, value: str, out: str, *, keys: list[str] = ()) -> DataFrame:
-    """Average-method percentile rank (pandas ``rank(pct=True)``)."""
-    return globalrank.with_avg_rank_pct(df, value, out, keys=list(keys))
+def add_rank_pct(df: DataFrame, value: str, out: str, *, keys: list[str] = (), rows_per_bucket: int = 1_000_000, n_rows: int | None = None) -> DataFrame:
+    """Average-method percentile rank (pandas ``rank(pct=True)``): windows by ``keys`` where no
+    key has more than ``rows_per_bucket`` rows, else running counts (the same values). Rows with a
+    null key or value have no rank."""
+    keys = list(keys)
+    if not keys or _hot_keys(df, keys, rows_per_bucket, n=n_rows)[0] is not None:
+        return globalrank.with_avg_rank_pct(df, value, out, keys=keys)
+    missing = F.lit(False)
+    for k in keys:
+        missing = missing | F.col(k).isNull()
+    d = df.withColumn("_solo", F.when(missing, F.monotonically_increasing_id()))
+    whole = Window.partitionBy(*keys, "_solo")
+    below = F.rank().over(whole.orderBy(F.col(value).asc_nulls_last())) - 1
+    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, "_solo", value))
+    pct = (below + (ties + 1) / 2.0) / F.count(value).over(whole)
+    return d.withColumn(out, F.when(~missing & F.col(value).isNotNull(), pct)).drop("_solo")

@@ -113,15 +113,52 @@ def test_rows_with_a_null_key_stay(spark):
     assert len(got) == 8 and all(got[i] == -1.0 for i in (1, 3, 5, 7)) and got[2] == 7200.0
 
 
+def _burst(one_second=700, others=1300):
+    """A third of all rows lie in one second of one key; the others in ties over other keys and days."""
+    rnd = random.Random(11)
+    start = _ts("2024-01-01 00:00")
+    rows = [(i, start + dt.timedelta(hours=100), "HOT", 1.0 + i % 7) for i in range(one_second)]
+    rows += [(one_second + i, start + dt.timedelta(hours=rnd.randint(0, 400)), rnd.choice(["HOT", "a", "b", None]), rnd.uniform(0, 9)) for i in range(others)]
+    rnd.shuffle(rows)
+    return rows
+
+
 def test_hot_key_is_split_by_its_own_rows(spark):
-    rows = [(i, _ts("2024-01-01 00:00") + dt.timedelta(minutes=7 * i), "HOT" if i % 3 else f"c{i % 5}", 1.0) for i in range(3000)]
-    rows.append((9999, _ts("1990-01-01 00:00"), "HOT", 1.0))  # a burst after one early row
-    df = spark.createDataFrame(rows, SCHEMA).withColumn("_us", F.unix_micros("TX_TS"))
-    assert W._hot_keys(df, ["CUSTOMER_ID"], 5000) is None
-    hot = W._hot_keys(df, ["CUSTOMER_ID"], 250)  # HOT has 2001 rows, the c* keys 200 each
-    assert [r[0] for r in hot.select("CUSTOMER_ID").collect()] == ["HOT"]
-    cut = df.join(hot, "CUSTOMER_ID").withColumn("b", F.size(F.filter("_cuts", lambda c: c < F.col("_us"))))
-    assert cut.groupBy("b").count().agg(F.max("count")).first()[0] <= 250
+    df = spark.createDataFrame(_burst(), SCHEMA).withColumn("_us", F.unix_micros("TX_TS"))
+    assert W._hot_keys(df, ["CUSTOMER_ID"], 5000)[0] is None
+    hot, thr = W._hot_keys(df, ["CUSTOMER_ID"], 500)
+    assert [r[0] for r in hot.select("CUSTOMER_ID").collect()] == ["HOT"] and thr == 500
+    cut = W._with_buckets(df.filter("CUSTOMER_ID is not null"), ["CUSTOMER_ID"], hot, thr, "TX_ID")
+    assert cut.groupBy("CUSTOMER_ID", "_b").count().agg(F.max("count")).first()[0] <= 500  # even the rows of one second
+
+
+@pytest.mark.parametrize("rows_per_bucket", [1_000_000, 60])
+def test_a_burst_in_one_second(spark, rows_per_bucket):
+    rows = _burst(120, 240)
+    df = spark.createDataFrame(rows, SCHEMA)
+    _same(_history(df, rows_per_bucket=rows_per_bucket), _plain(rows))
+    windows = {"24h": 86400, "7d": 7 * 86400}
+    out = W.add_time_window_counts(df, "CUSTOMER_ID", windows, rows_per_bucket=rows_per_bucket)
+    got = {r["TX_ID"]: (r["count_24h_CUSTOMER_ID"], r["count_7d_CUSTOMER_ID"]) for r in out.collect()}
+    for tx, ts, cust, _ in rows:
+        before = [t for x, t, c, _ in rows if c == cust and cust is not None and (t, x) < (ts, tx)]
+        assert got[tx] == tuple(sum((ts - t).total_seconds() < w for t in before) for w in windows.values()), tx
+
+
+def test_burst_counts_spread_over_ranges(spark):
+    """Counts by ranks: rows of one second of one key lie in several ranges, none with more than its share."""
+    from frauddeck.operators import globalrank
+    seen = []
+    real = globalrank.prefix_sums
+    df = spark.createDataFrame(_burst(), SCHEMA)
+    try:
+        globalrank.prefix_sums = lambda d, order, sums, **k: seen.append((d, order)) or real(d, order, sums, **k)
+        W.add_time_window_counts(df, "CUSTOMER_ID", rows_per_bucket=400).count()
+    finally:
+        globalrank.prefix_sums = real
+    (d, order), = seen
+    sizes = [r["count"] for r in d.repartitionByRange(8, *order).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * sum(sizes) / 8
 
 
 def test_ordinary_keys_cost_one_exchange(spark, six):
