@@ -1,4 +1,4 @@
-"""Fraud-rate profiling and descriptive statistics.
+"""Fraud-rate profiling and descriptive statistics.
 
 All reports are grouped aggregations (partial + final hash aggregation) over the fact
 table; NULL group keys are dropped first (pandas ``groupby`` semantics, SURVEY N2).
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from frauddeck.operators import globalrank
 from frauddeck.operators.attach import attach_row
+from frauddeck.operators.tails import pearson_p_value
 
 
 def overall_rate(df: DataFrame, label: str = "TX_FRAUD") -> DataFrame:
@@ -156,7 +157,7 @@ def entity_fraud_profile(df: DataFrame, key: str, label: str = "TX_FRAUD") -> Da
 
 
 def distinct_values(tables: dict[str, DataFrame], columns: list[str], max_list: int = 20) -> DataFrame:
-    """D16 / A5 / G2 (G3, column-wise concat of feature blocks, is a single ``select``): distinct values of categorical columns across several tables.
+    """Distinct values of categorical columns across several tables.
 
     One unpivot per table into ``(column, value)`` strings, union, distinct; per column the
     count, min, max and the sorted list only when it has at most ``max_list`` values. The list
@@ -218,7 +219,7 @@ def conditional_rates(df: DataFrame, flags: list[str], label: str = "TX_FRAUD")
 
 def label_correlations(df: DataFrame, features: list[str], label: str = "TX_FRAUD",
                        min_non_null: int = 100) -> DataFrame:
-    """Pearson r of each feature (NULL -> 0) with the label, ranked by |r|.
+    """Pearson r of each feature (NULL -> 0) with the label, and its two-sided p-value.
 
     One aggregation computes every r and non-null count; features with at most
     ``min_non_null`` non-null values are dropped.
@@ -234,7 +235,7 @@ def label_correlations(df: DataFrame, features: list[str], label: str = "TX_FRAU
                  F.col(f"n__{f}").alias("non_null")) for f in features])).alias("s")).select("_rows", "s.*")
     return (long.filter((F.col("non_null") > min_non_null) & F.col("correlation").isNotNull())
                 .select("feature", "correlation", F.abs("correlation").alias("abs_correlation"),
-                        F.col("_rows").alias("n")))
+                        F.col("_rows").alias("n"), pearson_p_value(F.col("correlation"), F.col("_rows")).alias("p_value")))
 
 
 def percentile_flag(df: DataFrame, value: str, q: float = 0.95, out: str = "is_top_pct") -> DataFrame:
@@ -275,7 +276,8 @@ def score_moments(df: DataFrame, score: str) -> DataFrame:
 
 
 def positive_amount_moments(df: DataFrame, amount: str = "TX_AMOUNT", label: str = "TX_FRAUD") -> DataFrame:
-    """Mean, population std, min, max of amounts of positive rows (moment fit)."""
+    """Mean, population std, min, max of amounts of positive rows (:mod:`frauddeck.operators.tails` has
+    the truncated normal)."""
     pos = df.filter(F.col(label) == 1)
     return pos.agg(F.avg(amount).alias("mu"), F.stddev_pop(amount).alias("sigma"),
                    F.min(amount).alias("lo"), F.max(amount).alias("hi"), F.count(F.lit(1)).alias("n"))

@@ -84,3 +84,21 @@ def membership_flag(df: DataFrame, ids: DataFrame, key: str, out: str) -> DataFr
 def anti_filter(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not in ``ids``."""
     return df.join(ids.select(key), key, "left_anti")
+
+
+def concat_blocks(blocks: list[DataFrame], id_col: str = "TX_ID") -> DataFrame:
+    """Feature blocks of the same rows side by side, joined on the id (unique in each block).
+
+    Rows that a block lacks have nulls in its columns. A column name that two blocks share is an
+    error, as it would be lost or doubled.
+    """
+    seen: dict[str, int] = {}
+    for i, b in enumerate(blocks):
+        for c in b.columns:
+            if c != id_col and c.lower() in seen:
+                raise ValueError(f"blocks {seen[c.lower()]} and {i} both have a column {c}")
+            seen[c.lower()] = i
+    out = blocks[0]
+    for b in blocks[1:]:
+        out = out.join(b, id_col, "full")
+    return out

@@ -293,13 +293,22 @@ CORR_FEATS = {"TX_AMOUNT": "TX_AMOUNT", "TRANSACTION_CASHBACK_AMOUNT": "TRANSACT
               "ANNUAL_TURNOVER": "ANNUAL_TURNOVER", "AVERAGE_TICKET_SALE_AMOUNT": "AVERAGE_TICKET_SALE_AMOUNT"}
 
 
-@query("d21_label_correlations", " UNION ALL ".join(
-    f"""SELECT '{f}' AS feature, ROUND(corr(COALESCE(CAST({e} AS DOUBLE), 0), CAST(TX_FRAUD AS DOUBLE)), 6) AS correlation,
-      ROUND(abs(corr(COALESCE(CAST({e} AS DOUBLE), 0), CAST(TX_FRAUD AS DOUBLE))), 6) AS abs_correlation, COUNT(*) AS n
-      FROM {STAR.replace('tx ', 'ltx ', 1)} HAVING COUNT({e}) > 100""" for f, e in CORR_FEATS.items()))
+def _student_sql(c: str, n: str) -> str:
+    """The two-sided tail by the finite sums for even and odd degrees of freedom (another way than the
+    library's continued fraction)."""
+    rr = f"(1 - {c} * {c})"
+    even = f"list_sum(list_transform(range(0, ({n} - 2) // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1.0) + k * ln({rr})))) * abs({c}) / sqrt(pi())"
+    odd = (f"(asin(abs({c})) + abs({c}) * sqrt({rr}) * list_sum(list_transform(range(0, ({n} - 3) // 2), "
+           f"lambda k: exp(lgamma(k + 1.0) - lgamma(k + 1.5) + k * ln({rr})))) * sqrt(pi()) / 2) * 2 / pi()")
+    return f"1 - CASE WHEN {n} % 2 = 0 THEN {even} ELSE {odd} END"
+
+
+@query("d21_label_correlations", f"SELECT feature, ROUND(c, 6) AS correlation, ROUND(abs(c), 6) AS abs_correlation, n, ROUND({_student_sql('c', 'n')}, 6) AS p_value FROM (" + " UNION ALL ".join(
+    f"""SELECT '{f}' AS feature, corr(COALESCE(CAST({e} AS DOUBLE), 0), CAST(TX_FRAUD AS DOUBLE)) AS c, COUNT(*) AS n
+      FROM {STAR.replace('tx ', 'ltx ', 1)} HAVING COUNT({e}) > 100""" for f, e in CORR_FEATS.items()) + ")")
 def d21_label_correlations(spark, sf):
     d = P.label_correlations(joined(spark, sf, "lineitem"), list(CORR_FEATS))
-    return d.select("feature", r("correlation").alias("correlation"), r("abs_correlation").alias("abs_correlation"), "n")
+    return d.select("feature", r("correlation").alias("correlation"), r("abs_correlation").alias("abs_correlation"), "n", r("p_value").alias("p_value"))
 
 
 @query("d22_top5pct_amount_flag", """
@@ -370,6 +379,13 @@ def d27_fraud_amount_moments(spark, sf):
     return d.select(r("mu").alias("mu"), r("sigma", 4).alias("sigma"), "lo", "hi", "n")
 
 
+@query("d27_truncated_normal")
+def d27_truncated_normal(spark, sf):
+    """The normal, cut to the observed range, that fits the fraud amounts best."""
+    from frauddeck.operators.tails import truncated_normal
+    return truncated_normal(ltx(spark, sf))
+
+
 @query("f3_scores_sorted", """
 SELECT TX_ID, ROUND(TX_FRAUD, 6) AS TX_FRAUD, row_number() OVER (ORDER BY TX_FRAUD DESC, TX_ID) AS place FROM scores_b""")
 def f3_scores_sorted(spark, sf):
@@ -402,7 +418,7 @@ def f4_top_features_by_abs_corr(spark, sf):
 SELECT TX_ID, 'train' AS part FROM tx WHERE TX_TS < TIMESTAMP '2024-01-25'
 UNION ALL SELECT TX_ID, 'valid' AS part FROM tx WHERE TX_TS >= TIMESTAMP '2024-01-25'""")
 def g1_union_train_validation(spark, sf):
-    """G1 row union (G3 column-wise concat is a single select in every feature query)."""
+    """G1 row union."""
     t = tx(spark, sf)
     cut = F.lit("2024-01-25 00:00:00").cast("timestamp")
     a = t.filter(F.col("TX_TS") < cut).select("TX_ID", F.lit("train").alias("part"))
@@ -410,7 +426,20 @@ def g1_union_train_validation(spark, sf):
     return a.unionByName(b)
 
 
-_ = (ltx,)
+@query("g3_concat_feature_blocks", f"""
+SELECT tx.TX_ID, ROUND(TX_AMOUNT, 6) AS TX_AMOUNT, CAST(hour(TX_TS) AS BIGINT) AS hour, ROUND({DIST_SQL}, 6) AS distance,
+  ROUND(TX_AMOUNT / COUNT(*) OVER (PARTITION BY CUSTOMER_ID), 6) AS amount_per_tx FROM tx
+LEFT JOIN customers USING (CUSTOMER_ID) LEFT JOIN terminals USING (TERMINAL_ID)""")
+def g3_concat_feature_blocks(spark, sf):
+    """Numeric, calendar, distance and customer blocks, each from its own source, side by side."""
+    from frauddeck.operators.star import concat_blocks, star_join
+    v = views(spark, sf)
+    t = v["transactions"]
+    placed = star_join(t.select("TX_ID", "CUSTOMER_ID", "TERMINAL_ID"), v["customers"], v["terminals"])
+    per = t.join(t.groupBy("CUSTOMER_ID").agg(F.count(F.lit(1)).alias("_n")), "CUSTOMER_ID")
+    return concat_blocks([t.select("TX_ID", r("TX_AMOUNT").alias("TX_AMOUNT")), t.select("TX_ID", F.hour("TX_TS").cast("bigint").alias("hour")),
+                          placed.select("TX_ID", r(S.distance("x_customer_id", "y_customer_id", "x_terminal_id", "y_terminal_id")).alias("distance")),
+                          per.select("TX_ID", r(F.col("TX_AMOUNT") / F.col("_n")).alias("amount_per_tx"))])
 
 
 @query("f2_total_time_order", """
