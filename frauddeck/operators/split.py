@@ -79,9 +79,11 @@ def class_weight(df: DataFrame, label: str = "TX_FRAUD", factor: float = 1.0) ->
                     w.alias("scale_pos_weight"))
 
 
-def with_class_weight_col(df: DataFrame, label: str = "TX_FRAUD", out: str = "weight", factor: float = 1.0) -> DataFrame:
-    """J5 as a ``weightCol``: positives weighted ``neg/pos``, negatives 1."""
-    w = class_weight(df, label, factor).select("scale_pos_weight")
+def with_class_weight_col(df: DataFrame, label: str = "TX_FRAUD", out: str = "weight", factor: float = 1.0, *,
+                          fitted: DataFrame | None = None) -> DataFrame:
+    """J5 as a ``weightCol``: positives weighted ``neg/pos`` (of ``fitted``, a :func:`class_weight` of other
+    rows, if given), negatives 1."""
+    w = (fitted if fitted is not None else class_weight(df, label, factor)).select("scale_pos_weight")
     return (attach_row(df, w)
               .withColumn(out, F.when(F.col(label) == 1, F.col("scale_pos_weight")).otherwise(F.lit(1.0)))
               .drop("scale_pos_weight"))

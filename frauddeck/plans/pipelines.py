@@ -8,13 +8,14 @@ scalar is computed in one final projection so it does not widen the shuffled row
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from frauddeck.functions import scalars as S
 from frauddeck.operators import clean, encode, profile, split, star, windows as W
 from frauddeck.operators.globalrank import exact_quantile, with_avg_rank_pct
 from frauddeck.operators.attach import attach_row
+from frauddeck.sources.io import written
 
 
 def p1_clean(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -109,44 +110,41 @@ def p2_feature_table_v1(tx: DataFrame, customers: DataFrame, terminals: DataFram
 
 
 def p3_unified_features(tx: DataFrame, customers: DataFrame, terminals: DataFrame, merchants: DataFrame, *,
-                        label_source: DataFrame | None = None, bad_min_count: int = 5,
+                        label_source: DataFrame | None = None, reference: DataFrame | None = None, bad_min_count: int = 5,
                         bad_threshold: float = 1.0) -> DataFrame:
     """The unified ~100-feature table (D17, C1, E1-E6, E9, E10, E14, E17, H*, B1).
 
-    A repeated ``TX_ID`` keeps its earliest row. The wide rows are exchanged once, by ``TX_ID``;
-    customer, (customer, merchant) and terminal history and the merchant percentile run on
-    narrow projections that meet them there; dimensions are AQE-sized joins.
+    Terminals are flagged by the labels of ``label_source``; the median and the category shares are
+    those of ``reference`` (both default to ``tx``: give the training rows where others are scored).
+    A repeated ``TX_ID`` keeps its earliest row. One narrow row for each id is written and counted once;
+    customer (and, without another exchange, customer-merchant) history, terminal history and the
+    merchant percentile are windows over it, one after another, and meet the wide rows by
+    ``TX_ID`` at the end; dimensions are AQE-sized joins.
     """
-    tx = one_row_per_tx(tx)
+    base = one_row_per_tx(tx.select("TX_ID", *TX_ORDER).withColumn("_copies", F.count(F.lit(1)).over(Window.partitionBy("TX_ID"))))
+    base = written(base)
+    n, copies = base.agg(F.count(F.lit(1)), F.max("_copies")).first()
+    tx = tx if (copies or 1) == 1 else one_row_per_tx(tx)
     src = label_source if label_source is not None else tx
     bad = profile.compromised_entities(src, "TERMINAL_ID", min_count=bad_min_count, threshold=bad_threshold)
-    median = exact_quantile(tx, "TX_AMOUNT", 0.5).select(F.col("q_TX_AMOUNT").alias("_median"))
-
-    def cust(h):
-        out = {"_c_rn": F.col("_crn"), "_c_prev_us": F.col("_cprev__us"), "_c_pm": W.prior_mean("_c"),
-               "_c_ps": W.prior_std("_c"), "_c_px": F.col("_cmax"),
-               "_c_m10": (F.coalesce(F.col("_cl9_sum"), F.lit(0.0)) + F.col("TX_AMOUNT")) / (F.col("_cl9_cnt") + 1)}
-        for n in (3, 5, 10):
-            full = F.col(f"_cl{n}_cnt") == n
-            out[f"_c_l{n}_mean"] = F.when(full, W.lastn_mean(n, "_c"))
-            out[f"_c_l{n}_std"] = F.when(full, W.lastn_std(n, "_c"))
-        return out
-
-    blocks = [
-        W.history_block(tx, ["CUSTOMER_ID"], cust, last_n=[3, 5, 9, 10], p="_c"),
-        W.history_block(tx, ["CUSTOMER_ID", "MERCHANT_ID"], {"_m_rn": F.col("_mrn"), "_m_prev_us": F.col("_mprev__us")},
-                        value=None, p="_m"),
-        W.history_block(tx, ["TERMINAL_ID"], {"_t_rn": F.col("_trn"), "_t_prev_us": F.col("_tprev__us")},
-                        value=None, p="_t"),
-        with_avg_rank_pct(tx.select("TX_ID", "MERCHANT_ID", "TX_AMOUNT"), "TX_AMOUNT", "amount_percentile_merchant",
-                          keys=["MERCHANT_ID"]).select("TX_ID", "amount_percentile_merchant"),
-    ]
-    d = star.membership_flag(tx, bad, "TERMINAL_ID", "is_fraudulent_terminal")
-    for b in blocks:
-        d = d.join(b, "TX_ID", "left")
+    ref = reference if reference is not None else base
+    median = exact_quantile(ref, "TX_AMOUNT", 0.5).select(F.col("q_TX_AMOUNT").alias("_median"))
+
+    h = W.prior_history(base.drop("_copies"), ["CUSTOMER_ID"], last_n=[3, 5, 9, 10], p="_c", n_rows=n, finer=["MERCHANT_ID"], finer_p="_m")
+    own = {"_c_rn": F.col("_crn"), "_c_prev_us": F.col("_cprev__us"), "_c_pm": W.prior_mean("_c"), "_c_ps": W.prior_std("_c"), "_c_px": F.col("_cmax"),
+           "_c_m10": (F.coalesce(F.col("_cl9_sum"), F.lit(0.0)) + F.col("TX_AMOUNT")) / (F.col("_cl9_cnt") + 1),
+           "_m_rn": F.col("_mrn"), "_m_prev_us": F.col("_mprev__us")}
+    for k in (3, 5, 10):
+        full = F.col(f"_cl{k}_cnt") == k
+        own |= {f"_c_l{k}_mean": F.when(full, W.lastn_mean(k, "_c")), f"_c_l{k}_std": F.when(full, W.lastn_std(k, "_c"))}
+    narrow = h.select("TX_ID", "TX_TS", "TERMINAL_ID", "MERCHANT_ID", "TX_AMOUNT", *[c.alias(x) for x, c in own.items()])
+    h = W.prior_history(narrow, ["TERMINAL_ID"], value=None, p="_t", n_rows=n)
+    narrow = h.select("TX_ID", "MERCHANT_ID", "TX_AMOUNT", *own, F.col("_trn").alias("_t_rn"), F.col("_tprev__us").alias("_t_prev_us"))
+    block = W.add_rank_pct(narrow, "TX_AMOUNT", "amount_percentile_merchant", keys=["MERCHANT_ID"], n_rows=n).drop("MERCHANT_ID", "TX_AMOUNT")
+    d = star.membership_flag(tx.join(block, "TX_ID", "left"), bad, "TERMINAL_ID", "is_fraudulent_terminal")
     d = attach_row(star.star_join(d, customers, terminals, merchants), median)
-    # fitted on the narrow base (not on ``d``) so the feature plan is not executed twice
-    mcc_ref = tx.select("MERCHANT_ID").join(merchants.select("MERCHANT_ID", "MCC_CODE"), "MERCHANT_ID", "left")
+    # fitted on narrow rows (not on ``d``) so the feature plan is not executed twice
+    mcc_ref = ref.select("MERCHANT_ID").join(merchants.select("MERCHANT_ID", "MCC_CODE"), "MERCHANT_ID", "left")
     d = encode.frequency_encode(d, "MCC_CODE", "mcc_frequency", reference=mcc_ref)
 
     amt, med, us = F.col("TX_AMOUNT"), F.col("_median"), S.epoch_us("TX_TS")
@@ -356,20 +354,21 @@ def p5_neural_net_matrix(tx: DataFrame, customers: DataFrame, terminals: DataFra
     return encode.standard_scale(d, raw, fit_on=d.filter(F.col("is_train") == 1))
 
 
-def p6_profiling_pack(df: DataFrame) -> dict[str, DataFrame]:
-    """The profiling reports over one star-joined, flagged fact table."""
+def p6_profiling_pack(df: DataFrame) -> dict:
+    """The profiling reports over one star-joined, flagged fact table, as functions: a report's
+    jobs start when it is called."""
     h = F.hour("TX_TS")
     return {
-        "overall": profile.overall_rate(df),
-        "by_hour": profile.rate_by(df, {"hour": h}),
-        "by_weekday": profile.rate_by(df, {"weekday": S.weekday("TX_TS")}),
-        "by_brand": profile.rate_by(df, "CARD_BRAND"),
-        "by_mcc_top20": profile.rate_by(df, "MCC_CODE", min_count=100, top=20),
-        "by_terminal_top20": profile.rate_by(df, "TERMINAL_ID", min_count=50, top=20),
-        "amount_bands": profile.rate_by_bins(df, "TX_AMOUNT", profile.AMOUNT_EDGES, profile.AMOUNT_LABELS, "amount_bin"),
-        "amount_buckets": profile.amount_buckets(df),
-        "histogram": profile.histogram(df, "TX_AMOUNT", 50, by="TX_FRAUD"),
-        "summary": profile.dataset_summary(df),
+        "overall": lambda: profile.overall_rate(df),
+        "by_hour": lambda: profile.rate_by(df, {"hour": h}),
+        "by_weekday": lambda: profile.rate_by(df, {"weekday": S.weekday("TX_TS")}),
+        "by_brand": lambda: profile.rate_by(df, "CARD_BRAND"),
+        "by_mcc_top20": lambda: profile.rate_by(df, "MCC_CODE", min_count=100, top=20),
+        "by_terminal_top20": lambda: profile.rate_by(df, "TERMINAL_ID", min_count=50, top=20),
+        "amount_bands": lambda: profile.rate_by_bins(df, "TX_AMOUNT", profile.AMOUNT_EDGES, profile.AMOUNT_LABELS, "amount_bin"),
+        "amount_buckets": lambda: profile.amount_buckets(df),
+        "histogram": lambda: profile.histogram(df, "TX_AMOUNT", 50, by="TX_FRAUD"),
+        "summary": lambda: profile.dataset_summary(df),
     }
 
 
@@ -446,64 +445,84 @@ def p12_small_booster_table(tx: DataFrame, customers: DataFrame, merchants: Data
     return d.select("TX_ID", *[c for c in ("TX_FRAUD",) if c in d.columns], *P12_FEATURES)
 
 
+def time_split_features(tx: DataFrame, customers: DataFrame, terminals: DataFrame, merchants: DataFrame) -> DataFrame:
+    """P3 with ``is_train`` (J2): rows are split first, and what is fitted (flagged terminals, the
+    median, category shares) comes from the training rows alone, so no scored row sees its label."""
+    from frauddeck.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(tx.sparkSession)
+    tx = one_row_per_tx(tx)
+    parts = split.time_split(tx.select("TX_ID", "TX_TS")).select("TX_ID", "is_train").checkpoint()
+    train = tx.join(parts.where("is_train = 1").select("TX_ID"), "TX_ID", "left_semi")
+    return p3_unified_features(tx, customers, terminals, merchants, label_source=train, reference=train).join(parts, "TX_ID")
+
+
 def p8_train_score_submit(features: DataFrame, test: DataFrame, feature_cols: list[str], *, k: int = 5,
                           label: str = "TX_FRAUD", override_flag: str | None = "is_fraudulent_terminal",
-                          max_iter: int = 20, shuffle_key=None) -> dict[str, DataFrame]:
-    """Stratified folds, out-of-fold GBT scores, fold-mean test scores, rule override,
-    OOF ROC-AUC and average precision (J3, K1, K5, K7, L5, L7)."""
-    from frauddeck.operators import metrics, ml
+                          settings=None, shuffle_key=None, progress=None) -> dict[str, DataFrame]:
+    """Stratified folds, out-of-fold leaf-wise booster scores, fold-mean test scores, rule override,
+    OOF ROC-AUC and average precision (J3, K1, K5, K7, L5, L7).
+
+    Each fold's held-out rows stop its boosting by average precision. ``progress`` (a
+    :class:`frauddeck.sources.io.FoldProgress`) keeps finished folds, so that a run that died goes on
+    with the next one.
+    """
+    from frauddeck.operators import leafwise, metrics, ml
+    if override_flag and override_flag not in test.columns:
+        raise KeyError(f"{override_flag}: the rule override was asked for, but the test rows lack its flag")
     f = split.stratified_kfold(features, k, shuffle_key=shuffle_key)
-    oof, test_scores = ml.kfold_oof(f, test, feature_cols, label, k=k,
-                                    fit=lambda d: ml.fit_gbt(split.with_class_weight_col(d, label, "_weight"), feature_cols, label,
-                                                             weight_col="_weight", max_iter=max_iter, max_depth=5))
+
+    def fit(train: DataFrame, held: DataFrame):
+        both = train.withColumn("_valid", F.lit(False)).unionByName(held.withColumn("_valid", F.lit(True)))
+        return leafwise.fit(both, feature_cols, label, valid="_valid", settings=settings or leafwise.Settings())
+    oof, test_scores = ml.kfold_oof(f, test, feature_cols, label, k=k, fit=fit, progress=progress)
     ev = oof.join(features.select("TX_ID", F.col(label).alias("y")), "TX_ID")
     if override_flag:
-        if override_flag not in test.columns:
-            raise KeyError(f"{override_flag}: the rule override was asked for, but the test rows lack its flag")
         test_scores = ml.override_known_bad(test_scores.join(test.select("TX_ID", override_flag), "TX_ID"),
                                             override_flag).drop(override_flag)
     return {"oof": oof, "submission": test_scores,
-            "auc": metrics.roc_auc(ev, "oof", "y"), "ap": metrics.average_precision(ev, "oof", "y")}
+            "auc": lambda: metrics.roc_auc(ev, "oof", "y"), "ap": lambda: metrics.average_precision(ev, "oof", "y")}
 
 
-def p9_blend_and_compare(a: DataFrame, b: DataFrame) -> dict[str, DataFrame]:
-    """Align two score files, blend them several ways, compare them (C4, M*, L12, L13)."""
+def p9_blend_and_compare(a: DataFrame, b: DataFrame) -> dict:
+    """Align two score files, blend them several ways, compare them (C4, M*, L12, L13); functions."""
     from frauddeck.operators import blend as M, metrics
     j = star.align_scores(a, b).withColumnRenamed("TX_FRAUD_a", "p_a").withColumnRenamed("TX_FRAUD_b", "p_b")
     c = j.select("TX_ID", M.clip_probs("p_a").alias("p_a"), M.clip_probs("p_b").alias("p_b"))
-    blends = c.select("TX_ID", M.weighted_mean("p_a", "p_b").alias("weighted"),
-                      M.geometric_mean("p_a", "p_b", 0.62).alias("geometric"),
-                      M.logit_blend("p_a", "p_b").alias("logit"), M.entropy_weighted("p_a", "p_b").alias("entropy"))
-    stats = metrics.agreement(j)
-    return {"blends": blends, "agreement": stats, "grades": metrics.grades(stats)}
+    return {"blends": lambda: c.select("TX_ID", M.weighted_mean("p_a", "p_b").alias("weighted"),
+                                       M.geometric_mean("p_a", "p_b", 0.62).alias("geometric"),
+                                       M.logit_blend("p_a", "p_b").alias("logit"), M.entropy_weighted("p_a", "p_b").alias("entropy")),
+            "agreement": lambda: metrics.agreement(j), "grades": lambda: metrics.grades(metrics.agreement(j), keep=True)}
 
 
-def p10_spatial_risk(tx: DataFrame, customers: DataFrame, terminals: DataFrame) -> dict[str, DataFrame]:
-    """P10: cell fraud rates on both grids, regression surfaces, per-row risk."""
+def p10_spatial_risk(tx: DataFrame, customers: DataFrame, terminals: DataFrame) -> dict:
+    """P10: cell fraud rates on both grids, regression surfaces, per-row risk (D17, D18, K8, H13);
+    functions: cells train nothing, the grid fits one surface, the rows both."""
     from frauddeck.operators import ml
-    bad = profile.compromised_entities(tx, "TERMINAL_ID")
     j = star.star_join(tx, customers, terminals)
-    cc = profile.spatial_cells(j.withColumns({"cx": F.round("x_customer_id"), "cy": F.round("y_customer_id")}),
-                               "cx", "cy")
-    tc = profile.spatial_cells(j.withColumns({"tx_": F.round("x_terminal_id"), "ty": F.round("y_terminal_id")}),
-                               "tx_", "ty", exclude=bad, key="TERMINAL_ID")
-    mc = ml.fit_spatial_surface(cc, "cx", "cy")
-    mt = ml.fit_spatial_surface(tc, "tx_", "ty")
-    r = ml.apply_spatial_surface(mc, j, "x_customer_id", "y_customer_id", "customer_area_risk")
-    r = ml.apply_spatial_surface(mt, r, "x_terminal_id", "y_terminal_id", "terminal_area_risk")
-    r = r.withColumn("combined_area_risk", F.col("customer_area_risk") + F.col("terminal_area_risk"))
-    return {"customer_cells": cc, "terminal_cells": tc, "rows": r,
-            "grid": ml.score_grid(tx.sparkSession, mc)}
-
-
-def p11_score_report(scored: DataFrame, score: str = "TX_FRAUD", threshold: float = 0.5) -> dict[str, DataFrame]:
+
+    def customer_cells():
+        return profile.spatial_cells(j.withColumns({"cx": F.round("x_customer_id"), "cy": F.round("y_customer_id")}), "cx", "cy")
+
+    def terminal_cells():
+        return profile.spatial_cells(j.withColumns({"tx_": F.round("x_terminal_id"), "ty": F.round("y_terminal_id")}),
+                                     "tx_", "ty", exclude=profile.compromised_entities(tx, "TERMINAL_ID"), key="TERMINAL_ID")
+
+    def rows():
+        r = ml.apply_spatial_surface(ml.fit_spatial_surface(customer_cells(), "cx", "cy"), j, "x_customer_id", "y_customer_id", "customer_area_risk")
+        r = ml.apply_spatial_surface(ml.fit_spatial_surface(terminal_cells(), "tx_", "ty"), r, "x_terminal_id", "y_terminal_id", "terminal_area_risk")
+        return r.withColumn("combined_area_risk", F.col("customer_area_risk") + F.col("terminal_area_risk"))
+    return {"customer_cells": customer_cells, "terminal_cells": terminal_cells, "rows": rows,
+            "grid": lambda: ml.score_grid(tx.sparkSession, ml.fit_spatial_surface(customer_cells(), "cx", "cy"))}
+
+
+def p11_score_report(scored: DataFrame, score: str = "TX_FRAUD", threshold: float = 0.5) -> dict:
     """Score histogram, describe, top-5% cutoff, mean score by hour/type/brand,
-    prediction summary, top-10 rows (D12, D22-D26, F4)."""
+    prediction summary, top-10 rows (D12, D22-D26, F4), as functions."""
     s = scored.withColumn("pred", (F.col(score) >= threshold).cast("int"))
-    return {"histogram": profile.histogram(s, score, 30), "describe": profile.describe(s, score),
-            "top5pct": profile.percentile_flag(s, score, 0.95),
-            "by_hour": profile.mean_by(s, {"hour": F.hour("TX_TS")}, score),
-            "by_type": profile.mean_by(s, "TRANSACTION_TYPE", score),
-            "by_brand": profile.mean_by(s, "CARD_BRAND", score),
-            "summary": profile.prediction_summary(s, "pred"), "moments": profile.score_moments(s, score),
-            "top10": profile.top_n(s, [F.col(score).desc(), F.col("TX_ID")], 10)}
+    return {"histogram": lambda: profile.histogram(s, score, 30), "describe": lambda: profile.describe(s, score),
+            "top5pct": lambda: profile.percentile_flag(s, score, 0.95),
+            "by_hour": lambda: profile.mean_by(s, {"hour": F.hour("TX_TS")}, score),
+            "by_type": lambda: profile.mean_by(s, "TRANSACTION_TYPE", score),
+            "by_brand": lambda: profile.mean_by(s, "CARD_BRAND", score),
+            "summary": lambda: profile.prediction_summary(s, "pred"), "moments": lambda: profile.score_moments(s, score),
+            "top10": lambda: profile.top_n(s, [F.col(score).desc(), F.col("TX_ID")], 10)}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -120,6 +121,14 @@ def stage(spark: SparkSession, name: str, builder: Callable[[], DataFrame], root
     return spark.read.parquet(path)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table of its own in the shared folder, read again: cuts the lineage."""
+    from frauddeck.session import stage_root
+    path = os.path.join(stage_root(df.sparkSession), f"table-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def list_stages(spark: SparkSession, root: str) -> list[str]:
     """Names of committed stages under ``root``."""
     jvm = spark.sparkContext._jvm
@@ -134,6 +143,34 @@ def list_stages(spark: SparkSession, root: str) -> list[str]:
     return sorted(out)
 
 
+class FoldProgress:
+    """Finished folds of a cross-validation in a folder that all executors share.
+
+    A fold is ``fold-<f>/scores`` (Parquet) and ``fold-<f>/model`` (text, written last); it counts once
+    the model's ``_SUCCESS`` is there, so a fold that died half-way is done again.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _at(self, fold: int, part: str) -> str:
+        return f"{self.root}/fold-{fold}/{part}"
+
+    def done(self, folds: int) -> int:
+        """How many folds are finished, counted from the first."""
+        return next((f for f in range(folds) if not _fs_exists(self.spark, self._at(f, "model/_SUCCESS"))), folds)
+
+    def load(self, fold: int) -> tuple[str, DataFrame] | None:
+        if not _fs_exists(self.spark, self._at(fold, "model/_SUCCESS")):
+            return None
+        return self.spark.read.text(self._at(fold, "model"), wholetext=True).first()[0], self.spark.read.parquet(self._at(fold, "scores"))
+
+    def save(self, fold: int, model: str, scores: DataFrame) -> DataFrame:
+        scores.write.mode("overwrite").parquet(self._at(fold, "scores"))
+        self.spark.createDataFrame([(model,)], "value string").coalesce(1).write.mode("overwrite").text(self._at(fold, "model"))
+        return self.spark.read.parquet(self._at(fold, "scores"))
+
+
 def sample_exact(df: DataFrame, n: int, seed: int = 42, id_col: str = "TX_ID") -> DataFrame:
     """Exactly ``n`` rows, repeatable: the ``n`` smallest seeded hashes (a bounded top-n)."""
     return df.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), F.col(id_col)).limit(n)

@@ -63,7 +63,26 @@ def test_a_repeated_tx_id_yields_one_row(spark):
 def test_override_needs_its_flag(spark):
     d = spark.createDataFrame([(i, i % 2, float(i)) for i in range(20)], "TX_ID long, TX_FRAUD int, x double")
     with pytest.raises(KeyError):
-        P.p8_train_score_submit(d, d, ["x"], k=2, max_iter=1)
+        P.p8_train_score_submit(d, d, ["x"], k=2)
+
+
+def test_scored_rows_do_not_see_their_labels(spark):
+    """A terminal whose rows are all fraud, all among the scored ones, is not flagged; one that was bad
+    in training is. Median and shares come from the training rows."""
+    v = views(spark, SF)
+    t = v["transactions"].filter("TX_ID < 400")
+    order = [r[0] for r in t.orderBy("TX_TS", "TX_ID").select("TX_ID").collect()]
+    late, early = order[-8:], order[:8]
+    t = t.withColumn("TERMINAL_ID", F.when(F.col("TX_ID").isin(late), 990001).when(F.col("TX_ID").isin(early), 990002).otherwise(F.col("TERMINAL_ID")))
+    t = t.withColumn("TX_FRAUD", F.when(F.col("TX_ID").isin(late + early), 1).otherwise(F.col("TX_FRAUD")))
+    t = t.withColumn("TX_AMOUNT", F.when(F.col("TX_ID").isin(order[-80:]), 1e6).otherwise(F.col("TX_AMOUNT")))
+    out = P.time_split_features(t, v["customers"], v["terminals"], v["merchants"])
+    rows = {r["TX_ID"]: r for r in out.select("TX_ID", "is_train", "is_fraudulent_terminal", "cust_max_amount_cumm", "cust_tx_count_cumm").collect()}
+    assert len(rows) == 400 and {i for i in rows if not rows[i]["is_train"]} == set(order[-80:])
+    assert all(rows[i]["is_fraudulent_terminal"] == 0 for i in late) and all(rows[i]["is_fraudulent_terminal"] == 1 for i in early)
+    firsts = [r["cust_max_amount_cumm"] for r in rows.values() if r["cust_tx_count_cumm"] == 1]
+    train = sorted(r[0] for r in t.filter(F.col("TX_ID").isin(order[:320])).select("TX_AMOUNT").collect())
+    assert set(firsts) == {(train[159] + train[160]) / 2}
 
 
 def test_seed_bagging_uses_the_given_subsample(spark, monkeypatch):
@@ -130,8 +149,33 @@ def test_model_queries_train_with_the_operators_settings(spark, monkeypatch):
     assert len(seen) == 46 and all({"max_iter", "max_depth"}.isdisjoint(k) for _, k, _ in seen[40:])
     assert all(n > 90 and k["weight_col"] == "_weight" and k["validation_col"] == "_valid" for n, k, _ in seen)
     assert seen[0][2].groupBy("_valid").count().count() == 2
+    from frauddeck.operators import leafwise
+    small, fitted = leafwise.fit(staged.limit(50), ["TX_AMOUNT_log"], settings=leafwise.Settings(rounds=1)), []
+    monkeypatch.setattr(leafwise, "fit", lambda d, features, label, **k: fitted.append((len(features), k, d)) or small)
     Q.p8_submission(spark, sf)
-    assert len(seen) == 51 and all(n > 90 and k["weight_col"] == "_weight" and k["max_iter"] == 20 for n, k, _ in seen[46:])
+    assert len(fitted) == 5 and all(n > 90 and k["valid"] == "_valid" and k["settings"].rounds == 200 for n, k, _ in fitted)
+    assert fitted[0][2].groupBy("_valid").count().count() == 2
+
+
+def _jobs(spark, name, run):
+    """How many jobs a call starts."""
+    sc = spark.sparkContext
+    sc.setJobGroup(name, name)
+    run()
+    found = len(sc.statusTracker().getJobIdsForGroup(name))
+    sc.setJobGroup("", "")
+    return found
+
+
+def test_reports_start_no_other_reports_jobs(spark):
+    import os
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    q = E.queries()
+    for name in ("p6_by_hour", "p10_customer_cells", "p10_terminal_cells", "p11_by_type", "p11_moments"):
+        q[name](spark, sf)  # reads the tables' schemas, once
+        assert _jobs(spark, name, lambda n=name: q[n](spark, sf)) == 0, name
 
 
 def test_every_report_of_p6_p10_and_p11_is_a_query(spark):
