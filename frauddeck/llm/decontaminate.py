@@ -7,10 +7,11 @@ first pass over them. A second pass joins the documents' shingles with those pre
 each meeting gives the one place where the window could begin, which must leave the whole
 window inside the document (positional and length bound) and is then verified word by word.
 
-Windows come in blocks of at most about ``block_windows`` rows. A block is broadcast (its
-size is that bound) and all documents run past it; further blocks repeat the two passes, with
-the hits so far carried along as two columns, so documents are never shuffled whatever the
-size of the benchmark or the number of documents that hold one passage.
+Windows are written once and come in blocks of about ``block_windows`` rows; the driver and each task
+hold one block (its size is that bound). One block, the usual case, runs past the documents
+where they are. With more, the documents get a number each and are written once; every block
+is a job of its own that writes the hits it found, a row for each document that has some, and
+these meet the documents at the end. So no task holds two blocks, whatever the benchmark's size.
 
 Defined results: null or word-free texts have ``n_words`` 0 and are clean; items without a
 word and items with a null id are ignored; repeated item rows count once per item id;
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -206,28 +208,46 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     windows broadcast at a time. Other columns of either table are not read.
     """
     passed = ["doc_id"] if passed is None else passed
-    spark = docs.sparkSession
-    wins = windows(benchmark, window)
-    n = wins.count()
-    blocks = max(1, -(-n // block_windows))
-    numbered = wins.withColumn("block", F.pmod(F.xxhash64("window", "item"), F.lit(blocks)))
-    kinds = {f.name: f.dataType for f in docs.schema.fields}
+    kinds = {f.name: f for f in docs.schema.fields}
     names = [f"c{i}" for i in range(len(passed))]  # input columns may have any name
-    head = T.StructType([T.StructField(x, kinds[c]) for x, c in zip(names, passed)])
-    carried = T.StructType(head.fields + T.StructType.fromDDL("text string, ranges array<long>, items array<string>").fields)
+    head = T.StructType([T.StructField(x, kinds[c].dataType) for x, c in zip(names, passed)])
     final = T.StructType(head.fields + T.StructType.fromDDL(RESULT).fields)
-    out = docs.select(*[F.col(f"`{c}`").alias(x) for x, c in zip(names, passed)], F.col("text").cast("string").alias("text"),
-                      F.lit(None).cast("array<long>").alias("ranges"), F.lit(None).cast("array<string>").alias("items"))
-    for i in range(blocks):
-        block = Block([(bytes(r[0]), r[1]) for r in numbered.where(F.col("block") == i).select("window", "item").collect()])
-        if block.texts:
-            counts = shingle_counts(docs, spark.sparkContext.broadcast(block.tables())).collect()  # at most the block's shingles
-            block.prefixes({(r["k"], r["hash"]): r["n"] for r in counts})
-        sent, last = spark.sparkContext.broadcast(block), i == blocks - 1
-        schema = final if last else carried
-
-        def search(batches, sent=sent, last=last, names=schema.names):
-            return _search(sent.value, batches, last, names)
-
-        out = out.mapInArrow(search, schema)
+    none = [F.lit(None).cast("array<long>").alias("ranges"), F.lit(None).cast("array<string>").alias("items")]
+    rows = docs.select(*[F.col(f"`{c}`").alias(x) for x, c in zip(names, passed)], F.col("text").cast("string").alias("text"))
+    wins = C.written(windows(benchmark, window))
+    blocks = max(1, -(-wins.count() // block_windows))
+    if blocks == 1:
+        out = _searched(rows.select("*", *none), _counted(wins, docs), True, final)
+    else:
+        # several blocks: one job for each, so that no task holds two; hits are kept by row
+        rows = C.written(rows.withColumn("row", F.monotonically_increasing_id()))
+        numbered = wins.withColumn("block", F.pmod(F.xxhash64("window", "item"), F.lit(blocks)))
+        carried = T.StructType.fromDDL("row long, text string, ranges array<long>, items array<string>")
+        found = []
+        for i in range(blocks):
+            block = _counted(numbered.where(F.col("block") == i).drop("block"), rows)
+            found.append(C.written(_searched(rows.select("row", "text", *none), block, False, carried).where("size(ranges) > 0").drop("text")))
+        hits = reduce(DataFrame.unionByName, found).groupBy("row").agg(F.flatten(F.collect_list("ranges")).alias("ranges"), F.flatten(F.collect_list("items")).alias("items"))
+        whole = rows.join(hits, "row", "left").select(*names, "text", "ranges", "items")
+        out = _searched(whole, Block([]), True, final)
     return out.select(*[F.col(x).alias(c) for x, c in zip(names, passed)], *final.names[len(names):])
+
+
+def _counted(wins: DataFrame, docs: DataFrame) -> Block:
+    """The windows of one block, which is what the driver holds, with their prefix tokens."""
+    block = Block([(bytes(r[0]), r[1]) for r in wins.select("window", "item").collect()])
+    if block.texts:
+        tables = docs.sparkSession.sparkContext.broadcast(block.tables())
+        counts = shingle_counts(docs, tables).collect()  # at most the block's shingles
+        tables.destroy()
+        block.prefixes({(r["k"], r["hash"]): r["n"] for r in counts})
+    return block
+
+
+def _searched(rows: DataFrame, block: Block, last: bool, schema: T.StructType) -> DataFrame:
+    sent = rows.sparkSession.sparkContext.broadcast(block)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _search(sent.value, batches, last, schema.names)
+
+    return rows.mapInArrow(search, schema)

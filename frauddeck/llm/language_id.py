@@ -111,8 +111,10 @@ def fit(docs: DataFrame, keep: Column, profile: int = PROFILE, sample_rows: int
 
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & keep)
     ids = usable.select(F.col("lang").alias("of"), F.col("doc_id").alias("id")).distinct()
-    drawn = (ids.withColumn("k", F.row_number().over(Window.partitionBy("of").orderBy(F.xxhash64(F.col("id").cast("string"), F.lit("sample")), "id")))
-             .where(F.col("k") <= sample_rows).select("of", "id"))
+    # first within ranges of the hash, then among what is left: no task holds all ids of a language
+    ids = ids.withColumn("place", F.xxhash64(F.col("id").cast("string"), F.lit("sample"))).withColumn("bucket", F.shiftright("place", 56))
+    drawn = ids.withColumn("k", F.row_number().over(Window.partitionBy("of", "bucket").orderBy("place", "id"))).where(F.col("k") <= sample_rows)
+    drawn = drawn.withColumn("k", F.row_number().over(Window.partitionBy("of").orderBy("place", "id"))).where(F.col("k") <= sample_rows).select("of", "id")
     texts = (usable.join(F.broadcast(drawn), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("of")))  # sample_rows for each language
              .groupBy("lang", "doc_id").agg(F.min("text").alias("text")).select("lang", "text"))
     counts = texts.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))

@@ -47,6 +47,16 @@ def test_cases(spark, block):
     assert got == plain(DOCS, ITEMS)
 
 
+def test_many_blocks_meet_in_no_task(spark):
+    """Twenty blocks and more: the last plan has one search, without windows; hits come from written tables."""
+    items = [(i, " ".join(f"w{i * 7 + j}" for j in range(10))) for i in range(60)]
+    docs = [(d, " ".join(f"w{j}" for j in range(d * 5, d * 5 + 40))) for d in range(40)] + [(7, "w1 w2"), (None, items[3][1])]
+    out = decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_windows=3)
+    assert sorted((tuple(r) for r in out.collect()), key=str) == plain(docs, items)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("MapInArrow") == 1 and plan.count("Scan parquet") >= 20
+
+
 def test_empty(spark):
     docs, items = spark.createDataFrame(DOCS, "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert decontaminate(docs, items).where("contaminated").count() == 0

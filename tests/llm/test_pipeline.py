@@ -46,7 +46,7 @@ def test_stages(spark, sf_dir):
     packed = [tuple(r) for r in P.STAGES[-1][1](spark, docs, sf_dir).collect()]
     check_packing(packed, {d: plain_ids(r["text"]) for d, r in step["secrets"].items()})
     again = [tuple(r) for r in P.run(spark, sf_dir).collect()]
-    assert sorted(r[:1] + r[4:5] for r in again) == sorted(r[:1] + r[4:5] for r in packed) or {r[0] for r in again} == set(step["secrets"])
+    assert {r[0]: r[4] for r in again} == {r[0]: r[4] for r in packed}  # each document's tokens
 
 
 def test_odd_tables(spark, sf_dir):
@@ -57,7 +57,7 @@ def test_odd_tables(spark, sf_dir):
     stay = P.near_duplicates(spark, df, sf_dir)
     assert stay.columns == df.columns
     got = sorted((tuple(r)[:2] for r in stay.collect()), key=str)
-    assert got == sorted([(1, text), (1, data[6][1]), (4, ""), (None, data[7][1])], key=str) or len(got) == 4
+    assert got == sorted([(1, text), (1, data[6][1]), (4, ""), (None, data[7][1])], key=str)
     for f in (P.quality, P.near_duplicates, P.decontaminate, P.secrets):
         assert f(spark, df, sf_dir).columns == df.columns and f(spark, df.where("false"), sf_dir).count() == 0
     clean = P.secrets(spark, df, sf_dir)
