@@ -149,15 +149,22 @@ def search_blend_weights(df: DataFrame, a: str = "p_a", b: str = "p_b", label: s
     the parameter points is exploded for each, and AP per grid id uses per-(grid, score) counts
     and distributed running sums. Meant for the validation subset (A10), as the fit it is.
     """
-    grid = grid or default_grid()
-    spark = df.sparkSession
+    return _scored_points(_score_pairs(df, a, b, label), grid or default_grid())
+
+
+def _score_pairs(df: DataFrame, a: str, b: str, label: str) -> DataFrame:
+    """Distinct pairs of scores with their positives and rows."""
+    return df.groupBy(F.col(a).alias("_a"), F.col(b).alias("_b")).agg(F.sum(F.col(label).cast("double")).alias("_y"), F.count(F.lit(1)).alias("_w"))
+
+
+def _scored_points(pairs: DataFrame, grid: list) -> DataFrame:
+    """The average precision of each parameter point, all in one pass over the pairs."""
+    spark = pairs.sparkSession
     g = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(grid)],
                               "gid int, w1 double, w2 double, w3 double, t1 double, t2 double")
     params = F.array(*[F.struct(F.lit(i).alias("gid"), *[F.lit(float(v)).alias(n) for n, v in
                                                         zip(["w1", "w2", "w3", "t1", "t2"], p)])
                        for i, p in enumerate(grid)])
-    # equal pairs of scores are one row with counts before the grid multiplies them
-    pairs = df.groupBy(F.col(a).alias("_a"), F.col(b).alias("_b")).agg(F.sum(F.col(label).cast("double")).alias("_y"), F.count(F.lit(1)).alias("_w"))
     j = pairs.select("_a", "_b", "_y", "_w", F.explode(params).alias("_g")).select("_a", "_b", "_y", "_w", "_g.*")
     tot = F.col("w1") + F.col("w2") + F.col("w3")
     w1, w2, w3 = F.col("w1") / tot, F.col("w2") / tot, F.col("w3") / tot
@@ -170,3 +177,48 @@ def search_blend_weights(df: DataFrame, a: str = "p_a", b: str = "p_b", label: s
     ap = r.groupBy("gid").agg(
         F.sum(F.col("_pos") / F.col("_grp_pos") * F.col("_cum__pos") / F.col("_cum__n")).alias("average_precision"))
     return ap.join(F.broadcast(g), "gid")
+
+
+#: Bounds of the blend's weights and temperatures (fixed values).
+BLEND_BOUNDS = [(0.1, 0.8), (0.1, 0.8), (0.05, 0.3), (0.8, 1.5), (0.8, 1.5)]
+
+
+def neighbours(point: tuple[float, ...], steps: list[float], bounds: list[tuple[float, float]]) -> list[tuple[float, ...]]:
+    """The point a step up and a step down in each coordinate, within the bounds."""
+    out = []
+    for i, (step, (lo, hi)) in enumerate(zip(steps, bounds)):
+        for v in (min(point[i] + step, hi), max(point[i] - step, lo)):
+            if v != point[i]:
+                out.append((*point[:i], v, *point[i + 1:]))
+    return out
+
+
+def solve_blend(df: DataFrame, a: str = "p_a", b: str = "p_b", label: str = "y", *, start: list | None = None,
+                bounds: list[tuple[float, float]] | None = None, tolerance: float = 0.01, rounds: int = 60) -> dict:
+    """M13, bounded search: weights and temperatures of the best average precision found.
+
+    From the best of ``start`` (default: the grid) a compass search tries a step up and down in each
+    coordinate, all points of a round in one pass over the distinct score pairs. The best of them
+    is taken if it beats the point; otherwise the steps, a quarter of the bounds at first, are halved,
+    until they are below ``tolerance`` of the bounds. Of equal points the first one counts.
+    """
+    from frauddeck.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    bounds = bounds or BLEND_BOUNDS
+    pairs = _score_pairs(df, a, b, label).checkpoint()
+
+    def best_of(points: list) -> tuple[float, tuple[float, ...]]:
+        got = {r["gid"]: r["average_precision"] for r in _scored_points(pairs, points).select("gid", "average_precision").collect()}  # a row for each point
+        at = min(range(len(points)), key=lambda i: (-(got.get(i) or 0.0), i))
+        return got.get(at) or 0.0, tuple(map(float, points[at]))
+
+    value, point = best_of(start or default_grid())
+    steps, share, n = [(hi - lo) / 4 for lo, hi in bounds], 0.25, 0
+    while share >= tolerance and n < rounds:
+        n += 1
+        found, there = best_of(neighbours(point, steps, bounds))
+        if found > value + 1e-12:
+            value, point = found, there
+        else:
+            steps, share = [x / 2 for x in steps], share / 2
+    return {**dict(zip(["w1", "w2", "w3", "t1", "t2"], point)), "average_precision": value, "rounds": n}

@@ -474,7 +474,7 @@ def p8_train_score_submit(features: DataFrame, test: DataFrame, feature_cols: li
     def fit(train: DataFrame, held: DataFrame):
         both = train.withColumn("_valid", F.lit(False)).unionByName(held.withColumn("_valid", F.lit(True)))
         return leafwise.fit(both, feature_cols, label, valid="_valid", settings=settings or leafwise.Settings())
-    oof, test_scores = ml.kfold_oof(f, test, feature_cols, label, k=k, fit=fit, progress=progress)
+    oof, test_scores = ml.kfold_oof(f, test, feature_cols, label, k=k, fit=fit, progress=progress, parallelism=k)
     ev = oof.join(features.select("TX_ID", F.col(label).alias("y")), "TX_ID")
     if override_flag:
         test_scores = ml.override_known_bad(test_scores.join(test.select("TX_ID", override_flag), "TX_ID"),

@@ -277,3 +277,13 @@ def m13_blend_weight_search(spark, sf):
     valid = time_split(tx(spark, sf).select("TX_ID", "TX_TS")).filter("is_train = 0").select("TX_ID")
     res = M.search_blend_weights(_ls(spark, sf).join(valid, "TX_ID", "left_semi"))
     return res.select("gid", r("average_precision").alias("average_precision"), "w1", "w2", "w3", "t1", "t2")
+
+
+@query("m13_blend_solver")
+def m13_blend_solver(spark, sf):
+    """M13 on the validation subset: the blend that a bounded search finds from the best grid point."""
+    from frauddeck.operators.split import time_split
+    valid = time_split(tx(spark, sf).select("TX_ID", "TX_TS")).filter("is_train = 0").select("TX_ID")
+    best = M.solve_blend(_ls(spark, sf).join(valid, "TX_ID", "left_semi"))
+    return spark.createDataFrame([tuple(float(best[c]) for c in ("w1", "w2", "w3", "t1", "t2", "average_precision"))],
+                                 "w1 double, w2 double, w3 double, t1 double, t2 double, average_precision double")

@@ -153,7 +153,7 @@ def test_model_queries_train_with_the_operators_settings(spark, monkeypatch):
     small, fitted = leafwise.fit(staged.limit(50), ["TX_AMOUNT_log"], settings=leafwise.Settings(rounds=1)), []
     monkeypatch.setattr(leafwise, "fit", lambda d, features, label, **k: fitted.append((len(features), k, d)) or small)
     Q.p8_submission(spark, sf)
-    assert len(fitted) == 5 and all(n > 90 and k["valid"] == "_valid" and k["settings"].rounds == 200 for n, k, _ in fitted)
+    assert len(fitted) == 5 and all(n > 90 and k["valid"] == "_valid" and k["settings"] is Q.BOOSTING for n, k, _ in fitted)
     assert fitted[0][2].groupBy("_valid").count().count() == 2
 
 
