@@ -111,9 +111,12 @@ def fit(docs: DataFrame, keep: Column, profile: int = PROFILE, sample_rows: int
 
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & keep)
     ids = usable.select(F.col("lang").alias("of"), F.col("doc_id").alias("id")).distinct()
-    # first within ranges of the hash, then among what is left: no task holds all ids of a language
-    ids = ids.withColumn("place", F.xxhash64(F.col("id").cast("string"), F.lit("sample"))).withColumn("bucket", F.shiftright("place", 56))
-    drawn = ids.withColumn("k", F.row_number().over(Window.partitionBy("of", "bucket").orderBy("place", "id"))).where(F.col("k") <= sample_rows)
+    # the ranges of the hash, from the lowest, that hold the sample; only their ids are sorted, so no task
+    # holds all ids of a language
+    ids = C.written(ids.withColumn("place", F.xxhash64(F.col("id").cast("string"), F.lit("sample"))).withColumn("range", F.shiftright("place", 52)))
+    before = F.sum("count").over(Window.partitionBy("of").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    low = ids.groupBy("of", "range").count().withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < sample_rows).select("of", "range")
+    drawn = ids.join(F.broadcast(low), ["of", "range"])  # at most sample_rows ranges for each language
     drawn = drawn.withColumn("k", F.row_number().over(Window.partitionBy("of").orderBy("place", "id"))).where(F.col("k") <= sample_rows).select("of", "id")
     texts = (usable.join(F.broadcast(drawn), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("of")))  # sample_rows for each language
              .groupBy("lang", "doc_id").agg(F.min("text").alias("text")).select("lang", "text"))
