@@ -140,7 +140,7 @@ def test_model_queries_train_with_the_operators_settings(spark, monkeypatch):
             kept.append(real(train, features, label, **{**k, "max_iter": 1, "max_depth": 2}))
         return kept[0]
 
-    monkeypatch.setattr(Q, "_staged", lambda *a: staged)
+    monkeypatch.setattr(Q, "_staged", lambda *a, **k: staged)
     monkeypatch.setattr(ml, "fit_gbt", fit)
     Q.k4_random_search_time_folds(spark, sf)
     assert len(seen) == 10 * 4 and [k["max_iter"] for _, k, _ in seen[::4]] == [p["max_iter"] for p in ml.random_param_sets(10, seed=1)]
