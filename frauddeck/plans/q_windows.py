@@ -13,6 +13,7 @@ from frauddeck.operators import globalrank, windows as W
 from frauddeck.plans.catalog import query
 from frauddeck.plans.common import joined, ltx, r, tx, views
 from frauddeck.sources import adapter
+from frauddeck.sources.io import written
 from frauddeck.operators.attach import attach_row
 
 MEDIAN_SQL = "(SELECT quantile_cont(TX_AMOUNT, 0.5) FROM {t})"
@@ -210,8 +211,10 @@ def _twin_sql(t: str) -> str:
 
 
 def _twin(df):
-    d = W.add_time_window_counts(df, "CUSTOMER_ID")
-    d = W.add_time_window_counts(d, "TERMINAL_ID")
+    d = written(df.select("TX_ID", "TX_TS", "CUSTOMER_ID", "TERMINAL_ID"))  # counted and read several times
+    n, unique = d.count(), W.ids_unique(d)
+    d = W.add_time_window_counts(d, "CUSTOMER_ID", n_rows=n, unique=unique)
+    d = W.add_time_window_counts(d, "TERMINAL_ID", n_rows=n if unique else None, unique=unique)
     return d.select("TX_ID", "count_24h_CUSTOMER_ID", "count_7d_CUSTOMER_ID", "count_24h_TERMINAL_ID",
                     "count_7d_TERMINAL_ID")
 
@@ -269,8 +272,7 @@ SELECT TX_ID, ROUND(COALESCE(d, 0), 6) AS dist_prev_terminal,
 def e13_prev_terminal_hop(spark, sf):
     v = views(spark, sf, "lineitem")
     j = v["transactions"].join(v["terminals"], "TERMINAL_ID", "left")
-    j = W.add_time_since_last(j, ["CUSTOMER_ID"], "_gap", 1e9)
-    d = W.add_prev_location(j, "CUSTOMER_ID", "x_terminal_id", "y_terminal_id", gap_col="_gap")
+    d = W.add_prev_location(j, "CUSTOMER_ID", "x_terminal_id", "y_terminal_id", first_gap=1e9)
     return d.select("TX_ID", r("dist_prev_terminal").alias("dist_prev_terminal"),
                     r("velocity_customer", 9).alias("velocity_customer"))
 
