@@ -146,15 +146,17 @@ def search_blend_weights(df: DataFrame, a: str = "p_a", b: str = "p_b", label: s
     """Average precision of the tuned blend for every grid point; returns all points ranked.
 
     Work is |grid| x distinct pairs of scores: equal pairs collapse to counts, a literal array of
-    the parameter points is exploded for each, and AP per grid id uses per-(grid, score) counts
-    and distributed running sums. Meant for the validation subset (A10), as the fit it is.
+    the parameter points is exploded for each, and the scored rows are shuffled once, by ranges of
+    (grid, score), for the AP per grid id. Meant for the validation subset (A10), as the fit it is.
     """
     return _scored_points(_score_pairs(df, a, b, label), grid or default_grid())
 
 
 def _score_pairs(df: DataFrame, a: str, b: str, label: str) -> DataFrame:
-    """Distinct pairs of scores with their positives and rows."""
-    return df.groupBy(F.col(a).alias("_a"), F.col(b).alias("_b")).agg(F.sum(F.col(label).cast("double")).alias("_y"), F.count(F.lit(1)).alias("_w"))
+    """Distinct pairs of scores with their positives and rows, in as many partitions as a shuffle has: the pairs
+    are few bytes, which adaptive execution would put into one task, but each is scored for every point."""
+    pairs = df.groupBy(F.col(a).alias("_a"), F.col(b).alias("_b")).agg(F.sum(F.col(label).cast("double")).alias("_y"), F.count(F.lit(1)).alias("_w"))
+    return pairs.repartition(globalrank.default_parts(df))
 
 
 def _scored_points(pairs: DataFrame, grid: list) -> DataFrame:
@@ -171,11 +173,7 @@ def _scored_points(pairs: DataFrame, grid: list) -> DataFrame:
     sa = 1.0 / (1.0 + F.exp(-safe_logit("_a") / F.col("t1")))
     sb = 1.0 / (1.0 + F.exp(-safe_logit("_b") / F.col("t2")))
     ens = w1 * (w1 * sa + w2 * sb) + w2 * (F.pow(sa, w1) * F.pow(sb, w2)) + w3 * (1.0 / (w1 / sa + w2 / sb + EPS))
-    scored = j.select("gid", ens.alias("_s"), "_y", "_w")
-    r = globalrank.value_counts_ranked(scored, "_s", keys=["gid"], descending=True,
-                                       extra_sums={"_pos": F.sum("_y")}, weight=F.col("_w"))
-    ap = r.groupBy("gid").agg(
-        F.sum(F.col("_pos") / F.col("_grp_pos") * F.col("_cum__pos") / F.col("_cum__n")).alias("average_precision"))
+    ap = globalrank.average_precisions(j.select("gid", ens.alias("_s"), "_y", "_w").where("_s is not null"), "gid", "_s", "_y", "_w")
     return ap.join(F.broadcast(g), "gid")
 
 

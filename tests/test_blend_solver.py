@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from frauddeck.operators import blend as M
+from frauddeck.operators import blend as M, globalrank
 
 
 def _rows(n=260):
@@ -54,3 +54,10 @@ def test_solver_beats_the_grid_and_its_point_holds(spark):
 def test_neighbours_stay_within_bounds():
     got = M.neighbours((0.1, 0.8), [0.2, 0.2], [(0.1, 0.8), (0.1, 0.8)])
     assert got == [(pytest.approx(0.3), 0.8), (0.1, pytest.approx(0.6))]
+
+
+def test_points_are_scored_in_every_partition_of_a_shuffle(spark):
+    """Few bytes of pairs would be one task; each pair is scored for every point, so they are spread."""
+    pairs = M._score_pairs(spark.createDataFrame(_rows(), "p_a double, p_b double, y int"), "p_a", "p_b", "y")
+    assert pairs.rdd.getNumPartitions() == globalrank.default_parts(pairs)
+    assert pairs.rdd.glom().map(len).filter(bool).count() == globalrank.default_parts(pairs)
