@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from frauddeck.operators import leafwise as L, ml, network as N, windows as W
+from frauddeck.operators import curves, globalrank, leafwise as L, ml, network as N, windows as W
 from frauddeck.plans import pipelines as P
 from frauddeck.sources import adapter
 
@@ -106,3 +106,47 @@ def test_sums_of_a_task_take_little_more_than_their_result():
     for s, f, r in ((0, 3, 17), (31, 34, 255), (7, 0, 0)):
         use = (slot == s) & (ranges[:, features[f]] == r)
         assert out[s, f, :, r].tolist() == [g[use].sum(), h[use].sum(), use.sum()]
+
+
+def _ap(rows):
+    """Step AP of ``(score, positives, rows)``, ties together, None lowest, in plain Python."""
+    by, total = {}, sum(p for _, p, _ in rows)
+    for s, p, n in rows:
+        k = (0, 0.0) if s is None else (2, 0.0) if s != s else (1, s + 0.0)
+        by[k] = (by.get(k, (0, 0))[0] + p, by.get(k, (0, 0))[1] + n)
+    cp = cn = ap = 0
+    for k in sorted(by, reverse=True):
+        cp, cn = cp + by[k][0], cn + by[k][1]
+        ap += by[k][0] / total * cp / cn if total else 0
+    return ap if total else None
+
+
+@pytest.mark.parametrize("batch", [3, 10000])
+def test_precisions_of_ties_nulls_and_values_that_go_on_in_the_next_batch(spark, batch):
+    rng, old = random.Random(9), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        rows = [(k, rng.choice([None, float("nan"), -0.0, 0.0, 0.25, float(rng.randrange(40)), 7.0, 7.0]), None if (p := rng.randrange(3)) and k == 2 else p, p + rng.randrange(1, 4))
+                for k in range(5) for _ in range(150)] + [(9, 0.5, 0, 2), (9, None, 0, 1)]
+        got = globalrank.average_precisions(spark.createDataFrame(rows, "k int, s double, p int, n int"), "k", "s", "p", "n")
+        assert dict(got.dtypes) == {"k": "int", "average_precision": "double"}
+        want = {k: _ap([(s, p or 0, n) for q, s, p, n in rows if q == k]) for k in {r[0] for r in rows}}
+        assert dict(got.collect()) == {k: v if v is None else pytest.approx(v, rel=1e-12) for k, v in want.items()}
+        curve = spark.createDataFrame([(i % 2, [r[1], None, float(i % 7)]) for i, r in enumerate(rows)] + [(1, None), (1, [])], "TX_FRAUD int, margins array<double>")
+        want = {t: _ap([(m[t], y or 0, 1) for y, m in curve.collect() if m]) for t in range(3)}
+        assert dict(curves.ap_by_iteration(curve).collect()) == {t: pytest.approx(v, rel=1e-12) for t, v in want.items()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_precisions_keep_what_has_positives_and_shuffle_rows_once(spark, monkeypatch):
+    """What is checkpointed is one row for each value with a positive and one for each range and key, and
+    the plan over the rows has one shuffle, by ranges."""
+    kept, real = [], type(spark.range(1)).checkpoint
+    monkeypatch.setattr(type(spark.range(1)), "checkpoint", lambda d, *a, **k: kept.append((d, real(d, *a, **k))) or kept[-1][1])
+    d = spark.range(2000).select((F.col("id") % 4).alias("k"), (F.col("id") / 2000.0).alias("s"), (F.col("id") % 100 == 0).cast("int").alias("p"), F.lit(1).alias("n"))
+    globalrank.average_precisions(d, "k", "s", "p", "n")
+    (plan, written), = kept
+    text = plan._sc._jvm.PythonSQLUtils.explainString(plan._jdf.queryExecution(), "simple")
+    assert text.split("Initial Plan")[-1].count("Exchange") == 1 and "rangepartitioning" in text
+    assert written.where("not _last").count() == 20 and 4 <= written.where("_last").count() <= 8
