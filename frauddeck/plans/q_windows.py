@@ -170,24 +170,28 @@ def _incl_sql(t: str) -> str:
     return f"SELECT TX_ID, {', '.join(sel)} FROM {t} WINDOW {', '.join(wins)}"
 
 
+ROWS_PER_TASK = 500_000  # of narrow rows: a task's sort takes some 100 MB
+
+
 def _incl(df):
-    amt = F.col("TX_AMOUNT")
-    c = W.prior_history(df, ["CUSTOMER_ID"], last_n=[2, 4, 9], p="_c")
-    t = W.prior_history(c, ["TERMINAL_ID"], last_n=[2, 4, 9], p="_t")
+    """The terminal's figures first: fewer of them travel with the rows to the customer's window."""
+    amt, rows = F.col("TX_AMOUNT"), df.select("TX_ID", "TX_TS", "CUSTOMER_ID", "TERMINAL_ID", "TX_AMOUNT")
+    t = W.prior_history(rows, ["TERMINAL_ID"], last_n=[2, 4, 9], p="_t", rows_per_task=ROWS_PER_TASK)
+    sums = {f"term_last{n}_tx_sum": F.coalesce(F.col(f"_tl{n - 1}_sum"), F.lit(0.0)) + amt for n in (3, 5, 10)}
+    t = t.select("TX_ID", "TX_TS", "CUSTOMER_ID", "TX_AMOUNT", *[r(c, 4).alias(x) for x, c in sums.items()],
+                 (F.least(F.col("_trn"), F.lit(10)) - 1).alias("term_tx_velocity_1h"))
+    c = W.prior_history(t, ["CUSTOMER_ID"], last_n=[2, 4, 9], p="_c", rows_per_task=ROWS_PER_TASK, keys_of=rows)
     cols = []
     for n in (3, 5, 10):
         csum = F.coalesce(F.col(f"_cl{n - 1}_sum"), F.lit(0.0)) + amt
         ccnt = F.col(f"_cl{n - 1}_cnt") + 1
-        tsum = F.coalesce(F.col(f"_tl{n - 1}_sum"), F.lit(0.0)) + amt
-        cols += [r(csum, 4).alias(f"cust_last{n}_tx_sum"), r(csum / ccnt).alias(f"cust_last{n}_tx_mean"),
-                 r(tsum, 4).alias(f"term_last{n}_tx_sum")]
+        cols += [r(csum, 4).alias(f"cust_last{n}_tx_sum"), r(csum / ccnt).alias(f"cust_last{n}_tx_mean"), F.col(f"term_last{n}_tx_sum")]
     m10 = (F.coalesce(F.col("_cl9_sum"), F.lit(0.0)) + amt) / (F.col("_cl9_cnt") + 1)
     cols += [r(m10).alias("cust_amount_rolling_mean"),
              r(F.abs(amt - m10) / (m10 + 1e-8)).alias("cust_amount_deviation_rolling"),
              (F.least(F.col("_crn"), F.lit(10)) - 1).alias("cust_tx_velocity_1h"),
-             (F.least(F.col("_crn"), F.lit(50)) - 1).alias("cust_tx_velocity_24h"),
-             (F.least(F.col("_trn"), F.lit(10)) - 1).alias("term_tx_velocity_1h")]
-    return t.select("TX_ID", *cols)
+             (F.least(F.col("_crn"), F.lit(50)) - 1).alias("cust_tx_velocity_24h"), F.col("term_tx_velocity_1h")]
+    return c.select("TX_ID", *cols)
 
 
 @query("e8_e9_e10_inclusive_rolling", _incl_sql("tx"))

@@ -55,6 +55,17 @@ def test_hop_and_gap_come_of_one_history(spark, no_broadcast):
     assert {r.TX_ID: r for r in one.collect()} == {r.TX_ID: r for r in two.select(*one.columns).collect()}
 
 
+def test_many_rows_of_a_history_are_dealt_to_more_tasks(spark, no_broadcast, monkeypatch):
+    from frauddeck.plans import q_windows as Q
+    d = _events(spark)
+    usual = {r.TX_ID: r for r in Q._incl(d).collect()}
+    monkeypatch.setattr(Q, "ROWS_PER_TASK", 40)
+    out = Q._incl(d)
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\(.*, 8\)", text)) == 2  # 300 rows; the session has 4 partitions
+    assert not any("_tl2_cnt" in x for x in _exchanges(out)) and {r.TX_ID: r for r in out.collect()} == usual
+
+
 def test_p3_shuffles_wide_rows_once(spark, no_broadcast):
     tx = _events(spark)
     place = lambda k, n: spark.range(n).select(F.col("id").alias(k), *[(F.col("id") * 3.0).alias(f"{a}_{k.lower()}") for a in "xy"])
