@@ -161,3 +161,20 @@ def test_precisions_keep_what_has_positives_and_shuffle_rows_once(spark, monkeyp
     text = plan._sc._jvm.PythonSQLUtils.explainString(plan._jdf.queryExecution(), "simple")
     assert text.split("Initial Plan")[-1].count("Exchange") == 1 and "rangepartitioning" in text
     assert written.where("not _last").count() == 20 and 4 <= written.where("_last").count() <= 8
+
+
+@pytest.mark.parametrize("rows_per_task", [500_000, 40])
+def test_p3_shuffles_columns_only_where_they_are_needed(spark, no_broadcast, monkeypatch, rows_per_task):
+    """Wide rows go by id alone (the category's share is joined by its few values), flags and dimensions join narrow rows."""
+    monkeypatch.setattr(P, "ROWS_PER_TASK", rows_per_task)
+    v = adapter.payments_view(spark, "/root/testdata/sf0.001")
+    tx = _events(spark)
+    lone = tx.where("TX_ID = 0").withColumns({"TX_ID": F.lit(None).cast("long"), "TERMINAL_ID": F.lit(77).cast("long"), "CUSTOMER_ID": F.lit(3).cast("long")})
+    bad = tx.where("TX_ID < 5").withColumns({"TX_ID": F.col("TX_ID") + 1000, "TERMINAL_ID": F.lit(77).cast("long"), "TX_FRAUD": F.lit(1)})
+    p3 = P.p3_unified_features(tx.unionByName(bad).unionByName(lone.withColumn("TX_FRAUD", F.lit(1))), v["customers"], v["terminals"], v["merchants"])
+    wide = [x for x in _exchanges(p3) if "CARD_EXPIRY_DATE" in x]
+    assert sum("MCC_CODE" not in x for x in wide) == 1 and sum("MCC_CODE" in x for x in wide) <= 1
+    assert not any("_c_l10_mean" in x and ("MERCHANT_ID" in x or "_merchant" in x) for x in _exchanges(p3) if "CARD_EXPIRY_DATE" not in x)
+    flags = {r[0]: r[1:] for r in p3.select("TX_ID", "is_fraudulent_terminal", "cust_tx_count_cumm", "x_customer_id").collect()}
+    assert len(flags) == 306 and flags[None] == (1, None, None)  # no id: the terminal's flag, no history
+    assert {k for k, f in flags.items() if f[0]} == {None, *range(1000, 1005)}
