@@ -181,3 +181,49 @@ def test_folds_resume_where_a_run_died(spark, tmp_path):
     assert oof.count() == 200 == oof.select("TX_ID").distinct().count() and test.count() == 200
     plain, whole = ml.kfold_oof(d, d, ["a", "b", "c"], fit=fit)
     assert dict(plain.collect()) == dict(oof.collect()) and dict(whole.collect()) == dict(test.collect())
+
+
+def test_cuts_of_many_rows_are_within_a_thousandth(spark, monkeypatch):
+    """Summaries that are condensed and merged tell quantiles to a thousandth of the rows; missing values don't count."""
+    rng = np.random.default_rng(8)
+    n = 30_000
+    x = np.stack([rng.normal(size=n), rng.integers(0, 3, n) * 1.0, np.exp(rng.normal(size=n) * 3)], axis=1)
+    d = spark.createDataFrame([(*map(float, r), None if i % 3 else float("nan")) for i, r in enumerate(x)], "a double, b double, c double, d double").repartition(3)
+    for name, value in (("FEW", 100), ("POINTS", 2048), ("CHUNK", 3000)):
+        monkeypatch.setattr(leafwise, name, value)
+    monkeypatch.setattr(type(d), "approxQuantile", None)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    try:
+        cuts = leafwise._cuts(d, list("abcd"), n)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert cuts[1].tolist() == [0.0, 1.0, 2.0] and len(cuts[3]) == 0
+    for f in (0, 2):
+        rank = np.searchsorted(np.sort(x[:, f]), cuts[f], side="right") / n
+        assert len(cuts[f]) == 254 and np.abs(rank - np.arange(1, 255) / 255).max() < 1e-3
+
+
+def test_trial_splits_that_no_tree_needs_are_not_counted(spark, monkeypatch):
+    """Fewer nodes are counted than with every leaf tried, for the same tree; a round is one Spark job."""
+    d, rounds = _numbers(spark), []
+    s = leafwise.Settings(rounds=1, leaves=4, least_rows=4, ahead=32)
+    real = leafwise._count
+
+    def counted(*a):
+        count = real(*a)
+        return lambda tree, nodes: rounds.append(len(nodes)) or count(tree, nodes)
+    monkeypatch.setattr(leafwise, "_count", counted)
+    group = "booster-jobs"
+    jobs = []
+    real_added = leafwise._added
+
+    def added(parts):
+        spark.sparkContext.setJobGroup(group, "")
+        out = real_added(parts)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return out
+    monkeypatch.setattr(leafwise, "_added", added)
+    model = leafwise.fit(d, ["a", "b", "c"], settings=s)
+    assert sum(f < 0 for f in model.trees[0].feature) == 4 and jobs[-1] == len(rounds)
+    assert max(rounds) <= 3  # a tree of four leaves has three splits
