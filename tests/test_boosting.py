@@ -227,3 +227,12 @@ def test_trial_splits_that_no_tree_needs_are_not_counted(spark, monkeypatch):
     model = leafwise.fit(d, ["a", "b", "c"], settings=s)
     assert sum(f < 0 for f in model.trees[0].feature) == 4 and jobs[-1] == len(rounds)
     assert max(rounds) <= 3  # a tree of four leaves has three splits
+
+
+def test_seeds_are_fitted_at_the_same_time_and_meet_in_their_order(monkeypatch):
+    import threading
+    meet, seen = threading.Barrier(3, timeout=20), []
+    monkeypatch.setattr(ml, "fit_gbt", lambda *a, seed, **k: (meet.wait(), f"model {seed}")[1])
+    monkeypatch.setattr(ml, "_mean_of_models", lambda models, *a: seen.extend(models))
+    ml.seed_bagging(None, None, ["x"], seeds=(4, 5, 6))
+    assert seen == ["model 4", "model 5", "model 6"]
